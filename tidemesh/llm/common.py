@@ -45,3 +45,8 @@ def id_remainder(name: str, modulus: int) -> Column:
 
 def salt_of(name: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(salts)).cast("int")
+
+
+def id_hash(name: str) -> Column:
+    """A never-null hash of an id, for join keys: a null-safe comparison would give up the hash partitioning."""
+    return F.xxhash64(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\0")))

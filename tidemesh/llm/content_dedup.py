@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, salt_of, text_or_empty
+from .common import SPACE, checkpointed, id_hash, salt_of, text_or_empty
 
 #: Parts into which the copies of one text are dealt before they are sorted.
 SALTS = 64
@@ -66,9 +66,9 @@ def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Winners meet their rows again on id and digest, so rows that share an id
     but not a text are told apart; of wholly repeated rows one remains.
     """
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_k"), F.col("text_sha256").alias("_d"))
-    keyed = df.withColumn("_tm_digest", F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE + "+", ""), 256))
-    keyed = keyed.withColumn("_tm_n", F.length(text_or_empty(text_col)))
-    matched = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_k"]) & (keyed["_tm_digest"] == kept["_d"]), "left_semi")
-    first = Window.partitionBy(id_col, "_tm_digest").orderBy(F.col("_tm_n").desc())
-    return matched.withColumn("_tm_rank", F.row_number().over(first)).filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = exact_groups(df, id_col, text_col).filter("kept").select(id_hash(id_col).alias("_tm_g"), F.col("text_sha256").alias("_tm_digest"))
+    text = text_or_empty(text_col)
+    keyed = df.withColumns({"_tm_g": id_hash(id_col), "_tm_digest": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256), "_tm_n": F.length(text)})
+    first = Window.partitionBy("_tm_g", "_tm_digest").orderBy(F.col("_tm_n").desc())
+    matched = keyed.join(kept, ["_tm_g", "_tm_digest"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
+    return matched.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import checkpointed, salt_of, text_or_empty
+from .common import checkpointed, id_hash, salt_of, text_or_empty
 from .components import connected_components
 
 RADIUS = 3
@@ -231,12 +231,11 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     rows one stays.
     """
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
-    prints = checkpointed(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")))
-    of = components(prints.select("_id", "_fp"), radius).filter("_id <=> _component").distinct()
-    # One row of the component's smallest id: its fingerprint may have several texts, of which the least hash stays.
-    kept = prints.join(of.select(F.col("_id").alias("_i"), F.col("_fp").alias("_f")), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_fp") == F.col("_f")), "left_semi")
-    kept = kept.groupBy("_id").agg(F.min("_h").alias("_h")).select(F.col("_id").alias("_k"), F.col("_h").alias("_g"))
-    keyed = df.withColumn("_tm_h", F.xxhash64(text_or_empty(text_col)))
-    matched = keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(kept["_k"]) & (keyed["_tm_h"] == kept["_g"]), "left_semi")
-    first = Window.partitionBy(id_col, "_tm_h").orderBy("_tm_h")
-    return matched.withColumn("_tm_rank", F.row_number().over(first)).filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    prints = checkpointed(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")).withColumn("_i", id_hash("_id")))
+    of = components(prints.select("_id", "_fp"), radius).filter("_id <=> _component").select(id_hash("_id").alias("_i"), "_fp").distinct()
+    # A component's smallest id may have several texts: the least hash of those with its fingerprint stays.
+    kept = prints.join(of, ["_i", "_fp"], "left_semi").groupBy(F.col("_i").alias("_tm_g")).agg(F.min("_h").alias("_tm_h"))
+    keyed = df.withColumns({"_tm_g": F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("\0"))), "_tm_h": F.xxhash64(text_or_empty(text_col))})
+    first = Window.partitionBy("_tm_g", "_tm_h").orderBy("_tm_h")
+    matched = keyed.join(kept, ["_tm_g", "_tm_h"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
+    return matched.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
