@@ -148,7 +148,7 @@ def latex_table(df: DataFrame, columns: list[str], order: list[str], caption: st
 
     def cell(c: str) -> Column:
         kind = dict(df.dtypes)[c]
-        text = F.format_string("%.4f", F.col(c)) if kind in ("double", "float") else latex_escape(F.col(c).cast("string"))
+        text = F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))) if kind in ("double", "float") else latex_escape(F.col(c).cast("string"))
         return F.coalesce(text, F.lit("--"))
 
     row = F.concat(F.concat_ws(" & ", *[cell(c) for c in columns]), F.lit(r" \\"))

@@ -44,7 +44,9 @@ def parse_records(lines: DataFrame, layout: tuple = LAYOUT, value: str = "value"
 
 
 def read_records(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> DataFrame:
-    return parse_records(spark.read.option("encoding", "ISO-8859-1").text(path), layout)
+    """Records of Latin-1 files. The text source reads UTF-8 only, so lines come as the one field of a delimited file."""
+    lines = spark.read.options(encoding="ISO-8859-1", sep="\u0001", quote="", escape="").schema("value string").csv(path)
+    return parse_records(lines, layout)
 
 
 def spot_market(records: DataFrame, market: str = "010") -> DataFrame:
