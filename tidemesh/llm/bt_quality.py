@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import checkpointed, id_remainder, text_or_empty
+from .common import bounded_batches, checkpointed, id_remainder, text_or_empty
 
 #: At most this many labelled documents of each class are fitted on, the first by a hash of their ids.
 SAMPLE_PER_CLASS = 4000
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
+    bounded_batches(docs.sparkSession)
     allowed = id_remainder("_id", FOLDS) != HELD_OUT
     sample = labelled_sample(docs, labels, label_col, allowed, id_col, text_col, per_class)
     rows = sample.select("_id", "_label", vector(F.col("_text").cast("binary")).alias("x")).toPandas().sort_values("_id", kind="stable")

@@ -50,3 +50,14 @@ def salt_of(name: str, salts: int) -> Column:
 def id_hash(name: str) -> Column:
     """A never-null hash of an id, for join keys: a null-safe comparison would give up the hash partitioning."""
     return F.xxhash64(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\0")))
+
+
+#: Texts of one Arrow batch; at the usual size the texts of a batch alone would fill hundreds of MB.
+TEXTS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, on the JVM and in Python; a smaller setting of the session stays."""
+    if int(spark.conf.get(_BATCH, "10000")) > TEXTS_PER_BATCH:
+        spark.conf.set(_BATCH, str(TEXTS_PER_BATCH))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import checkpointed, id_hash, salt_of, text_or_empty
+from .common import bounded_batches, checkpointed, id_hash, salt_of, text_or_empty
 from .components import connected_components
 
 RADIUS = 3
@@ -220,6 +220,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint, or null where no row with an id shares it; an empty table
     gives no rows; other columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     prints = df.select(F.col(id_col).cast("long").alias("_id"), fingerprint(text_or_empty(text_col), width).alias("_fp"))
     return components(prints, radius).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
@@ -230,6 +231,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     A row is recognised by its id and its text's hash; of wholly repeated
     rows one stays.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
     prints = checkpointed(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")).withColumn("_i", id_hash("_id")))
     of = components(prints.select("_id", "_fp"), radius).filter("_id <=> _component").select(id_hash("_id").alias("_i"), "_fp").distinct()
