@@ -9,13 +9,15 @@ from .common import SPACE, checkpointed, text_or_empty
 
 #: Samples in a fingerprint, 16 bits (four hex digits) each.
 SAMPLES = 24
+#: Samples drawn in one row.
+TOGETHER = 12
 #: The signature of a text without words.
 EMPTY = "0000"
 
 
-def _draws(term: str, k: int) -> list[Column]:
-    """The k-th sample's random numbers of a term: gamma r, ln of gamma c, uniform b, and a hash."""
-    h1, h2 = f"xxhash64({term}, {2 * k})", f"xxhash64({term}, {2 * k + 1})"
+def _draws(k: int, base: str) -> list[Column]:
+    """A sample's random numbers of a term: gamma r, ln of gamma c, uniform b, and a hash; the sample's number is base + k."""
+    h1, h2 = f"xxhash64(_term, 2 * ({base} + {k}))", f"xxhash64(_term, 2 * ({base} + {k}) + 1)"
     two_32, two_21 = "4294967295", "2097151"
     gamma = "-ln(({a} + 0.5D) * ({b} + 0.5D) * {scale}D)"
     r = gamma.format(a=f"({h1} & {two_32})", b=f"shiftrightunsigned({h1}, 32)", scale=2.0**-64)
@@ -25,7 +27,7 @@ def _draws(term: str, k: int) -> list[Column]:
 
 
 def _sample(weight_ln: str, k: int) -> Column:
-    """The k-th sample: the term and level whose ln(a) is least, with 16 bits that name both.
+    """The term and level whose ln(a) is least in a sample, with 16 bits that name both.
 
     With t = floor(ln S / r + b) and ln y = r (t - b), ln a = ln c - ln y - r.
     ln a, shifted to be positive, fills the high bits, so a minimum of longs
@@ -36,22 +38,33 @@ def _sample(weight_ln: str, k: int) -> Column:
     return F.min(F.expr(f"shiftleft({a}, 16) | ((h{k} + {t} * 40503) & 65535)"))
 
 
-def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
+def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES, kept: dict[str, Column] | None = None) -> DataFrame:
     """Fingerprints from rows (keys, _term, weights): one array column ``_fp_<weight>`` per weight column.
 
     Rows must be unique by keys and term. A term's random numbers come from its
     hash and the sample's number alone, so equal weighted sets agree in every
     sample and the chance of agreement in one is sum(min) / sum(max) of the weights.
+    A weight of 0 is absence. ``kept`` adds aggregates over other columns of ``terms``.
+
+    Samples are drawn TOGETHER at a time, each part over a copy of the rows:
+    the generated code for more in one row is longer than the JVM compiles.
     """
+    kept = kept or {}
+    others = [c for c in terms.columns if c not in (*keys, *weights)]
+    parts = -(-samples // TOGETHER)
+    each = -(-samples // parts)
     logs = [F.ln(F.col(w).cast("double")).alias(f"_ln_{w}") for w in weights]
-    drawn = terms.select(*keys, *logs, *[c for k in range(samples) for c in _draws("_term", k)])
-    least = [_sample(f"_ln_{w}", k).alias(f"_{w}_{k}") for w in weights for k in range(samples)]
-    made = drawn.groupBy(*keys).agg(*least)
+    split = terms.select(*keys, *others, *logs, F.explode(F.array(*[F.lit(p) for p in range(parts)])).alias("_part"))
+    drawn = split.select(*keys, *others, "_part", *[f"_ln_{w}" for w in weights], *[c for k in range(each) for c in _draws(k, f"_part * {each}")])
+    least = [_sample(f"_ln_{w}", k).alias(f"_{w}_{k}") for w in weights for k in range(each)]
+    made = drawn.groupBy(*keys, "_part").agg(*least, *[c.alias(n) for n, c in kept.items()])
 
     def array(w: str) -> Column:
-        return F.array(*[F.coalesce(F.col(f"_{w}_{k}").bitwiseAND(F.lit(65535)), F.lit(-1)).cast("int") for k in range(samples)])
+        return F.array(*[F.coalesce(F.col(f"_{w}_{k}").bitwiseAND(F.lit(65535)), F.lit(-1)).cast("int") for k in range(each)])
 
-    return made.select(*keys, *[array(w).alias(f"_fp_{w}") for w in weights])
+    made = made.select(*keys, "_part", *kept, *[array(w).alias(f"_fp_{w}") for w in weights])
+    whole = [F.slice(F.flatten(F.array(*[F.max(F.when(F.col("_part") == p, F.col(f"_fp_{w}"))) for p in range(parts)])), 1, samples).alias(f"_fp_{w}") for w in weights]
+    return made.groupBy(*keys).agg(*[F.max(n).alias(n) for n in kept], *whole)
 
 
 def likeness(a: str, b: str) -> Column:
@@ -76,18 +89,18 @@ def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", samples
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Each distinct document's neighbours in ascending id: (_id, _h, _next_id, _next_h, _prev_id, _prev_h, _prev_n).
+    """Each distinct document with its neighbours in ascending id: (_g, _h, _id, _next_g, _next_h, _prev_g, _prev_h, _prev_n).
 
-    Ids, hashes and lengths, never texts, are range-partitioned; windows run
-    within a partition and the partitions' ends are joined from a table with
-    one row per partition. The last document's next is the first.
+    ``rows`` has _g and _h, hashes of id and text, _id and _n, the length. Only
+    these, never texts, are range-partitioned; windows run within a partition
+    and the partitions' ends are joined from a table with one row per
+    partition. The last document's next is the first.
     """
-    ordered = (
-        rows.groupBy("_id", "_h").agg(F.max("_n").alias("_n")).repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_h")).withColumn("_part", F.spark_partition_id())
-    )
+    one = rows.groupBy("_id", "_g", "_h").agg(F.max("_n").alias("_n"))
+    ordered = one.repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_h")).withColumn("_part", F.spark_partition_id())
     here = Window.partitionBy("_part").orderBy(F.col("_id").asc_nulls_last(), F.col("_h"))
-    me = F.struct("_id", "_h", "_n")
-    placed = checkpointed(ordered.select("_part", me.alias("_me"), F.lag(me).over(here).alias("_prev"), F.lead(me).over(here).alias("_next")))
+    me = F.struct("_g", "_h", "_n")
+    placed = checkpointed(ordered.select("_part", "_id", me.alias("_me"), F.lag(me).over(here).alias("_prev"), F.lead(me).over(here).alias("_next")))
     heads = placed.filter("_prev is null").select("_part", F.col("_me").alias("_head"))
     tails = placed.filter("_next is null").select("_part", F.col("_me").alias("_tail"))
     across = Window.orderBy("_part")
@@ -98,11 +111,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
         F.coalesce(F.lead("_head").over(across), F.first("_head").over(whole)).alias("_after"),
     )
     joined = placed.join(F.broadcast(ends), "_part").withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after"))
-    return joined.select("_me._id", "_me._h", F.col("_next._id").alias("_next_id"), F.col("_next._h").alias("_next_h"), F.col("_prev._id").alias("_prev_id"), F.col("_prev._h").alias("_prev_h"), F.col("_prev._n").alias("_prev_n"))
-
-
-def _same(a: DataFrame, b: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> Column:
-    return a[left[0]].eqNullSafe(b[right[0]]) & (a[left[1]] == b[right[1]])
+    sides = [F.col(f"_{side}.{c}").alias(f"_{side}{c}") for side, cs in (("next", ("_g", "_h")), ("prev", ("_g", "_h", "_n"))) for c in cs]
+    return joined.select("_me._g", "_me._h", "_id", *sides)
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -120,33 +130,35 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     text's hash; rows that repeat both take one place and each keeps its
     result row; an empty table gives no rows; other columns are ignored.
     """
-    base = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
-    near = neighbours(base.select("_id", "_h", F.length("_text").alias("_n")))
-    near = checkpointed(near)
-    repeat = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h"))
-    # Hash-partitioned by (_id, _h): the window, the join and both aggregates below keep that partitioning.
-    texts = base.withColumn("_copy", repeat).withColumn("_n", F.length("_text"))
-    near_r = near.withColumnsRenamed({"_id": "_i", "_h": "_g"})
-    full = texts.join(near_r.hint("shuffle_merge"), (texts["_id"].eqNullSafe(near_r["_i"])) & (texts["_h"] == near_r["_g"])).drop("_i", "_g")
-    heads = full.filter("_copy = 1").select(F.col("_prev_id").alias("_i"), F.col("_prev_h").alias("_g"), F.expr("substring(_text, 1, cast(_prev_n div 2 as int))").alias("_head"))
-    both = full.join(heads.hint("shuffle_merge"), full["_id"].eqNullSafe(heads["_i"]) & (full["_h"] == heads["_g"])).select(
-        "_id", "_h", "_copy", "_n", "_next_id", "_next_h", "_prev_id", "_prev_h", "_text", F.concat(F.expr("substring(_text, 1, cast(_n - _n div 2 as int))"), "_head").alias("_edited")
-    )
-    keys = ["_id", "_h", "_copy"]
-    words = both.select(*keys, F.expr("stack(2, 0, _text, 1, _edited) as (_which, _t)")).select(*keys, "_which", F.explode(F.split("_t", SPACE + "+")).alias("_w"))
-    terms = words.groupBy(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term")).agg(
-        F.sum(F.when(F.col("_w") != "", 1 - F.col("_which"))).alias("own"), F.sum(F.when(F.col("_w") != "", F.col("_which"))).alias("edit")
+    keyed = df.select(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))).alias("_g"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    keyed = keyed.withColumn("_h", F.xxhash64("_text"))
+    near = checkpointed(neighbours(keyed.select("_g", "_h", "_id", F.length("_text").alias("_n"))))
+    # All that follows up to the fingerprints is partitioned by (_g, _h): a text is exchanged once and a prefix once.
+    repeat = F.row_number().over(Window.partitionBy("_g", "_h").orderBy("_h"))
+    links = near.select("_g", "_h", "_prev_g", "_prev_h", "_prev_n")
+    full = keyed.select("_g", "_h", "_text").withColumn("_copy", repeat).join(links.hint("shuffle_merge"), ["_g", "_h"])
+    # Copies are numbered from 1; "in" keeps Spark from cutting this side's window short, so both sides share one exchange.
+    heads = full.filter(F.col("_copy").isin(0, 1)).select(F.col("_prev_g").alias("_g"), F.col("_prev_h").alias("_h"), F.expr("substring(_text, 1, cast(_prev_n div 2 as int))").alias("_head"))
+    both = full.join(heads.hint("shuffle_merge"), ["_g", "_h"]).withColumn("_n", F.length("_text"))
+    keys = ["_g", "_h", "_copy"]
+    both = both.select(*keys, "_n", "_text", F.concat(F.expr("substring(_text, 1, cast(_n - _n div 2 as int))"), "_head").alias("_edited")).withColumn("_sha", F.sha2("_edited", 256))
+    # The edited text's digest, as four longs, and the length travel as terms of kinds of their own, so texts are read once.
+    facts = [f"conv(substring(_sha, {16 * k + 1}, 16), 16, -10)" for k in range(4)] + ["_n"]
+    rows = ", ".join(["0, _text, null", "1, _edited, null"] + [f"{k + 2}, '', cast({x} as bigint)" for k, x in enumerate(facts)])
+    words = both.select(*keys, F.expr(f"stack({len(facts) + 2}, {rows}) as (_kind, _t, _fact)")).select(*keys, "_kind", "_fact", F.explode(F.split("_t", SPACE + "+")).alias("_w"))
+    word = F.col("_w") != ""
+    terms = words.groupBy(*keys, F.when(F.col("_kind") > 1, F.col("_kind")).otherwise(0).alias("_fact_kind"), F.when(word, F.xxhash64("_w")).otherwise(F.col("_fact")).alias("_term")).agg(
+        F.sum(F.when(word & (F.col("_kind") == 0), 1).otherwise(0)).alias("own"), F.sum(F.when(word & (F.col("_kind") == 1), 1).otherwise(0)).alias("edit")
     )
-    made = checkpointed(signatures(terms, keys, ["own", "edit"], samples))
-    facts = both.select(*keys, "_n", F.sha2("_edited", 256).alias("_sha"), "_next_id", "_next_h")
-    after = made.filter("_copy = 1").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("_fp_own").alias("_fp_next"))
-    facts = facts.withColumnsRenamed({"_id": "_fi", "_h": "_fh", "_copy": "_fc"})
-    own = facts.join(made, facts["_fi"].eqNullSafe(made["_id"]) & (facts["_fh"] == made["_h"]) & (facts["_fc"] == made["_copy"]))
-    out = own.join(after, own["_next_id"].eqNullSafe(after["_i"]) & (own["_next_h"] == after["_g"]))
+    kept = {f"_fact{k}": F.max(F.when(F.col("_fact_kind") == k + 2, F.col("_term"))) for k in range(len(facts))}
+    made = checkpointed(signatures(terms, keys, ["own", "edit"], samples, kept))
+    after = made.filter("_copy = 1").select(F.col("_g").alias("_next_g"), F.col("_h").alias("_next_h"), F.col("_fp_own").alias("_fp_next"))
+    out = made.join(near.select("_g", "_h", "_id", "_next_g", "_next_h"), ["_g", "_h"]).join(after, ["_next_g", "_next_h"])
+    sha = F.concat(*[F.lpad(F.hex(f"_fact{k}"), 16, "0") for k in range(4)])
     return out.select(
         F.col("_id").alias(id_col),
-        F.col("_n").cast("long").alias("n_chars"),
-        F.col("_sha").alias("edited_sha256"),
+        F.col("_fact4").alias("n_chars"),
+        F.lower(sha).alias("edited_sha256"),
         hex_of("_fp_own").alias("fingerprint"),
         hex_of("_fp_edit").alias("edited_fingerprint"),
         likeness("_fp_own", "_fp_edit").alias("near_edited"),
