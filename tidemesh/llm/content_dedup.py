@@ -9,14 +9,18 @@ from .common import SPACE, checkpointed, id_hash, salt_of, text_or_empty
 
 #: Parts into which the copies of one text are dealt before they are sorted.
 SALTS = 64
+#: Characters of a text that its place in the sort begins with.
+HEAD = 32
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Group equal texts; one row per input row with the row that stays.
 
-    Sampled splitters range-partition the normalised bytes (all white space
+    Sampled splitters range-partition the normalised texts (all white space
     removed), the sort within a partition places equal texts next to each
-    other, and the window compares each text in full with its neighbour. The
+    other, and the window compares each text in full with its neighbour. Texts
+    sort by their first HEAD characters, then a hash, then in full, so the
+    splitters that the driver samples stay small however long texts are. The
     salt, part of the sort key, lets the splitters cut a group of copies into
     up to ``salts`` runs, so no task receives one hot group; the runs' winners
     (a digest and three numbers, not texts) are then merged.
@@ -29,10 +33,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (
         df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"), salt_of(id_col, salts).alias("_salt"))
         .select("_id", "_salt", F.length("_t").alias("_n"), F.regexp_replace("_t", SPACE + "+", "").alias("_norm"))
-        .repartitionByRange("_norm", "_salt")
+        .withColumns({"_head": F.substring("_norm", 1, HEAD), "_hash": F.xxhash64("_norm")})
+        .repartitionByRange("_head", "_hash", "_salt")
     )
     order = [F.col("_n").desc(), F.col("_id").asc_nulls_last()]
-    run = Window.partitionBy("_norm", "_salt").orderBy(*order)
+    run = Window.partitionBy("_head", "_hash", "_salt", "_norm").orderBy(*order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = checkpointed(
         rows.select(
