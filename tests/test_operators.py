@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemesh.functions import scalars
 from tidemesh.operators import calendar, cleaning, correlation, events, statistics
 from tidemesh.plans.base import rounded
-from tidemesh.sources import quotes, sinks
+from tidemesh.sources import config, quotes, sinks
 from tidemesh.streaming import rolling
 
 
@@ -176,3 +176,22 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.table("rolled").select("start", "event_type", "events").collect()))
     want = sorted(map(tuple, rolling.rolling_counts(batch.withColumn("ts", F.col("ts").cast("timestamp")), None, "7 days", "1 day").select("start", "event_type", "events").collect()))
     assert got == want and got
+
+
+def test_config_dimensions_and_log(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": {"c": 3}}, "tickers": {"x": ["A3", "B4"], "y": ["B4", "C11"]}}')
+    c = config.load(str(tmp_path / "c.json"))
+    assert config.get(c, "a.b.c") == 3 and config.get(c, "a.x.c", 0) == 0
+    assert config.tickers(c, "todos") == ["A3", "B4", "C11"] and config.tickers(c, "none") == []
+    dim = config.ticker_dimension(spark, {"A3": {"sigla": "A", "nome_pt": "Alfa", "aliases": ["AA"], "ceo_timeline": [{"nome": "P", "data_inicio": "2000-01-01"}, {"nome": "Q", "data_inicio": "1990-01-01", "data_fim": "2000-01-01"}]}, "A4": {"sigla": "A"}})
+    timeline = dim.select("ticker", F.explode("timeline").alias("t")).select("ticker", "t.*")
+    days = spark.createDataFrame([("A3", day("1999-12-31")), ("A3", day("2000-01-01")), ("A4", day("2005-01-01")), ("A4", day("1980-01-01"))], "ticker string, day date")
+    got = {(r["ticker"], r["day"]): r["name"] for r in events.in_office(days, timeline, dim).collect()}
+    assert got == {("A3", day("1999-12-31")): "Q", ("A3", day("2000-01-01")): "P", ("A4", day("2005-01-01")): "P", ("A4", day("1980-01-01")): None}
+    assert scalars.search_dimension(dim, "aa").count() == 1 and scalars.search_dimension(dim, "a").count() == 2
+    assert config.legacy_map(spark, {"X": "Y"}).first()["present"] == "Y"
+    assert config.event_calendar(spark, [{"shock_start": "2008-09-15"}], "s").first()["status"] == "configured"
+    sinks.append_log(spark, str(tmp_path / "log"), "f", "success", 3)
+    sinks.append_log(spark, str(tmp_path / "log"), "g", "failed", 0)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert sinks.zip_files(str(tmp_path), "*.json", str(tmp_path / "z.zip")) == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -34,3 +36,17 @@ def graphml(edges: DataFrame, window: int) -> DataFrame:
     spark = edges.sparkSession
     head = spark.createDataFrame([(0, f'<?xml version="1.0" encoding="utf-8"?><graphml><key id="d0" for="edge" attr.name="distance" attr.type="double"/><graph id="{escape(str(window))}" edgedefault="undirected">'), (3, "</graph></graphml>")], "part int, line string")
     return head.unionByName(nodes).unionByName(links)
+
+
+def append_log(spark, path: str, source: str, status: str, rows: int) -> None:
+    """One line of an ingest log table."""
+    spark.sql("SELECT current_timestamp() AS at").select("at", F.lit(source).alias("source"), F.lit(status).alias("status"), F.lit(rows).cast("long").alias("rows")).write.mode("append").parquet(path)
+
+
+def zip_files(folder: str, pattern: str, target: str) -> int:
+    """Files of the driver's folder that match, such as rendered figures, in one archive; their number."""
+    found = sorted(Path(folder).glob(pattern))
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in found:
+            z.write(f, f.name)
+    return len(found)
