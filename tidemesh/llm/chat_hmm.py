@@ -25,6 +25,7 @@ MARKERS = {"system": 0, "instruction": 0, "user": 1, "human": 1, "question": 1,
 _NAMES = "|".join(sorted(MARKERS, key=len, reverse=True))
 MARKER = rf"^\s*(?:#{{1,3}} ?|\*\*|\[|<\|)?({_NAMES})(?:\|>|\]:?|:\*\*|:)\s*"
 #: Values of a line's symbol: marker (none or a role), blank line before, question, length class, first line.
+PARTS = (4, 2, 2, 3, 2)
 SYMBOLS = 4 * 2 * 2 * 3 * 2
 
 
@@ -73,8 +74,13 @@ class Model:
         t = np.where(allowed, step + 0.5, 0.0)
         with np.errstate(divide="ignore"):
             t = np.log(t / t.sum(1, keepdims=True))
-        e = emit + 0.05
-        return Model(np.r_[s, np.full(k, -np.inf)], t, np.log(e / e.sum(1, keepdims=True)))
+        # A symbol's parts are taken as independent given the state, so unseen combinations score by their parts.
+        parts = emit.reshape(STATES, *PARTS)
+        e = np.zeros(parts.shape)
+        for axis in range(1, parts.ndim):
+            one = parts.sum(tuple(a for a in range(1, parts.ndim) if a != axis), keepdims=True) + 0.05
+            e = e + np.log(one / one.sum(axis, keepdims=True))
+        return Model(np.r_[s, np.full(k, -np.inf)], t, e.reshape(STATES, SYMBOLS))
 
     def through(self, symbols: np.ndarray, first: bool) -> np.ndarray:
         """Best log probability from each state before these lines to each state at their end."""
@@ -99,19 +105,29 @@ class Model:
         return out
 
 
-def _groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of rows with equal keys, from batches sorted by them; a run may span batches."""
+def _runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, int]]]]:
+    """Columns, and the bounds of the runs of equal keys in them, from batches sorted by the keys; a run may span batches."""
     held = None
+
+    def cut(last: bool) -> tuple[dict[str, np.ndarray], list[tuple[int, int]], int]:
+        change = np.zeros(len(held), bool)
+        change[0] = True
+        for k in keys:
+            v = held[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        at = [*np.flatnonzero(change).tolist(), *([len(held)] if last else [])]
+        return {c: held[c].to_numpy() for c in held.columns}, list(zip(at[:-1], at[1:], strict=True)), at[-1]
+
     for batch in batches:
         held = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
-        if not len(held):
-            continue
-        change = np.flatnonzero((held[keys] != held[keys].shift()).any(axis=1).to_numpy())
-        for a, b in zip(change[:-1], change[1:], strict=True):
-            yield held.iloc[a:b]
-        held = held.iloc[change[-1] :].reset_index(drop=True)
+        if len(held):
+            columns, bounds, end = cut(False)
+            if bounds:
+                yield columns, bounds
+            held = held.iloc[end:].reset_index(drop=True)
     if held is not None and len(held):
-        yield held
+        columns, bounds, _ = cut(True)
+        yield columns, bounds
 
 
 def _sorted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -128,31 +144,33 @@ def decode(seen: DataFrame, model: Model) -> DataFrame:
     """
 
     def matrices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["_conv", "_block"]):
-            m = model.through(g["_symbol"].to_numpy(), bool(g["_first"].iloc[0]))
-            yield pd.DataFrame({"_conv": [g["_conv"].iloc[0]], "_block": [g["_block"].iloc[0]], "_m": [m.ravel().tolist()]})
+        for c, bounds in _runs(batches, ["_conv", "_block"]):
+            heads = [a for a, _ in bounds]
+            made = [model.through(c["_symbol"][a:b], bool(c["_first"][a])).ravel().tolist() for a, b in bounds]
+            yield pd.DataFrame({"_conv": c["_conv"][heads], "_block": c["_block"][heads], "_m": made})
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["_conv"]):
-            score, back = np.zeros(STATES), []
-            score[1:] = -np.inf  # the state before a conversation doesn't matter
-            for m in g["_m"]:
-                ways = score[:, None] + np.asarray(m).reshape(STATES, STATES)
-                back.append(ways.argmax(0))
-                score = ways.max(0)
-            last = int(score.argmax())
-            ends = []
-            for b in reversed(back):
-                ends.append((int(b[last]), last))
-                last = int(b[last])
-            before, at = zip(*reversed(ends), strict=True)
-            yield pd.DataFrame({"_conv": g["_conv"].to_numpy(), "_block": g["_block"].to_numpy(), "_before": before, "_last": at})
+        for c, bounds in _runs(batches, ["_conv"]):
+            before, at = np.empty(bounds[-1][1], np.int32), np.empty(bounds[-1][1], np.int32)
+            for a, b in bounds:
+                score, back = np.zeros(STATES), []
+                score[1:] = -np.inf  # the state before a conversation doesn't matter
+                for m in c["_m"][a:b]:
+                    ways = score[:, None] + np.asarray(m).reshape(STATES, STATES)
+                    back.append(ways.argmax(0))
+                    score = ways.max(0)
+                last = int(score.argmax())
+                for k in range(b - 1, a - 1, -1):
+                    at[k] = last
+                    before[k] = last = int(back[k - a][last])
+            n = bounds[-1][1]
+            yield pd.DataFrame({"_conv": c["_conv"][:n], "_block": c["_block"][:n], "_before": before, "_last": at})
 
     def paths(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["_conv", "_block"]):
-            r = g.iloc[0]
-            states = model.path(g["_symbol"].to_numpy(), bool(r["_first"]), int(r["_before"]), int(r["_last"]))
-            yield pd.DataFrame({"_conv": g["_conv"].to_numpy(), "_block": g["_block"].to_numpy(), "_pos": g["_pos"].to_numpy(), "_state": states})
+        for c, bounds in _runs(batches, ["_conv", "_block"]):
+            states = np.concatenate([model.path(c["_symbol"][a:b], bool(c["_first"][a]), int(c["_before"][a]), int(c["_last"][a])) for a, b in bounds])
+            n = bounds[-1][1]
+            yield pd.DataFrame({"_conv": c["_conv"][:n], "_block": c["_block"][:n], "_pos": c["_pos"][:n], "_state": states})
 
     least = seen.groupBy("_conv").agg(F.min("_block").alias("_low"))
     rows = seen.select("_conv", "_block", "_pos", "_symbol").join(least, "_conv").withColumn("_first", F.col("_block") == F.col("_low")).drop("_low")
