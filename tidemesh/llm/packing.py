@@ -5,26 +5,29 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 CAPACITY = 4096
 END = 2
 #: A piece fills its class's slot to at least 1 - 1/SLACK; a longer gap is closed by cutting.
 SLACK = 64
 #: Words a Python worker remembers the ids of; beyond it starts anew. It bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 FLUSH_BYTES = 4 << 20
+#: Put between words that are tokenised together.
+MARK = b"\x1e"
 
 PIECE_FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins words across it, so a
@@ -38,30 +41,58 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            made = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(part, made, strict=True))
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        out = []
-        for k in range(0, len(words), REMEMBERED // 4):
-            part = words[k : k + REMEMBERED // 4]
-            try:
-                out.append(b"".join(map(self.__getitem__, part)))
-            except KeyError:
-                self.learn(set(part))
-                out.append(b"".join(map(self.__getitem__, part)))
-        return b"".join(out)
+        """Tokenise words not known yet: in lines, with a mark between words at which their ids are parted."""
+        odd = [w for w in words if self.mark is None or MARK in w]
+        plain = [w for w in words if self.mark is not None and MARK not in w]
+        lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        between = b" " + MARK + b" "
+        for line, made in zip(lines, self._encode([between.join(x).decode() for x in lines]), strict=True):
+            ids = np.array(made.ids, "<u4")
+            raw, cuts = ids.tobytes(), 4 * np.flatnonzero(ids == self.mark)
+            starts, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
+            self.known.update(zip(line, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        self.known.update(zip(odd, [np.array(e.ids, "<u4").tobytes() for e in self._encode([w.decode() for w in odd])], strict=True))
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words not known yet are tokenised together for all of them."""
+        found, gaps = [], []
+        for text in texts:
+            words = text.split()
+            made = list(map(self.known.get, words))
+            at = -1
+            while True:
+                try:
+                    at = made.index(None, at + 1)
+                except ValueError:
+                    break
+                gaps.append((made, at, words[at]))
+            found.append(made)
+            if len(gaps) > REMEMBERED // 4:
+                self._fill(gaps)
+        self._fill(gaps)
+        return [b"".join(made) for made in found]
+
+    def _fill(self, gaps: list[tuple[list, int, bytes]]) -> None:
+        for k in range(0, len(gaps), REMEMBERED // 4):
+            part = gaps[k : k + REMEMBERED // 4]
+            words = {w for _, _, w in part}
+            new = {w for w in words if w not in self.known}
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = words
+            self.learn(new)
+            for made, at, w in part:
+                made[at] = self.known[w]
+        gaps.clear()
 
 
 _words: dict[int, WordIds] = {}
@@ -136,6 +167,20 @@ class Packer:
         return self.capacity if left >= self.capacity else 1 << max(left.bit_length() - 1, 0)
 
 
+def _chunks(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+    """A batch's ids and texts, about ``size`` bytes at a time."""
+    docs, texts, held = [], [], 0
+    for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+        docs.append(doc.as_py())
+        texts.append(text.as_py())
+        held += len(texts[-1])
+        if held >= size:
+            yield docs, texts
+            docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def pack_batches(batches: Iterable[pa.RecordBatch], id_type: pa.DataType, id_col: str, tokenizer_json: str, end: int, capacity: int, slack: int) -> Iterator[pa.RecordBatch]:
     words, packer = word_ids(tokenizer_json), Packer(capacity, slack)
     context = TaskContext.get()
@@ -166,11 +211,12 @@ def pack_batches(batches: Iterable[pa.RecordBatch], id_type: pa.DataType, id_col
         sequence += 1
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for pieces in packer.add(doc, words.ids(text) + end_bytes):
-                close(pieces)
-                if held >= FLUSH_BYTES:
-                    yield emit()
+        for docs, texts in _chunks(batch):
+            for doc, ids in zip(docs, words.ids(texts), strict=True):
+                for pieces in packer.add(doc, ids + end_bytes):
+                    close(pieces)
+                    if held >= FLUSH_BYTES:
+                        yield emit()
     for pieces in packer.rest():
         close(pieces)
         if held >= FLUSH_BYTES:
@@ -193,6 +239,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded_batches(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
