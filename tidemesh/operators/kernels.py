@@ -38,9 +38,15 @@ def neighbours(n: int, u: np.ndarray, v: np.ndarray) -> list[list[int]]:
     return out
 
 
+def ascending(e: pd.DataFrame) -> pd.DataFrame:
+    """Edges by distance; ties, to 12 places as sums differ in the last by partitioning, by (u, v)."""
+    order = np.lexsort((e["v"].to_numpy(str), e["u"].to_numpy(str), e["distance"].round(12).to_numpy()))
+    return e.iloc[order]
+
+
 def spanning_tree(e: pd.DataFrame) -> pd.DataFrame:
-    """Edges of the minimum spanning forest; ties by (u, v)."""
-    e = e.sort_values(["distance", "u", "v"], kind="stable")
+    """Edges of the minimum spanning forest."""
+    e = ascending(e)
     nodes, u, v = indexed(e)
     root = list(range(len(nodes)))
 
@@ -60,8 +66,8 @@ def spanning_tree(e: pd.DataFrame) -> pd.DataFrame:
 
 
 def planar_filter(e: pd.DataFrame) -> pd.DataFrame:
-    """Edges of the planar maximally filtered graph; ties by (u, v)."""
-    e = e.sort_values(["distance", "u", "v"], kind="stable")
+    """Edges of the planar maximally filtered graph."""
+    e = ascending(e)
     nodes, u, v = indexed(e)
     return e.iloc[filtered_graph(len(nodes), list(zip(u.tolist(), v.tolist(), strict=True)))]
 
