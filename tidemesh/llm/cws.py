@@ -11,6 +11,8 @@ from .common import SPACE, checkpointed, text_or_empty
 SAMPLES = 24
 #: Samples drawn in one row.
 TOGETHER = 12
+#: Documents of one partition, about.
+TEXTS = 1000
 #: The signature of a text without words.
 EMPTY = "0000"
 
@@ -134,9 +136,11 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = keyed.withColumn("_h", F.xxhash64("_text"))
     near = checkpointed(neighbours(keyed.select("_g", "_h", "_id", F.length("_text").alias("_n"))))
     # All that follows up to the fingerprints is partitioned by (_g, _h): a text is exchanged once and a prefix once.
+    # Partitions hold about TEXTS documents, so that their words' counts fit in memory.
+    spread = min(max(near.count() // TEXTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000)
     repeat = F.row_number().over(Window.partitionBy("_g", "_h").orderBy("_h"))
     links = near.select("_g", "_h", "_prev_g", "_prev_h", "_prev_n")
-    full = keyed.select("_g", "_h", "_text").withColumn("_copy", repeat).join(links.hint("shuffle_merge"), ["_g", "_h"])
+    full = keyed.select("_g", "_h", "_text").repartition(spread, "_g", "_h").withColumn("_copy", repeat).join(links.hint("shuffle_merge"), ["_g", "_h"])
     # Copies are numbered from 1; "in" keeps Spark from cutting this side's window short, so both sides share one exchange.
     heads = full.filter(F.col("_copy").isin(0, 1)).select(F.col("_prev_g").alias("_g"), F.col("_prev_h").alias("_h"), F.expr("substring(_text, 1, cast(_prev_n div 2 as int))").alias("_head"))
     both = full.join(heads.hint("shuffle_merge"), ["_g", "_h"]).withColumn("_n", F.length("_text"))
