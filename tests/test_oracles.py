@@ -1,4 +1,8 @@
-"""Every registered query with SQL equals DuckDB's answer, on the smallest tables; the others run."""
+"""Every registered query with SQL equals DuckDB's answer; the others run.
+
+The smallest tables are too sparse for the brand panel: correlations of two
+observations are +-1 but for rounding, on which engines differ.
+"""
 
 import duckdb
 import numpy as np
@@ -8,7 +12,7 @@ import pytest
 import __spark_entry__
 from tidemesh.plans.base import QUERIES, SQL
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -21,7 +25,7 @@ def con():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
