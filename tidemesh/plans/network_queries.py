@@ -393,7 +393,7 @@ def s24_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window: bounds, nodes, and four structural metrics of the nearest-neighbour graph."""
-    e = knn(spark, sf_dir)
+    e = knn(spark, sf_dir).persist()  # read by three metrics below
     w = calendar.month_windows(panels.panel(spark, sf_dir))
     out = w.join(graphs.basics(e).select("window_id", "n_nodes", "n_edges", "mean_degree"), "window_id").join(graphs.distance_moments(e).select("window_id", "dist_mean", "dist_std"), "window_id")
     return out.join(graphs.clustering(e), "window_id")
