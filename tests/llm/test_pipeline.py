@@ -39,7 +39,7 @@ def test_stages_in_turn(spark, tmp_path):
 
 
 def test_run_and_registration(spark):
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, D)
     assert np.all(np.array([r["length"] for r in out.select("length").collect()]) > 0)
 
