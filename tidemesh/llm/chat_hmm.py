@@ -187,13 +187,14 @@ def turns(lines: DataFrame, model: Model) -> DataFrame:
     earlier block are found from one row per block.
     """
     seen = checkpointed(observed(lines))
-    states = decode(seen, model).withColumnsRenamed({"_conv": "_c", "_block": "_b", "_pos": "_p"})
-    got = seen.join(states, (seen["_conv"] == states["_c"]) & (seen["_block"] == states["_b"]) & (seen["_pos"] == states["_p"])).drop("_c", "_b", "_p")
+    states = decode(seen, model)
     upto = Window.partitionBy("_conv", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    got = checkpointed(got.withColumn("_own", F.max(F.when(F.col("_state") < len(ROLES), F.col("_pos"))).over(upto)))
+    got = checkpointed(states.withColumn("_own", F.max(F.when(F.col("_state") < len(ROLES), F.col("_pos"))).over(upto)))
     before = Window.partitionBy("_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = got.groupBy("_conv", "_block").agg(F.max("_own").alias("_max")).withColumn("_carried", F.max("_max").over(before)).drop("_max")
-    named = got.join(blocks, ["_conv", "_block"]).withColumn("_start", F.coalesce("_own", "_carried"))
+    starts = got.join(blocks, ["_conv", "_block"]).select("_conv", "_block", "_pos", "_state", F.coalesce("_own", "_carried").alias("_start"))
+    # Up to here only numbers moved; each line now meets its turn's start, and turns are put together.
+    named = seen.drop("_state").join(starts, ["_conv", "_block", "_pos"])
     line = F.when(F.col("_state") < len(ROLES), F.regexp_replace("_line", "(?i)" + MARKER, "")).otherwise(F.col("_line"))
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.pmod(F.min("_state"), F.lit(len(ROLES))) + 1)
     parts = F.sort_array(F.collect_list(F.struct("_pos", line.alias("line"))))
@@ -222,7 +223,9 @@ def conversation_lines(df: DataFrame, id_col: str = "conv_id", turn_col: str = "
     """
     conv = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
     rows = df.select(conv.alias("_conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(0)).alias("_turn"), F.coalesce(F.lower(role_col), F.lit("user")).alias("_role"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_conv", "_turn").orderBy("_role", "_text")) - 1)
+    # One exchange serves this window and those over (_conv, _block) that follow.
+    rows = rows.withColumn("_block", F.floor(F.col("_turn") / TURNS_PER_BLOCK)).repartition("_conv", "_block")
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_conv", "_block", "_turn").orderBy("_role", "_text")) - 1)
     name = F.initcap("_role")
     style = F.pmod(F.xxhash64("_conv"), F.lit(4))
     mark = F.when(style == 0, F.concat(name, F.lit(": "))).when(style == 1, F.concat(F.lit("### "), F.when(F.col("_role") == "user", "Human").otherwise(name), F.lit(": ")))
@@ -230,9 +233,9 @@ def conversation_lines(df: DataFrame, id_col: str = "conv_id", turn_col: str = "
     bare = (F.pmod(F.xxhash64("_conv", "_turn"), F.lit(8)) == 0) & (F.col("_turn") > 0)
     written = F.concat(F.when(bare, "").otherwise(mark), "_text", F.lit("\n"))
     known = F.when(F.col("_role") == "system", 0).when(F.col("_role") == "assistant", 2).otherwise(1)
-    lines = rows.select("_conv", "_turn", "_copy", known.alias("_known"), F.posexplode(F.split(written, r"\r?\n")).alias("_n", "_line"))
+    lines = rows.select("_conv", "_block", "_turn", "_copy", known.alias("_known"), F.posexplode(F.split(written, r"\r?\n")).alias("_n", "_line"))
     pos = F.shiftleft(F.col("_turn"), 36) + F.shiftleft(F.col("_copy").cast("long"), 20) + F.col("_n")
-    return lines.select("_conv", F.floor(F.col("_turn") / TURNS_PER_BLOCK).alias("_block"), pos.alias("_pos"), "_line", (F.col("_known") + F.when(F.col("_n") == 0, 0).otherwise(len(ROLES))).cast("int").alias("_state"))
+    return lines.select("_conv", "_block", pos.alias("_pos"), "_line", (F.col("_known") + F.when(F.col("_n") == 0, 0).otherwise(len(ROLES))).cast("int").alias("_state"))
 
 
 def fit(df: DataFrame, sample: int = SAMPLE, **columns: str) -> Model:
