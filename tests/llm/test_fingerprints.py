@@ -177,6 +177,17 @@ def test_drop_near(spark):
     assert simhash_bk.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_drop_near_without_ids_and_with_repeated_ids(spark):
+    far = [f"t{k} alone {k * k} words here" for k in range(4)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (5, far[2]), (5, far[3]), (2, far[3]), (None, far[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash_bk.drop_near(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, far[0]), (None, far[1]), (5, far[2]), (2, far[3])], key=str)
+    of = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_bk.near_duplicates(df).collect()}
+    prints = [f"{brute_simhash(t):016x}" for t in far]
+    assert of == {(None, prints[0]): None, (None, prints[1]): None, (5, prints[2]): 5, (5, prints[3]): 2, (2, prints[3]): 2, (None, prints[3]): 2}
+
+
 def test_components_of_long_chain_and_star(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     star = [(1000, 1000 + k) for k in range(1, 400)]

@@ -197,17 +197,22 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """From rows (_id, _fp): each row's component, the smallest id reachable; rows (_id, _fp, _component).
+    """Each row's component: the columns of ``prints`` (_id, _fp and others), _root and _component.
 
-    Equal fingerprints meet first, in up to SALTS parts each, so copies are
-    one node afterwards and no task gathers a hot group. Ids are longs.
+    A node is a fingerprint, so rows that share an id, or have none, are told
+    apart. ``_root`` is the smallest fingerprint of the component and names it;
+    ``_component`` is its smallest id, null where no row of it has one. Equal
+    fingerprints meet first, in up to SALTS parts each, so copies are one node
+    afterwards and no task gathers a hot group. Ids are longs.
     """
     rows = checkpointed(prints.withColumn("_salt", salt_of("_id", SALTS)))
     parts = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_least"))
-    nodes = checkpointed(parts.groupBy("_fp").agg(F.min("_least").alias("node"), F.collect_list("_salt").alias("_salts")))
-    found = connected_components(links(nodes.filter("node is not null").select("node", "_fp"), radius))
-    named = nodes.join(found, "node", "left").select("_fp", F.coalesce("component", "node").alias("_component"), F.explode("_salts").alias("_salt"))
-    return rows.join(named, ["_fp", "_salt"]).select("_id", "_fp", "_component")
+    nodes = checkpointed(parts.groupBy("_fp").agg(F.min("_least").alias("_least"), F.collect_list("_salt").alias("_salts")))
+    found = connected_components(links(nodes.select(F.col("_fp").alias("node"), "_fp"), radius)).select(F.col("node").alias("_fp"), F.col("component").alias("_root"))
+    rooted = nodes.join(found, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+    least = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
+    named = rooted.join(least, "_root").select("_fp", "_root", "_component", F.explode("_salts").alias("_salt"))
+    return rows.join(named, ["_fp", "_salt"]).select(*prints.columns, "_root", "_component")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
@@ -215,10 +220,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents link if their fingerprints differ in at most ``radius`` bits.
     Defined cases: null or empty text has fingerprint zero and links like any
-    other; rows that repeat an id are one node if their texts agree and link
-    through their fingerprints else; null ids get the component of their
-    fingerprint, or null where no row with an id shares it; an empty table
-    gives no rows; other columns are ignored.
+    other; rows that repeat an id link through their fingerprints alone; null
+    ids link like any other and get the smallest id of their component, or
+    null where no row of it has one; an empty table gives no rows; other
+    columns are ignored.
     """
     bounded_batches(df.sparkSession)
     prints = df.select(F.col(id_col).cast("long").alias("_id"), fingerprint(text_or_empty(text_col), width).alias("_fp"))
@@ -226,18 +231,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``df`` that stay, one of each component: the one with the smallest id.
+    """The rows of ``df`` that stay, one of each component: the one with the smallest id, null ids last.
 
-    A row is recognised by its id and its text's hash; of wholly repeated
-    rows one stays.
+    A row is recognised by its id and its text's hash; of texts that share the
+    smallest id the one with the least hash stays, of wholly repeated rows one.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
-    prints = checkpointed(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")).withColumn("_i", id_hash("_id")))
-    of = components(prints.select("_id", "_fp"), radius).filter("_id <=> _component").select(id_hash("_id").alias("_i"), "_fp").distinct()
-    # A component's smallest id may have several texts: the least hash of those with its fingerprint stays.
-    kept = prints.join(of, ["_i", "_fp"], "left_semi").groupBy(F.col("_i").alias("_tm_g")).agg(F.min("_h").alias("_tm_h"))
+    of = components(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")), radius)
+    best = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_h").alias("h"))).alias("_best")
+    kept = of.groupBy("_root").agg(best).select(F.col("_best.id").alias("_id"), F.col("_best.h").alias("_tm_h"))
+    return matched(df, kept, id_col, text_col)
+
+
+def matched(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text hash are those of a row (_id, _tm_h) of ``kept``, each pair once."""
+    kept = kept.select(id_hash("_id").alias("_tm_g"), "_tm_h")
     keyed = df.withColumns({"_tm_g": F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("\0"))), "_tm_h": F.xxhash64(text_or_empty(text_col))})
     first = Window.partitionBy("_tm_g", "_tm_h").orderBy("_tm_h")
-    matched = keyed.join(kept, ["_tm_g", "_tm_h"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
-    return matched.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    found = keyed.join(kept, ["_tm_g", "_tm_h"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
+    return found.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
