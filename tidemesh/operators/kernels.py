@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .planarity import filtered_graph
 
@@ -551,12 +552,12 @@ def swapped_edges(u: np.ndarray, v: np.ndarray, rng: np.random.Generator, swaps:
     e = [(int(min(a, b)), int(max(a, b))) for a, b in zip(u, v, strict=True)]
     have, m = set(e), len(e)
     done = 0
-    for _ in range(10 * swaps * m):
-        if done >= swaps * m or m < 2:
+    tries = (x for _ in range(10 * swaps) for x in rng.integers(0, (m, m, 2), (m, 3)).tolist())
+    for i, j, turned in tries if m > 1 else ():
+        if done >= swaps * m:
             break
-        i, j = rng.integers(0, m, 2)
         (a, b), (c, d) = e[i], e[j]
-        if rng.integers(0, 2):
+        if turned:
             c, d = d, c
         x, y = (min(a, d), max(a, d)), (min(c, b), max(c, b))
         if len({a, b, c, d}) == 4 and x not in have and y not in have:
@@ -567,49 +568,123 @@ def swapped_edges(u: np.ndarray, v: np.ndarray, rng: np.random.Generator, swaps:
     return sorted(e)
 
 
-def null_tests(edges: DataFrame, samples: int = 100) -> DataFrame:
-    """Per window: transitivity against degree-preserving swaps, degrees against random graphs of as many edges, modularity against permuted labels.
+def transitivity(n: int, e: list[tuple[int, int]]) -> float:
+    a = np.zeros((n, n))
+    for x, y in e:
+        a[x, y] = a[y, x] = 1
+    deg = a.sum(0)
+    wedges = (deg * (deg - 1)).sum()
+    return float(np.trace(a @ a @ a) / wedges) if wedges else 0.0
 
-    Each test gives a statistic, z, two-sided normal p, and empirical share;
-    the verdict counts rejections: two or three reject, one is inconclusive.
-    """
 
-    def transitivity(n: int, e: list[tuple[int, int]]) -> float:
-        a = np.zeros((n, n))
-        for x, y in e:
-            a[x, y] = a[y, x] = 1
-        deg = a.sum(0)
-        wedges = (deg * (deg - 1)).sum()
-        return float(np.trace(a @ a @ a) / wedges) if wedges else 0.0
+#: Global metrics of a graph that are held against random graphs.
+GRAPH_METRICS = ("nodes", "edges", "density", "mean_degree", "max_degree", "components", "largest_component", "clustering", "transitivity", "assortativity", "mean_path", "diameter") + tuple(f"ricci_{x}" for x in ("mean", "var", "std", "skew", "kurt", "q10", "q50", "q90", "iqr", "min", "max"))
 
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["u", "v"])
-        nodes, u, v = indexed(g)
-        n, window = len(nodes), int(g["window_id"].iloc[0])
-        rng = np.random.default_rng(window)
-        w = g["weight"].to_numpy(float)
-        rows = []
 
-        def judge(name: str, seen: float, null: np.ndarray) -> None:
-            sd = null.std()
-            z = (seen - null.mean()) / sd if sd > 0 else 0.0
-            rows.append((name, seen, z, math.erfc(abs(z) / math.sqrt(2)), float((null >= seen).mean())))
+def graph_metrics(n: int, u: np.ndarray, v: np.ndarray, strength: np.ndarray | None = None) -> list[float]:
+    """GRAPH_METRICS; an undefined one is nan. Paths are of the largest component, curvature weighs edges by ``strength`` (1 by default)."""
+    a = np.zeros((n, n))
+    a[u, v] = a[v, u] = 1
+    deg = a.sum(0)
+    closed = np.einsum("ij,ji->i", a @ a, a)
+    wedges = deg * (deg - 1)
+    local = np.where(wedges > 0, closed / np.where(wedges > 0, wedges, 1), 0.0)
+    far, seen, ring = np.zeros((n, n)), np.eye(n, dtype=bool), np.eye(n)
+    for step in range(1, n):
+        new = (ring @ a > 0) & ~seen
+        if not new.any():
+            break
+        far[new], seen, ring = step, seen | new, new.astype(float)
+    reach = seen.sum(1)
+    part = np.flatnonzero(seen[int(reach.argmax())])
+    inner = far[np.ix_(part, part)]
+    k = len(part)
+    x, y = np.r_[deg[u], deg[v]], np.r_[deg[v], deg[u]]
+    w = np.ones(len(u)) if strength is None else strength
+    root = np.bincount(u, 1 / np.sqrt(w), n) + np.bincount(v, 1 / np.sqrt(w), n)
+    # Each end's sum over its other edges of 1 / sqrt(w_e w_f), times w_e.
+    curved = 2 - np.sqrt(w) * (root[u] + root[v] - 2 / np.sqrt(w))
+    r = pd.Series(curved)
+    q10, q25, q50, q75, q90 = np.quantile(curved, (0.1, 0.25, 0.5, 0.75, 0.9))
+    components = round(float((1 / reach).sum()))
+    return [n, len(u), len(u) / (n * (n - 1) / 2), deg.mean(), deg.max(), components, k, local.mean(), closed.sum() / wedges.sum() if wedges.sum() else 0.0, float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 else math.nan, inner.sum() / (k * (k - 1)) if k > 1 else math.nan, inner.max() if k > 1 else math.nan, r.mean(), r.var(), r.std(), r.skew(), r.kurt(), q10, q50, q90, q75 - q25, curved.min(), curved.max()]
+
+
+def metric_tests(seen: np.ndarray, null: np.ndarray, alpha: float = 0.05) -> tuple[int, np.ndarray, np.ndarray]:
+    """Significant metrics after Bonferroni, z, and two-sided normal p; metrics defined in under ten samples are not tested, constant ones never significant."""
+    tested = ~np.isnan(seen) & ((~np.isnan(null)).sum(0) >= 10)
+    z, p = np.full(len(seen), np.nan), np.full(len(seen), np.nan)
+    for k in np.flatnonzero(tested):
+        x = null[~np.isnan(null[:, k]), k]
+        sd = x.std(ddof=1)
+        if np.ptp(x) > 1e-12:
+            z[k] = (seen[k] - x.mean()) / sd
+            p[k] = math.erfc(abs(z[k]) / math.sqrt(2))
+    return int((p < alpha / max(tested.sum(), 1)).sum()), z, p
+
+
+#: Samples of one task.
+SAMPLES_PER_TASK = 50
+#: Partitions of the samples; a number that is given keeps small ones from being joined, as drawing is slow beside their size.
+TASKS = 96
+
+
+def null_tests(edges: DataFrame, samples: int = 1000) -> DataFrame:
+    """Per window the battery of three tests, and beside it transitivity against the degree-preserving null.
+
+    metrics: GRAPH_METRICS against random graphs of as many edges; the
+    statistic is the number significant after Bonferroni, z and p (Bonferroni)
+    are the strongest metric's, share is of the tested ones; three reject.
+    degrees: the share of KS tests of the degrees against those graphs with p
+    below 0.05; over 0.95 rejects; statistic is the mean gap, p the mean p.
+    modularity: Louvain's on the graph against Louvain's on each
+    degree-preserving randomisation, whose edges weigh 1; p is the share of
+    samples at least as modular; below 0.05 rejects. Two or three rejections
+    reject, one is inconclusive. Samples are split over tasks by window and
+    seed range; a sample's numbers depend on window and number alone.
+    """
 
-        judge("transitivity", transitivity(n, list(zip(u, v, strict=True))), np.array([transitivity(n, swapped_edges(u, v, rng, 2)) for _ in range(samples)]))
+    def draw(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["u", "v"])
+        nodes, u, v = indexed(g)
+        n, window, part = len(nodes), int(g["window_id"].iloc[0]), int(g["_part"].iloc[0])
         deg = np.bincount(np.r_[u, v], minlength=n)
-        d = []
-        for _ in range(samples):
+        rows = []
+        if not part:
+            w = g["weight"].to_numpy(float)
+            real = graph_metrics(n, u, v, 1 / (g["distance"].to_numpy(float) + 1e-9))
+            rows.append((window, -1, real, None, None, partition_quality(n, u, v, w, louvain(n, u, v, w)), transitivity(n, list(zip(u, v, strict=True)))))
+        for k in range(part * SAMPLES_PER_TASK, min(samples, (part + 1) * SAMPLES_PER_TASK)):
+            rng = np.random.default_rng((window, k))
             a, b = random_edges(n, len(u), rng)
-            d.append(ks_two_sample(deg, np.bincount(np.r_[a, b], minlength=n))[1])
-        share = float((np.array(d) < 0.05).mean())
-        rows.append(("degrees", share, 0.0, 1 - share, share))
-        label = louvain(n, u, v, w)
-        judge("modularity", partition_quality(n, u, v, w, label), np.array([partition_quality(n, u, v, w, rng.permutation(label)) for _ in range(samples)]))
-        rejected = sum(r[3] < 0.05 for r in rows)
+            gap, p = ks_two_sample(deg, np.bincount(np.r_[a, b], minlength=n))
+            e = swapped_edges(u, v, rng)
+            x, y = np.array(e).T
+            one = np.ones(len(e))
+            rows.append((window, k, graph_metrics(n, a, b), gap, p, partition_quality(n, x, y, one, louvain(n, x, y, one)), transitivity(n, e)))
+        return pd.DataFrame(rows, columns=["window_id", "sample", "metrics", "gap", "p", "modularity", "transitivity"])
+
+    def judge(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("sample")
+        real, null = g.iloc[0], g.iloc[1:]
+        hits, z, p = metric_tests(np.array(real["metrics"], float), np.stack([np.array(x, float) for x in null["metrics"]]))
+        tested = int((~np.isnan(p)).sum())
+        top = int(np.nanargmax(np.abs(z))) if tested else None
+        rows = [("metrics", float(hits), z[top] if tested else 0.0, min(1.0, p[top] * tested) if tested else 1.0, hits / tested if tested else 0.0)]
+        share = float((null["p"] < 0.05).mean())
+        rows.append(("degrees", float(null["gap"].mean()), 0.0, float(null["p"].mean()), share))
+        for name in ("modularity", "transitivity"):
+            x = null[name].to_numpy(float)
+            at_least = float((x >= real[name]).mean())
+            zscore = (real[name] - x.mean()) / x.std() if x.std() > 0 else 0.0
+            rows.append((name, real[name], zscore, at_least if name == "modularity" else math.erfc(abs(zscore) / math.sqrt(2)), at_least))
+        rejected = (hits >= 3) + (share > 0.95) + (rows[2][3] < 0.05)
         verdict = "reject" if rejected >= 2 else "inconclusive" if rejected else "keep"
-        return pd.DataFrame([(window, *r, verdict) for r in rows], columns=["window_id", "test", "statistic", "zscore", "pvalue", "share", "verdict"])
+        return pd.DataFrame([(int(real["window_id"]), *r, verdict) for r in rows], columns=["window_id", "test", "statistic", "zscore", "pvalue", "share", "verdict"])
 
-    return grouped(edges.select(*EDGE_COLUMNS), ["window_id"], of, "window_id int, test string, statistic double, zscore double, pvalue double, share double, verdict string")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-samples // SAMPLES_PER_TASK) - 1)))
+    drawn = grouped(edges.select(*EDGE_COLUMNS, parts.alias("_part")).repartition(TASKS, "window_id", "_part"), ["window_id", "_part"], draw, "window_id int, sample int, metrics array<double>, gap double, p double, modularity double, transitivity double")
+    return grouped(drawn, ["window_id"], judge, "window_id int, test string, statistic double, zscore double, pvalue double, share double, verdict string")
 
 
 #: Statistics of a distance matrix that are held against the null.
@@ -624,7 +699,7 @@ def matrix_statistics(x: np.ndarray, bins: int = 20) -> list[float]:
     return [x.mean(), float(np.median(x)), sd, (z**3).mean(), (z**4).mean() - 3, float(np.subtract(*np.quantile(x, [0.75, 0.25]))), float(-(p * np.log2(p)).sum()), sd / x.mean() if x.mean() else 0.0]
 
 
-def distance_null_tests(pairs: DataFrame, samples: int = 100) -> DataFrame:
+def distance_null_tests(pairs: DataFrame, samples: int = 1000) -> DataFrame:
     """Per window: each statistic of the distances against random matrices (z, two-sided p, percentile, Bonferroni), and the largest KS gap's verdict.
 
     Three significant statistics reject, one is weak. The gap decides strongly,

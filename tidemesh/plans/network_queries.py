@@ -307,12 +307,12 @@ def g20_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def g24_g27_r21_r23_null_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(kernels.null_tests(kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir))), 50))
+    return rounded(kernels.null_tests(kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))))
 
 
 @query(None)
 def r18_r20_distance_null_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(kernels.distance_null_tests(pairs(spark, sf_dir), 50))
+    return rounded(kernels.distance_null_tests(pairs(spark, sf_dir)))
 
 
 @query(None)
