@@ -345,7 +345,7 @@ def _euclid(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
 
 
-def cross_method(pairs: DataFrame, max_k: int = 8) -> DataFrame:
+def cross_method(pairs: DataFrame, max_k: int = 10) -> DataFrame:
     """Per window and linkage, on the rows of the correlation matrix: k of the best silhouette, that, and modularity on positive correlations."""
 
     def of(p: pd.DataFrame) -> pd.DataFrame:

@@ -205,7 +205,7 @@ def g32_node_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def c7_grouped_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linkage's best cut per window and its modularity, Ward only."""
-    return rounded(kernels.cross_method(pairs(spark, sf_dir)).filter("method = 'ward'"))
+    return rounded(kernels.cross_method(pairs(spark, sf_dir), 8).filter("method = 'ward'"))
 
 
 @query(None)
