@@ -7,21 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, text_or_empty
+from .common import WORD, checkpointed, row_struct, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: A mix repeats no document more often than this.
 CAP = 3
 SEED = 42
-#: A document over 1/LARGE of its source's words is large.
-LARGE = 64
-#: A table of more sources than this isn't broadcast.
+#: Draws of a source and size class are counted in this many equal cells.
+CELLS = 1024
+#: A table of more sources than this isn't broadcast but joined by a shuffle; the rows that come out are the same.
 BROADCAST_SOURCES = 50_000
+#: Repeated rows are numbered in runs of this many.
+RUN = 4096
+#: More repeated keys than this aren't broadcast; the rows that come out are the same.
+BROADCAST_REPEATS = 200_000
 
 
-def draw(id_col: str, seed: int = SEED) -> Column:
-    """A document's hash-seeded draw, uniform on 0 .. 2^32 - 1."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def draw(id_: Column, digest: Column, ordinal: Column, seed: int = SEED) -> Column:
+    """A row's hash-seeded draw, uniform on 0 .. 2^32 - 1, from its id, its text's digest and its number among equal rows."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(":"), ordinal.cast("string"))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
@@ -29,13 +33,28 @@ def words(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    return df.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).alias("_source"),
-        words(text_col).alias("_size"),
-        draw(id_col, seed).alias("_u"),
-    )
+def digest(text_col: str) -> Column:
+    return F.md5(text_or_empty(text_col).cast("binary"))
+
+
+def size_class(size: Column) -> Column:
+    """Four times the number of binary digits plus the two digits after the first: sizes of a class differ by less than a quarter."""
+    digits = F.length(F.bin(size))
+    return (digits * 4 + F.call_function("shiftright", size * 4, digits - 1) - 4).cast("int")
+
+
+def counted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The distinct (_id, _source, _digest, _size) with the number _m of their rows, summed before the shuffle."""
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), digest(text_col).alias("_digest"), words(text_col).alias("_size"))
+    return rows.groupBy("_id", "_source", "_digest", "_size").agg(F.count(F.lit(1)).alias("_m"))
+
+
+def drawn(groups: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row per row counted, with its draw _u: equal rows are numbered from 0, run by run, so no array grows with them."""
+    runs = groups.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {RUN}"))))
+    last = F.least(F.col("_m") - 1, F.col("_run") * RUN + (RUN - 1))
+    each = runs.withColumn("_n", F.explode(F.sequence(F.col("_run") * RUN, last)))
+    return each.select("_id", "_source", "_size", draw(F.col("_id"), F.col("_digest"), F.col("_n"), seed).alias("_u"))
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -43,7 +62,8 @@ def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -
 
     Sources ordered by cap * size / weight are capped from the front; the level
     (words per unit of weight) after capping the first k rises while sources
-    must be capped and falls after, so the answer is its largest value.
+    must be capped and falls after, so the answer is its largest value. The
+    rows of sources, a name and four numbers each, are sorted in one task.
     """
     every = Window.orderBy(F.col("_source").asc_nulls_last())
     by_need = Window.orderBy(F.col("_limit") / F.col("_weight"), F.col("_source").asc_nulls_last())
@@ -61,97 +81,67 @@ def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -
     )
 
 
-def _within(draws: DataFrame, cells: DataFrame, cell: str) -> DataFrame:
-    cells = cells.select(F.col("_source").alias("_x"), F.col(cell).alias("_y"))
-    return draws.join(cells, draws["_source"].eqNullSafe(cells["_x"]) & (draws[cell] == cells["_y"]), "left_semi")
+def chances(rows: DataFrame) -> DataFrame:
+    """Per source, its size classes from the largest: (_x, _classes: array of (bits, words, cells: array of (cell, words)))."""
+    some = rows.filter("_size > 0").groupBy("_source", size_class(F.col("_size")).alias("_bits"), F.floor(F.col("_u") / (2**32 // CELLS)).cast("int").alias("_cell")).agg(F.sum("_size").alias("_w"))
+    classes = some.groupBy("_source", "_bits").agg(F.sum("_w").alias("_words"), F.sort_array(F.collect_list(F.struct(F.col("_cell").alias("cell"), F.col("_w").alias("w")))).alias("_cells"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_bits").alias("bits"), F.col("_words").alias("words"), F.col("_cells").alias("cells"))), asc=False)
+    return classes.groupBy(F.col("_source").alias("_x")).agg(listed.alias("_classes"))
 
 
-def _crossing(draws: DataFrame, needs: DataFrame, cell: str) -> DataFrame:
-    """Of each source, the cell of draws in which the running sum of words reaches the need."""
-    upto = Window.partitionBy("_s").orderBy(cell)
-    summed = draws.groupBy(F.col("_source").alias("_s"), cell).agg(F.sum("_size").alias("_words")).withColumn("_sum", F.sum("_words").over(upto))
-    reached = F.col("_done") + F.col("_sum")
-    return (
-        summed.join(needs, summed["_s"].eqNullSafe(needs["_source"]))
-        .filter((reached - F.col("_words") < F.col("_need")) & (F.col("_need") <= reached) & (F.col("_words") > 0))
-        .select("_source", "_need", cell, (reached - F.col("_words")).alias("_done"))
-    )
+def _fractions(need: Column, size: Column, classes: Column) -> Column:
+    """A map from size class to the trial's probability, by a fold over the classes from the largest.
 
+    The first class has the fraction need / size. After each class the words
+    that its draws take (exactly by whole cells of draws, in proportion within
+    the cell of the threshold) are deducted, and the next class has the
+    fraction of what is then left.
+    """
 
-def _cut(draws: DataFrame, needs: DataFrame) -> DataFrame:
-    """Per source, the last (draw, id) that joins so that the words come nearest to the need.
+    def step(acc: Column, c: Column) -> Column:
+        f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["need"] / acc["left"].cast("double")))
+        place = f * F.lit(float(CELLS))
+        cell = F.floor(place).cast("int")
+        whole = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] < cell, x["w"]).otherwise(F.lit(0).cast("long")))
+        at = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] == cell, x["w"]).otherwise(F.lit(0).cast("long")))
+        got = whole.cast("double") + (place - cell.cast("double")) * at.cast("double")
+        return F.struct((acc["need"] - got).alias("need"), (acc["left"] - c["words"]).alias("left"), F.concat(acc["out"], F.array(F.struct(c["bits"].alias("bits"), f.alias("f")))).alias("out"))
 
-    It is found from sums by the draw's leading 12, then 24 bits, then, in the
-    one cell where they cross the need, document by document: no source is sorted.
-    """
-    draws = draws.withColumn("_c1", F.shiftright("_u", 20)).withColumn("_c2", F.shiftright("_u", 8))
-    first = _crossing(draws, needs.select("_source", "_need", F.lit(0).cast("long").alias("_done")), "_c1")
-    inside = _within(draws, first, "_c1")
-    second = _crossing(inside, first.drop("_c1"), "_c2")
-    last = Window.partitionBy("_s").orderBy("_u", F.col("_id").asc_nulls_last())
-    inside = _within(inside, second, "_c2").withColumnRenamed("_source", "_s").withColumn("_sum", F.sum("_size").over(last))
-    at = inside.join(second.drop("_c2"), inside["_s"].eqNullSafe(second["_source"])).filter("_size > 0")
-    # The crossing document joins if the sum with it is at least as near as the sum without it.
-    at = at.filter(2 * F.col("_need") >= 2 * F.col("_done") + 2 * F.col("_sum") - F.col("_size"))
-    found = at.groupBy("_s").agg(F.max(F.struct(F.col("_u").alias("u"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"))).alias("_at"))
-    # Without such a document the cut lies just before the crossing cell.
-    before = second.select(F.col("_source").alias("_f"), (F.shiftleft("_c2", 8) - 1).alias("_floor"))
-    all_of = draws.groupBy(F.col("_source").alias("_a")).agg(F.sum("_size").alias("_all"))
-    out = needs.join(found, needs["_source"].eqNullSafe(found["_s"]), "left").join(before, needs["_source"].eqNullSafe(before["_f"]), "left")
-    out = out.join(all_of, needs["_source"].eqNullSafe(all_of["_a"]), "left")
-    none = F.when((F.col("_need") > 0) & (F.col("_need") >= F.coalesce("_all", F.lit(0))), 2**32).otherwise(-1)
-    u = F.coalesce(F.col("_at.u"), F.col("_floor"), none).cast("long")
-    return out.select("_source", F.struct(u.alias("u"), F.col("_at.no_id"), F.col("_at.id")).alias("_cut"))
+    zero = F.struct(need.alias("need"), size.alias("left"), F.expr("cast(array() as array<struct<bits: int, f: double>>)").alias("out"))
+    return F.map_from_entries(F.aggregate(classes, zero, step, lambda acc: acc["out"]))
 
 
 def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per source: its size, target, whole copies, and the trial's thresholds.
-
-    The fractional copy is a Bernoulli trial on the document's draw. Draws are
-    uniform, so "draw below the fraction" and "draw among the smallest that
-    hold the fraction's words" have the same probability; the second form is
-    used, as its words don't stray from the target by the luck of the draw.
-    Documents over 1/LARGE of their source's words are tried first, for their
-    share of the words; the small ones are then tried for what is left, so one large document near the
-    threshold doesn't leave its source off the target.
+    """One row per source: its size, target, whole copies _base, and _chance, the extra copy's probability by size class.
+
+    rate = target / size; every document has floor(rate) copies, and one more
+    if its own draw lies below its class's probability: a Bernoulli trial per
+    document that no other document's draw decides. The first class's
+    probability is the rate's fraction. That of a later class is corrected for
+    the luck of the larger ones, so a source's words end near its target
+    although one document may hold much of them; over seeds its mean is still
+    the fraction, as long as the correction stays between 0 and 1.
     """
     sources = targets(rows, weights, cap)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    sources = checkpointed(sources.withColumn("_base", F.floor(rate)).withColumn("_need", F.col("_target") - F.col("_base") * F.col("_source_size")))
-    draws = with_plan(rows, sources.select("_source", "_source_size"))
-    large = draws.filter(_large())
-    share = large.groupBy(F.col("_source").alias("_l")).agg(F.sum("_size").alias("_words"))
-    share = sources.join(share, sources["_source"].eqNullSafe(share["_l"]), "left")
-    first = checkpointed(_cut(large, share.select("_source", F.coalesce(F.col("_need") * F.col("_words") / F.col("_source_size"), F.lit(0.0)).alias("_need"))))
-    taken = with_plan(large, first).filter(_passes("_cut")).groupBy(F.col("_source").alias("_t")).agg(F.sum("_size").alias("_got"))
-    left = sources.join(taken, sources["_source"].eqNullSafe(taken["_t"]), "left").select("_source", (F.col("_need") - F.coalesce("_got", F.lit(0))).alias("_need"))
-    second = _cut(draws.filter(~_large()), checkpointed(left)).withColumnsRenamed({"_source": "_b", "_cut": "_cut_small"})
-    first = first.withColumnsRenamed({"_source": "_a", "_cut": "_cut_large"})
-    out = sources.join(first, sources["_source"].eqNullSafe(first["_a"])).join(second, sources["_source"].eqNullSafe(second["_b"]))
-    return checkpointed(out.select("_source", "_source_size", "_target", "_base", "_cut_large", "_cut_small"))
-
-
-def _large() -> Column:
-    return F.col("_size") * LARGE > F.col("_source_size")
-
-
-def _passes(cut: str) -> Column:
-    tie = F.coalesce(F.col(f"{cut}.no_id"), F.lit(True)) | F.coalesce(F.col("_id") <= F.col(f"{cut}.id"), F.lit(False))
-    return (F.col("_u") < F.col(f"{cut}.u")) | ((F.col("_u") == F.col(f"{cut}.u")) & tie)
+    sources = sources.withColumn("_base", F.floor(rate)).withColumn("_need", F.col("_target") - F.col("_base") * F.col("_source_size"))
+    classes = chances(rows)
+    out = sources.join(classes, sources["_source"].eqNullSafe(classes["_x"]), "left")
+    return checkpointed(out.select("_source", "_source_size", "_target", "_base", _fractions(F.col("_need"), F.col("_source_size"), F.col("_classes")).alias("_chance")))
 
 
 def copies() -> Column:
-    """Copies of a row (_id, _size, _u) that carries the plan's columns."""
-    extra = F.when(_large(), _passes("_cut_large")).otherwise(_passes("_cut_small"))
-    return (F.col("_base") + F.when(extra, 1).otherwise(0)).cast("int")
+    """Copies of a row (_size, _u) that carries the plan's columns."""
+    f = F.coalesce(F.element_at("_chance", size_class(F.col("_size"))), F.lit(0.0))
+    return (F.col("_base") + F.when((F.col("_size") > 0) & (F.col("_u") < f * F.lit(2.0**32)), 1).otherwise(0)).cast("int")
 
 
-def with_plan(rows: DataFrame, sources: DataFrame, source_col: str = "_source") -> DataFrame:
+def with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's columns; ``sources`` is checkpointed and broadcast if it is counted to be small."""
     joined = sources.withColumnRenamed("_source", "_s")
     if sources.count() <= BROADCAST_SOURCES:
         joined = F.broadcast(joined)
-    return rows.join(joined, rows[source_col].eqNullSafe(joined["_s"])).drop("_s")
+    return rows.join(joined, rows["_source"].eqNullSafe(joined["_s"])).drop("_s")
 
 
 def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
@@ -162,11 +152,12 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     source's words and the excess goes to the others by weight. A document is
     emitted floor(rate) times and once more if its draw passes.
 
-    Defined cases: null or empty text has size 0; a null source is a source;
-    rows that repeat an id share its draw; an empty table gives no rows; other
-    columns are ignored.
+    Defined cases: null or empty text has size 0; a null source is a source; a
+    draw comes from id and text, so rows that share an id have draws of their
+    own, and wholly equal rows are numbered and drawn one by one; an empty
+    table gives no rows; other columns are ignored.
     """
-    rows = checkpointed(sized(df, id_col, text_col, source_col, seed))
+    rows = checkpointed(drawn(counted(df, id_col, text_col, source_col), seed))
     out = with_plan(rows, plan(rows, weights, cap)).withColumn("_copies", copies())
     return out.select(
         F.col("_id").alias(id_col),
@@ -178,11 +169,41 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     )
 
 
+def _numbered(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Adds _n, a row's number among the rows of its key; only rows of repeated keys move.
+
+    They are numbered within their key and input partition, and these runs are
+    put one behind the other, so one key with a third of all rows isn't one
+    task's work.
+    """
+    keys = ["_key", "_digest"]
+    few = repeats.count()
+    if not few:
+        return keyed.withColumn("_n", F.lit(0).cast("long"))
+    repeats = F.broadcast(repeats) if few <= BROADCAST_REPEATS else repeats
+    placed = keyed.withColumn("_part", F.spark_partition_id())
+    many = placed.join(repeats, keys, "left_semi")
+    runs = many.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*keys, "_part").orderBy("_size")
+    many = many.withColumn("_n", F.row_number().over(here) - 1).join(runs, [*keys, "_part"]).withColumn("_n", F.col("_n") + F.col("_before")).drop("_before")
+    single = placed.join(repeats, keys, "left_anti").withColumn("_n", F.lit(0).cast("long"))
+    return single.unionByName(many).drop("_part")
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The mixed rows themselves: all columns of ``df``, each row as often as the mix takes it."""
-    rows = checkpointed(sized(df, id_col, text_col, source_col, seed))
-    sources = plan(rows, weights, cap)
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words(text_col).alias("_size"), draw(id_col, seed).alias("_u"))
+    """The mixed rows themselves: all columns of ``df``, each row as often as the mix takes it.
+
+    Cases are those of ``mix_sizes``. Which of the rows that share id, source
+    and text is drawn under which number follows the order of the input files.
+    """
+    groups = checkpointed(counted(df, id_col, text_col, source_col))
+    sources = plan(drawn(groups, seed), weights, cap)
+    key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), F.coalesce(F.col("_source").cast("string"), F.lit("\0")))
+    repeats = groups.filter("_m > 1").select(key.alias("_key"), "_digest").distinct()
+    packed, unpacked = row_struct(df)
+    keyed = df.select(packed.alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), words(text_col).alias("_size"), digest(text_col).alias("_digest"))
+    keyed = _numbered(keyed.withColumn("_key", key), repeats).withColumn("_u", draw(F.col("_id"), F.col("_digest"), F.col("_n"), seed))
     out = with_plan(keyed, sources).withColumn("_copies", copies()).filter("_copies > 0")
-    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*unpacked)

@@ -67,10 +67,10 @@ def queries() -> dict:
 
 
 OP3_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u
-  FROM documents),
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS n FROM d),
+u AS (SELECT *, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || n), 1, 8) AS BIGINT) AS u, length(bin(size)) * 4 + ((size * 4) >> (length(bin(size)) - 1)) - 4 AS bits FROM e),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
              CAST(3 * source_size AS DOUBLE) AS lim FROM s),
@@ -79,18 +79,20 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (o ROWS BETWE
       FROM w WINDOW o AS (ORDER BY lim / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, least(lim, max(level) OVER () * weight) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
-c AS (SELECT d.*, r.source_size, r.target, r.base, r.target - r.base * r.source_size AS need, d.size * 64 > r.source_size AS large
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-b AS (SELECT *, coalesce(need * CAST(sum(size) FILTER (WHERE large) OVER (PARTITION BY source) AS DOUBLE) / source_size, 0) AS quota FROM c),
-n AS (SELECT *, sum(size) OVER (o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, row_number() OVER o AS rn
-      FROM b WINDOW o AS (PARTITION BY source, large ORDER BY u, doc_id NULLS LAST)),
-kl AS (SELECT source, max(rn) AS last FROM n WHERE large AND size > 0 AND quota > 0 AND cum - size / 2.0 <= quota GROUP BY source),
-g AS (SELECT n.source, sum(size) AS got FROM n JOIN kl ON n.source IS NOT DISTINCT FROM kl.source WHERE large AND n.rn <= kl.last GROUP BY n.source),
-m AS (SELECT n.*, n.need - coalesce(g.got, 0) AS rest FROM n LEFT JOIN g ON n.source IS NOT DISTINCT FROM g.source),
-ks AS (SELECT source, max(rn) AS last FROM m WHERE NOT large AND size > 0 AND rest > 0 AND cum - size / 2.0 <= rest GROUP BY source)
-SELECT m.doc_id, m.size, m.source_size, m.target,
-       CAST(m.size * (m.base + CASE WHEN m.rn <= CASE WHEN m.large THEN kl.last ELSE ks.last END THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM m LEFT JOIN kl ON m.source IS NOT DISTINCT FROM kl.source LEFT JOIN ks ON m.source IS NOT DISTINCT FROM ks.source
+h AS (SELECT source, bits, u // 4194304 AS cell, CAST(sum(size) AS BIGINT) AS w FROM u WHERE size > 0 GROUP BY 1, 2, 3),
+c AS (SELECT source, bits, sum(w) AS words, list({'cell': cell, 'w': w}) AS cells FROM h GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bits DESC) AS j, CAST(sum(words) OVER (PARTITION BY source ORDER BY bits) AS DOUBLE) AS rest FROM c),
+f AS (
+  SELECT k.source, k.j, k.bits, k.cells, r.target - r.base * r.source_size AS need, greatest(0.0, least(1.0, (r.target - r.base * r.source_size) / k.rest)) AS f
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source WHERE k.j = 1
+  UNION ALL
+  SELECT source, j, bits, cells, need, greatest(0.0, least(1.0, need / rest)) FROM (
+    SELECT k.source, k.j, k.bits, k.cells, k.rest,
+           p.need - (CAST(coalesce(list_sum([x.w for x in p.cells if x.cell < floor(p.f * 1024)]), 0) AS DOUBLE)
+                     + (p.f * 1024 - floor(p.f * 1024)) * CAST(coalesce(list_sum([x.w for x in p.cells if x.cell = floor(p.f * 1024)]), 0) AS DOUBLE)) AS need
+    FROM f p JOIN k ON k.source IS NOT DISTINCT FROM p.source AND k.j = p.j + 1))
+SELECT u.doc_id, u.size, r.source_size, r.target, CAST(u.size * (r.base + CASE WHEN u.size > 0 AND u.u < f.f * 4294967296.0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source LEFT JOIN f ON u.source IS NOT DISTINCT FROM f.source AND u.bits = f.bits
 """
 
 OP6_SQL = r"""
