@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, id_hash, salt_of, text_or_empty
+from .common import SPACE, checkpointed, row_struct, salt_of, text_or_empty
 
 #: Parts into which the copies of one text are dealt before they are sorted.
 SALTS = 64
+#: Copies of a text above which ``drop_exact`` deals them to salts; any number keeps the same rows.
+HOT = 10_000
+#: More hot texts than this aren't broadcast; the rows that stay are the same.
+BROADCAST_HOT = 200_000
 #: Characters of a text that its place in the sort begins with.
 HEAD = 32
 
@@ -65,15 +69,34 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.
+def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns, under the cases of ``exact_groups``.
 
-    Winners meet their rows again on id and digest, so rows that share an id
-    but not a text are told apart; of wholly repeated rows one remains.
+    A row travels with its text through the sort, so texts are exchanged once.
+    Only texts with over HOT copies, counted by hash beforehand, are cut into
+    runs by a salt; the runs' winners, up to ``salts`` a text, are the only
+    rows to move again. Of wholly repeated rows one remains.
     """
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(id_hash(id_col).alias("_tm_g"), F.col("text_sha256").alias("_tm_digest"))
+    packed, unpacked = row_struct(df)
     text = text_or_empty(text_col)
-    keyed = df.withColumns({"_tm_g": id_hash(id_col), "_tm_digest": F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256), "_tm_n": F.length(text)})
-    first = Window.partitionBy("_tm_g", "_tm_digest").orderBy(F.col("_tm_n").desc())
-    matched = keyed.join(kept, ["_tm_g", "_tm_digest"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
-    return matched.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    norm = F.regexp_replace(text, SPACE + "+", "")
+    hot = checkpointed(df.select(F.xxhash64(norm).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT).select("_hash"))
+    many = hot.count()
+    rows = df.select(packed.alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.length(text).alias("_n"), F.substring(norm, 1, HEAD).alias("_head"), F.xxhash64(norm).alias("_hash"), salt_of(id_col, salts).alias("_salt"))
+    if many:
+        marks = hot.withColumn("_hot", F.lit(True))
+        rows = rows.join(F.broadcast(marks) if many <= BROADCAST_HOT else marks, "_hash", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    else:
+        rows = rows.withColumn("_hot", F.lit(False))
+    rows = rows.withColumn("_salt", F.when(F.col("_hot"), F.col("_salt")).otherwise(0)).repartitionByRange("_head", "_hash", "_salt")
+    # The normalised text is made again behind the exchange, so only the row crosses it.
+    rows = rows.withColumn("_norm", F.regexp_replace(F.coalesce(F.col(f"_row.c{df.columns.index(text_col)}").cast("string"), F.lit("")), SPACE + "+", ""))
+    best = [F.col("_n").desc(), F.col("_id").asc_nulls_last()]
+    run = Window.partitionBy("_head", "_hash", "_salt", "_norm").orderBy(*best)
+    first = rows.withColumn("_rank", F.row_number().over(run)).filter("_rank = 1")
+    out = first
+    if many:
+        again = Window.partitionBy("_hash", "_digest").orderBy(*best)
+        won = first.filter("_hot").withColumn("_digest", F.sha2("_norm", 256)).withColumn("_rank", F.row_number().over(again)).filter("_rank = 1")
+        out = first.filter("not _hot").select("_row").unionByName(won.select("_row"))
+    return out.select(*unpacked)
