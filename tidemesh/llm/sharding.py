@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import row_struct
+
 SHARDS = 64
 #: Prime, and over a hundred slots a shard; the broadcast table has this many rows whatever the input.
 SLOTS = 65_537
@@ -57,14 +59,15 @@ def place(df: DataFrame, key_cols: Sequence[str] = ("doc_id",), shards: int | Se
     rows never move; equal keys share a shard, and adding or removing a shard
     moves few other keys. Defined cases: null keys hash like any other value;
     repeated rows go together; an empty table stays empty; a column of ``df``
-    that has one of the two result names is replaced.
+    that has one of the two result names is replaced, all others stay under
+    any name.
     """
     names = [f"shard-{k:05d}" for k in range(shards)] if isinstance(shards, int) else list(shards)
     owner = F.broadcast(table_rows(df.sparkSession, lookup_table(names, slots)))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (shard_col, slot_col)]
     keys = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in key_cols]
-    keyed = df.select(*kept, F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int").alias("_tm_slot"))
-    return keyed.join(owner, F.col("_tm_slot") == F.col("_slot")).select(*kept, F.col("_tm_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+    packed, unpacked = row_struct(df.drop(shard_col, slot_col))
+    keyed = df.select(packed.alias("_row"), F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int").alias("_at"))
+    return keyed.join(owner, F.col("_at") == F.col("_slot")).select(*unpacked, F.col("_at").alias(slot_col), F.col("_shard").alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
