@@ -6,14 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import bounded_batches, checkpointed, id_remainder, text_or_empty
+from .common import bounded_batches, checkpointed, id_remainder, row_struct, text_or_empty
 
 #: At most this many labelled documents of each class are fitted on, the first by a hash of their ids.
 SAMPLE_PER_CLASS = 4000
+#: Of each class, documents after the first that reach so many characters in all are not fitted on either.
+SAMPLE_CHARS = 64_000_000
 #: Preference pairs drawn among them.
 PAIRS = 60_000
 CUT = 0.7
@@ -128,16 +130,24 @@ def calibrate(s: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, id_col: str, text_col: str, per_class: int) -> DataFrame:
-    """The labelled documents to fit on: (_id, _label, _text), at most ``per_class`` of each label.
+    """The labelled documents to fit on: (_id, _label, _text), at most ``per_class`` of each label, one row an id.
 
     Labels decide first and by hash alone, so at most twice ``per_class`` ids
-    are broadcast to the scan of the documents.
+    are broadcast to the scan of the documents. Of rows that share an id the
+    one of the least text hash is fitted on, found before the shuffle, so a
+    repeated id neither adds to the sample nor gathers in a task. Of each
+    label, documents past SAMPLE_CHARS characters in all are left out.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     known = known.filter(allowed).groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = [known.filter(F.col("_label") == v).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(per_class) for v in (0, 1)]
     chosen = F.broadcast(checkpointed(chosen[0].union(chosen[1])))
-    return docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(chosen, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(chosen, "_id")
+    one = checkpointed(texts.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("_one")).select("_id", "_label", F.col("_one.t").alias("_text")))
+    # At most twice ``per_class`` rows of numbers are numbered here.
+    upto = Window.partitionBy("_label").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    fits = one.select("_id", "_label", F.length("_text").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).filter(F.col("_before") < SAMPLE_CHARS)
+    return one.join(F.broadcast(fits.select("_id")), "_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Ranking | float:
@@ -182,4 +192,5 @@ def classify(df: DataFrame, model: Ranking | float, id_col: str = "doc_id", text
 
 def keep_good(df: DataFrame, model: Ranking | float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score reaches CUT."""
-    return df.withColumn("_tm_score", score(model, F.col(text_col))).filter(F.col("_tm_score") >= CUT).drop("_tm_score")
+    packed, unpacked = row_struct(df)
+    return df.select(packed.alias("_row"), score(model, F.col(f"`{text_col}`")).alias("_score")).filter(F.col("_score") >= CUT).select(*unpacked)
