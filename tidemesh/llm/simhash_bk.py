@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import bounded_batches, checkpointed, id_hash, salt_of, text_or_empty
+from .common import bounded_batches, checkpointed, id_hash, row_struct, salt_of, text_or_empty
 from .components import connected_components
 
 RADIUS = 3
 SHINGLE = 3
 SALTS = 64
-#: Mean number of fingerprints in a shard above which shards are cut finer.
+#: Mean number of fingerprints in a shard above which shards are cut finer; any cutting gives the same links.
 SHARD = 256
+#: A shard of more fingerprints is searched by broadcast trees; the components are the same.
+HOT_SHARD = 50_000
+#: Fingerprints that the trees of one broadcast hold at most, eight bytes each on the way.
+ROUND = 200_000
 _CHUNK = 1 << 15
 
 
@@ -113,6 +117,19 @@ class BKTree:
                 return found
             k = self.children[k][d]
 
+    def near(self, word: int) -> list[int]:
+        """One word of each component that has a word within the radius of ``word``, which need not be in the tree."""
+        radius, found, todo = self.radius, {}, [0] if self.words else []
+        while todo:
+            k = todo.pop()
+            if self.uniform[k] and self.find(k) in found:
+                continue
+            d = (self.words[k] ^ word).bit_count()
+            if d <= radius:
+                found.setdefault(self.find(k), k)
+            todo += [c for e, c in self.children[k].items() if abs(e - d) <= radius]
+        return list(found.values())
+
 
 def shard_links(words: list[int], nodes: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Links of one shard that connect all its pairs within the radius: no more than its words."""
@@ -181,8 +198,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
     """Links (u, v) between the rows (node long, _fp long, distinct) that connect all pairs within the radius.
 
     Each fingerprint goes to its shards by a shuffle; a shard's BK-tree is
-    built and searched in the task that receives it. The trees are not
-    broadcast: together they hold every fingerprint, which has no bound.
+    built and searched in the task that receives it. All trees together hold
+    every fingerprint, which has no bound, so they aren't broadcast. Those of
+    a hot shard, which no task should hold whole, are: cut by hash into pieces
+    of bounded size, each a shard for the links within it and a broadcast for
+    those to the shard's other fingerprints, which search its tree wherever
+    they lie.
     """
     blocks = blocks or shard_keys(nodes.count(), radius)
     edge = [64 * k // blocks for k in range(blocks + 1)]
@@ -192,8 +213,50 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
         mask = sum(masks[k] for k in kept)
         keys.append(F.xxhash64(F.lit(n), F.col("_fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
     dealt = nodes.select(F.explode(F.array(*keys)).alias("_shard"), "_fp", "node")
-    dealt = dealt.repartition("_shard").sortWithinPartitions("_shard", "_fp")
-    return dealt.mapInArrow(lambda batches: _link_batches(batches, radius), "u bigint, v bigint")
+    hot = checkpointed(dealt.groupBy("_shard").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_SHARD))
+    total = hot.agg(F.sum("_n")).first()[0]
+    if total:
+        # Pieces hold half a round on average, so none exceeds it but by a chance too small to meet.
+        rounds = -(-2 * total // ROUND)
+        piece = F.pmod(F.xxhash64("_fp", F.lit(1)), F.lit(rounds))
+        marks = F.broadcast(hot.select("_shard"))
+        held = checkpointed(dealt.join(marks, "_shard").withColumn("_piece", piece))
+        dealt = dealt.join(marks, "_shard", "left_anti").unionByName(held.select(F.xxhash64("_shard", "_piece").alias("_shard"), "_fp", "node"))
+    cool = dealt.repartition("_shard").sortWithinPartitions("_shard", "_fp")
+    found = cool.mapInArrow(lambda batches: _link_batches(batches, radius), "u bigint, v bigint")
+    if total:
+        for k in range(rounds):
+            found = found.union(_broadcast_links(held, F.col("_piece") == k, radius))
+    return found
+
+
+def _broadcast_links(held: DataFrame, piece: Column, radius: int) -> DataFrame:
+    """Links of rows (_shard, _fp, node) with those of them in ``piece``, whose shards' trees are broadcast and then let go."""
+    rows = held.filter(piece).select("_shard", "_fp", "node").toArrow()
+    shared = held.sparkSession.sparkContext.broadcast([c.to_numpy() for c in rows.columns])
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, word, node = shared.value
+        order = np.lexsort((word, shard))
+        edges = np.flatnonzero(np.diff(shard[order])) + 1
+        trees = {}
+        for part in np.split(order, edges) if len(order) else []:
+            trees[int(shard[part[0]])] = (tree := BKTree(radius)), node[part]
+            for w in word[part].view(np.uint64).tolist():
+                tree.add(w)
+        for batch in batches:
+            us, vs = [], []
+            for s, w, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s in trees:
+                    tree, nodes = trees[s]
+                    for k in tree.near(w & (1 << 64) - 1):
+                        us.append(u)
+                        vs.append(int(nodes[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    found = checkpointed(held.select("_shard", "_fp", "node").mapInArrow(search, "u bigint, v bigint"))
+    shared.destroy()
+    return found
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -203,7 +266,7 @@ def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     apart. ``_root`` is the smallest fingerprint of the component and names it;
     ``_component`` is its smallest id, null where no row of it has one. Equal
     fingerprints meet first, in up to SALTS parts each, so copies are one node
-    afterwards and no task gathers a hot group. Ids are longs.
+    afterwards and no task gathers a hot group. Ids are of any ordered type.
     """
     rows = checkpointed(prints.withColumn("_salt", salt_of("_id", SALTS)))
     parts = rows.groupBy("_fp", "_salt").agg(F.min("_id").alias("_least"))
@@ -226,7 +289,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns are ignored.
     """
     bounded_batches(df.sparkSession)
-    prints = df.select(F.col(id_col).cast("long").alias("_id"), fingerprint(text_or_empty(text_col), width).alias("_fp"))
+    prints = df.select(F.col(id_col).alias("_id"), fingerprint(text_or_empty(text_col), width).alias("_fp"))
     return components(prints, radius).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
@@ -237,7 +300,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     smallest id the one with the least hash stays, of wholly repeated rows one.
     """
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
+    rows = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     of = components(rows.select("_id", fingerprint(F.col("_t"), width).alias("_fp"), F.xxhash64("_t").alias("_h")), radius)
     best = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_h").alias("h"))).alias("_best")
     kept = of.groupBy("_root").agg(best).select(F.col("_best.id").alias("_id"), F.col("_best.h").alias("_tm_h"))
@@ -246,8 +309,9 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
 
 def matched(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``df`` whose id and text hash are those of a row (_id, _tm_h) of ``kept``, each pair once."""
-    kept = kept.select(id_hash("_id").alias("_tm_g"), "_tm_h")
-    keyed = df.withColumns({"_tm_g": F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("\0"))), "_tm_h": F.xxhash64(text_or_empty(text_col))})
-    first = Window.partitionBy("_tm_g", "_tm_h").orderBy("_tm_h")
-    found = keyed.join(kept, ["_tm_g", "_tm_h"], "left_semi").withColumn("_tm_rank", F.row_number().over(first))
-    return found.filter("_tm_rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    packed, unpacked = row_struct(df)
+    kept = kept.select(id_hash("_id").alias("_g"), F.col("_tm_h").alias("_h"))
+    keyed = df.select(packed.alias("_row"), id_hash(id_col).alias("_g"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
+    first = Window.partitionBy("_g", "_h").orderBy("_h")
+    found = keyed.join(kept, ["_g", "_h"], "left_semi").withColumn("_rank", F.row_number().over(first))
+    return found.filter("_rank = 1").select(*unpacked)
