@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemesh.llm import cws, simhash_bk
 from tidemesh.llm.components import connected_components
@@ -195,3 +196,60 @@ def test_components_of_long_chain_and_star(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert all(got[k] == 0 for k in range(301)) and all(got[1000 + k] == 1000 for k in range(400))
     assert len(got) == 301 + 400
+
+
+def test_hot_shards_by_broadcast_trees(spark, monkeypatch):
+    """All fingerprints share a block, so one shard holds them; its pieces' trees are broadcast and no link is lost."""
+    fps = list(dict.fromkeys((f & ((1 << 48) - 1)) | (0xABCD << 48) for f in clustered(400, 3)))
+    nodes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "node bigint, _fp bigint")
+    monkeypatch.setattr(simhash_bk, "HOT_SHARD", 100)
+    monkeypatch.setattr(simhash_bk, "ROUND", 150)
+    got = {r["node"]: r["component"] for r in connected_components(simhash_bk.links(nodes)).collect()}
+    assert [got.get(k, k) for k in range(len(fps))] == components_of(fps)
+
+
+def test_ids_that_are_text(spark):
+    df = spark.createDataFrame([("b", "x y z w"), ("a", "x y z w"), (None, "q"), ("c", None)], "doc_id string, text string")
+    out = simhash_bk.near_duplicates(df)
+    assert dict(out.dtypes)["doc_id"] == "string" == dict(out.dtypes)["component_id"]
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {("a", "a"), ("b", "a"), (None, None), ("c", "c")}
+    assert {r["doc_id"] for r in simhash_bk.drop_near(df).collect()} == {"a", None, "c"}
+
+
+def test_a_third_of_all_rows_repeats_one(spark):
+    rows = [(None, "same words here")] * 60 + [(7, "same words here")] * 60 + [(k, f"other {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    out = simhash_bk.near_duplicates(df)
+    assert out.count() == 180 and out.filter("component_id = 7").count() == 121  # and the document of that id
+    prints = cws.edited_fingerprints(df).collect()
+    assert len(prints) == 180 and sum(r["doc_id"] is None for r in prints) == 60
+
+
+def test_signature_samples_by_brute_force(spark):
+    """The sample's law: t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r, least a wins, over the operator's own draws."""
+    terms = spark.createDataFrame([(g, int(h), int(w)) for g in range(4) for h, w in zip((11, -5, 2**40, 77, 9), (1, 2, 5, 1 + g, 30))], "g bigint, _term bigint, w bigint")
+    got = {r["g"]: r["_fp_w"] for r in cws.signatures(terms, ["g"], ["w"], 8).collect()}
+    drawn = terms.select("g", "_term", "w", F.lit(0).alias("_part"), *[c for k in range(8) for c in cws._draws(k, "_part * 8")]).collect()
+    for g in range(4):
+        for k in range(8):
+            best = None
+            for r in drawn:
+                if r["g"] == g:
+                    t = np.floor(np.log(r["w"]) / r[f"r{k}"] + r[f"b{k}"])
+                    a = r[f"c{k}"] - r[f"r{k}"] * (t - r[f"b{k}"]) - r[f"r{k}"]
+                    best = min(best or (9e9, 0), (a, (r[f"h{k}"] + int(t) * 40503) & 65535))
+            assert got[g][k] == best[1]
+
+
+def test_likeness_error_at_the_production_setting(spark):
+    """Root mean square error against exact generalised Jaccard, over the sample table's documents and their edited texts."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    ids = sorted(texts)
+    off = []
+    out = {r["doc_id"]: r for r in cws.edited_fingerprints(df).collect()}
+    for i, n in zip(ids, ids[1:] + ids[:1]):
+        h = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - h] + texts[n][:h]
+        off.append(out[i]["near_edited"] - jaccard(Counter(words(texts[i])), Counter(words(edited))))
+    assert np.sqrt(np.mean(np.square(off))) < 0.07 and abs(np.mean(off)) < 0.01

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .common import SPACE, checkpointed, text_or_empty
 
 #: Samples in a fingerprint, 16 bits (four hex digits) each.
-SAMPLES = 24
-#: Samples drawn in one row.
-TOGETHER = 12
+SAMPLES = 56
+#: Samples drawn in one row: code for more is longer than the JVM compiles well.
+TOGETHER = 8
 #: Documents of one partition, about.
 TEXTS = 1000
+#: Repeated rows are given back in runs of this many.
+RUN = 4096
 #: The signature of a text without words.
 EMPTY = "0000"
 
@@ -25,7 +27,7 @@ def _draws(k: int, base: str) -> list[Column]:
     r = gamma.format(a=f"({h1} & {two_32})", b=f"shiftrightunsigned({h1}, 32)", scale=2.0**-64)
     c = gamma.format(a=f"({h2} & {two_21})", b=f"(shiftrightunsigned({h2}, 21) & {two_21})", scale=2.0**-42)
     b = f"(shiftrightunsigned({h2}, 42) + 0.5D) * {2.0**-22}D"
-    return [F.expr(r).alias(f"r{k}"), F.expr(f"ln({c})").alias(f"c{k}"), F.expr(b).alias(f"b{k}"), F.expr(h1).alias(f"h{k}")]
+    return [F.expr(r).alias(f"r{k}"), F.expr(f"ln({c})").alias(f"c{k}"), F.expr(b).alias(f"b{k}"), F.expr(f"{h1} & 65535").alias(f"h{k}")]
 
 
 def _sample(weight_ln: str, k: int) -> Column:
@@ -49,7 +51,7 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: i
     A weight of 0 is absence. ``kept`` adds aggregates over other columns of ``terms``.
 
     Samples are drawn TOGETHER at a time, each part over a copy of the rows:
-    the generated code for more in one row is longer than the JVM compiles.
+    the generated code for more in one row runs slower.
     """
     kept = kept or {}
     others = [c for c in terms.columns if c not in (*keys, *weights)]
@@ -91,17 +93,18 @@ def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", samples
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Each distinct document with its neighbours in ascending id: (_g, _h, _id, _next_g, _next_h, _prev_g, _prev_h, _prev_n).
+    """Each distinct document with its neighbours in ascending id: (_g, _h, _id, _m, _next_g, _next_h, _prev_g, _prev_h, _prev_n).
 
-    ``rows`` has _g and _h, hashes of id and text, _id and _n, the length. Only
+    ``rows`` has _g and _h, hashes of id and text, _id and _n, the length; _m
+    counts the rows of a document, before the shuffle. Only
     these, never texts, are range-partitioned; windows run within a partition
     and the partitions' ends are joined from a table with one row per
     partition. The last document's next is the first.
     """
-    one = rows.groupBy("_id", "_g", "_h").agg(F.max("_n").alias("_n"))
+    one = rows.groupBy("_id", "_g", "_h").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_m"))
     ordered = one.repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_h")).withColumn("_part", F.spark_partition_id())
     here = Window.partitionBy("_part").orderBy(F.col("_id").asc_nulls_last(), F.col("_h"))
-    me = F.struct("_g", "_h", "_n")
+    me = F.struct("_g", "_h", "_n", "_m")
     placed = checkpointed(ordered.select("_part", "_id", me.alias("_me"), F.lag(me).over(here).alias("_prev"), F.lead(me).over(here).alias("_next")))
     heads = placed.filter("_prev is null").select("_part", F.col("_me").alias("_head"))
     tails = placed.filter("_next is null").select("_part", F.col("_me").alias("_tail"))
@@ -114,7 +117,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     )
     joined = placed.join(F.broadcast(ends), "_part").withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after"))
     sides = [F.col(f"_{side}.{c}").alias(f"_{side}{c}") for side, cs in (("next", ("_g", "_h")), ("prev", ("_g", "_h", "_n"))) for c in cs]
-    return joined.select("_me._g", "_me._h", "_id", *sides)
+    return joined.select("_me._g", "_me._h", "_id", "_me._m", *sides)
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -138,13 +141,18 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     # All that follows up to the fingerprints is partitioned by (_g, _h): a text is exchanged once and a prefix once.
     # Partitions hold about TEXTS documents, so that their words' counts fit in memory.
     spread = min(max(near.count() // TEXTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000)
-    repeat = F.row_number().over(Window.partitionBy("_g", "_h").orderBy("_h"))
-    links = near.select("_g", "_h", "_prev_g", "_prev_h", "_prev_n")
-    full = keyed.select("_g", "_h", "_text").repartition(spread, "_g", "_h").withColumn("_copy", repeat).join(links.hint("shuffle_merge"), ["_g", "_h"])
-    # Copies are numbered from 1; "in" keeps Spark from cutting this side's window short, so both sides share one exchange.
-    heads = full.filter(F.col("_copy").isin(0, 1)).select(F.col("_prev_g").alias("_g"), F.col("_prev_h").alias("_h"), F.expr("substring(_text, 1, cast(_prev_n div 2 as int))").alias("_head"))
-    both = full.join(heads.hint("shuffle_merge"), ["_g", "_h"]).withColumn("_n", F.length("_text"))
-    keys = ["_g", "_h", "_copy"]
+    keys = ["_g", "_h"]
+    texts = keyed.select(*keys, "_text")
+    if not near.filter("_m > 1").isEmpty():
+        # Only where rows repeat id and text: one stays of each input partition, then one of these.
+        for by in ([*keys, "_part"], keys):
+            texts = texts.withColumn("_part", F.spark_partition_id()) if "_part" in by else texts
+            texts = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).filter("_copy = 1")
+        texts = texts.select(*keys, "_text")
+    links = near.select(*keys, "_prev_g", "_prev_h", "_prev_n")
+    full = texts.repartition(spread, *keys).join(links.hint("shuffle_merge"), keys)
+    heads = full.select(F.col("_prev_g").alias("_g"), F.col("_prev_h").alias("_h"), F.expr("substring(_text, 1, cast(_prev_n div 2 as int))").alias("_head"))
+    both = full.join(heads.hint("shuffle_merge"), keys).withColumn("_n", F.length("_text"))
     both = both.select(*keys, "_n", "_text", F.concat(F.expr("substring(_text, 1, cast(_n - _n div 2 as int))"), "_head").alias("_edited")).withColumn("_sha", F.sha2("_edited", 256))
     # The edited text's digest, as four longs, and the length travel as terms of kinds of their own, so texts are read once.
     facts = [f"conv(substring(_sha, {16 * k + 1}, 16), 16, -10)" for k in range(4)] + ["_n"]
@@ -156,8 +164,10 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     kept = {f"_fact{k}": F.max(F.when(F.col("_fact_kind") == k + 2, F.col("_term"))) for k in range(len(facts))}
     made = checkpointed(signatures(terms, keys, ["own", "edit"], samples, kept))
-    after = made.filter("_copy = 1").select(F.col("_g").alias("_next_g"), F.col("_h").alias("_next_h"), F.col("_fp_own").alias("_fp_next"))
-    out = made.join(near.select("_g", "_h", "_id", "_next_g", "_next_h"), ["_g", "_h"]).join(after, ["_next_g", "_next_h"])
+    after = made.select(F.col("_g").alias("_next_g"), F.col("_h").alias("_next_h"), F.col("_fp_own").alias("_fp_next"))
+    out = made.join(near.select(*keys, "_id", "_m", "_next_g", "_next_h"), keys).join(after, ["_next_g", "_next_h"])
+    # A result row for each row of the document, run by run, so no array grows with them.
+    out = out.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_m - 1) div {RUN})"))).withColumn("_copy", F.explode(F.expr(f"sequence(1L, least({RUN}L, _m - _run * {RUN}))")))
     sha = F.concat(*[F.lpad(F.hex(f"_fact{k}"), 16, "0") for k in range(4)])
     return out.select(
         F.col("_id").alias(id_col),
