@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tidemesh.llm import content_dedup, mixing, queries, sharding
+from tidemesh.llm import content_dedup, mixing, queries, sharding, simhash_bk
 
 TEXTS = [
     (1, "a  b"), (2, "ab "), (3, "a b\n"), (4, None), (5, ""), (6, " \t\r\n\x0b\x0c"), (7, "ab "), (8, "long " * 30_000), (9, "x"), (9, "x"), (9, "y"), (None, "x"), (10, "ab"), (11, "é b"), (12, "éb"),
@@ -141,3 +142,69 @@ def test_write_shards(spark, tmp_path):
     df = spark.range(100).withColumnRenamed("id", "doc_id")
     sharding.write_shards(df, str(tmp_path / "out"), shards=4, slots=101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_shared_ids_are_drawn_one_by_one(spark):
+    """A third of all rows without an id, and one row repeated often: the words still come near each target."""
+    rows = [(None, f"w{k} " * 10, "a", k, "") for k in range(200)] + [(5, "same text here " * 4, "b", 0, "x")] * 300 + [(1000 + k, "v " * 6, "c", 0, "") for k in range(100)]
+    df = mixed(spark, rows)
+    out = mixing.mix_sizes(df).withColumn("source", F.when(F.col("doc_id").isNull(), "a").when(F.col("doc_id") == 5, "b").otherwise("c")).toPandas()
+    assert len(out) == len(rows)
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.12 * g.target.iloc[0]
+    got = Counter(r["source"] for r in mixing.mix(df.repartition(3)).collect())
+    assert got == Counter({s: int(g.copies.sum()) for s, g in out.groupby("source")})
+
+
+def test_chance_of_a_copy_is_the_fraction(spark):
+    """Over seeds, each document of a source is copied about as often as its rate says, whatever its size."""
+    rows = [(k, "w " * n, "a", 0, "") for k, n in enumerate([1, 1, 2, 3, 5, 8, 8, 9, 13, 20, 21, 34, 40, 55])] + [(100 + k, "v " * 40, "b", 0, "") for k in range(12)]
+    df = mixed(spark, rows)
+    times = Counter()
+    for seed in range(60):
+        out = mixing.mix_sizes(df, seed=seed).collect()
+        rate = {r["doc_id"]: r["target"] / r["source_size"] for r in out}
+        times.update({r["doc_id"]: r["copies"] for r in out})
+    a = [times[k] / 60 - rate[k] for k in range(14)]
+    assert abs(sum(a) / len(a)) < 0.05 and max(map(abs, a)) < 0.3
+
+
+def test_clashing_names_and_no_row_lost(spark):
+    df = spark.createDataFrame([(1, "a b", "g", "h", "d", "r", 1, "k"), (2, "ab", "G", "H", "D", "R", 2, "K"), (None, "c", "g", "h", "d", "r", 3, "k")], "doc_id bigint, text string, _tm_g string, _tm_h string, _tm_digest string, _row string, _slot int, _shard string")
+    for out in (content_dedup.drop_exact(df), simhash_bk.drop_near(df, width=1), sharding.place(df)):
+        names = [c for c in out.columns if c in df.columns]
+        rows = {tuple(r) for r in out.select(*names).collect()}
+        assert names == df.columns and rows <= {tuple(r) for r in df.collect()}
+    assert sharding.place(df).count() == 3 and content_dedup.drop_exact(df).count() == 2
+
+
+def test_hot_texts_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(content_dedup, "HOT", 20)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "the  same" if k % 2 else "the same", "s", "k", 0, 1) for k in range(900)] + [(5000 + k, f"t{k}", "s", "k", 0, 1) for k in range(40)] * 2
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    out = content_dedup.drop_exact(df).collect()
+    assert len(out) == 41
+    kept = [r for r in out if r["doc_id"] is None or r["doc_id"] < 5000]
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(5, "the  same")]
+
+
+def test_place_by_brute_force(spark):
+    """Shards take turns, each claiming the first free slot of its order: replayed slot by slot."""
+    names, slots = [f"s{k}" for k in range(7)], 101
+    free, owner = set(range(slots)), {}
+    orders = []
+    for n in names:
+        d = hashlib.sha256(n.encode()).digest()
+        first, skip = int.from_bytes(d[:8], "little") % slots, int.from_bytes(d[8:16], "little") % (slots - 1) + 1
+        orders.append([(first + j * skip) % slots for j in range(slots)])
+    turn = 0
+    while free:
+        slot = next(s for s in orders[turn % 7] if s in free)
+        free.remove(slot)
+        owner[slot] = turn % 7
+        turn += 1
+    assert sharding.lookup_table(names, slots) == [owner[s] for s in range(slots)]
+    df = spark.createDataFrame([(k,) for k in (1, 2, 3, None, 2**60)], "doc_id bigint")
+    keys = df.select("doc_id", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))), F.lit(slots)).alias("at")).collect()
+    want = {(r["doc_id"], r["at"], owner[r["at"]]) for r in keys}
+    assert {(r["doc_id"], r["slot"], r["shard"]) for r in sharding.place(df, shards=names, slots=slots).collect()} == want

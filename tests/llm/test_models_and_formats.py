@@ -1,10 +1,12 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemesh.llm import bt_quality, chat_hmm, kn_toxicity, packing, queries, warc_merkle
 from tidemesh.llm.packing import CAPACITY, Packer, cuts, padding
@@ -262,3 +264,163 @@ def test_whole_ranges_missing(spark):
     rows = [(k, "u", str(k)) for k in range(100)]
     out = warc_merkle.fixity(pages(spark, rows), pages(spark, rows[:50])).toPandas()
     assert set(out[~out.intact].page_id) == set(range(50, 100)) and isinstance(out, pd.DataFrame)
+
+
+def test_brute_force_ranking():
+    """Newton's weights are those of a plain descent on the same pairs, and the threshold is the best of all quantiles."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=80) > 0).astype(int)
+    model = bt_quality.rank(x, y, pairs=500)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    draw = np.random.default_rng(42)
+    i, j = draw.choice(np.flatnonzero(y == 1), 500), draw.choice(np.flatnonzero(y == 0), 500)
+    sign = draw.integers(0, 2, 500) * 2 - 1
+    d, t = (z[i] - z[j]) * sign[:, None], (sign > 0).astype(float)
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w -= 0.5 * (d.T @ (1 / (1 + np.exp(-d @ w)) - t) / 500 + 1e-3 * w)
+    assert np.allclose(w, model.weights, atol=1e-5)
+    s = z @ model.weights
+
+    def right(level):
+        return (s[y == 1] >= level).mean() + (s[y == 0] < level).mean()
+
+    assert right(model.threshold) >= max(right(q) for q in np.quantile(s, np.linspace(0, 1, 2001))) - 1e-12
+    assert ((model.scores(x) >= bt_quality.CUT) == (s >= model.threshold)).all()
+
+
+def brute_kneser_ney(top, order, discount):
+    """P_c(x | ctx) written out from the definition, by recursion."""
+    letters = {g for t in top.values() for g in t}
+    levels = {order: {g for g in letters if len(g) == order}}
+    types = Counter()
+    for length in range(order, 1, -1):
+        here = {g for g in letters if len(g) == length} | levels.get(length, set())
+        for g in here:
+            types[g[1:]] += 1
+            levels.setdefault(length - 1, set()).add(g[1:])
+    alphabet = len({g for g in types if len(g) == 1}) + 1
+
+    def shared(g):
+        if not g:
+            return 1 / alphabet
+        same = {h: n for h, n in types.items() if len(h) == len(g) and h[:-1] == g[:-1]}
+        total = sum(same.values())
+        if not total:
+            return shared(g[1:])
+        return max(types.get(g, 0) - discount, 0) / total + discount * len(same) / total * shared(g[1:])
+
+    def of(c, g):
+        same = {h: n for h, n in top[c].items() if len(h) == len(g) and h[:-1] == g[:-1]}
+        total = sum(same.values())
+        low = shared(g[1:])
+        return low if not total else max(top[c].get(g, 0) - discount, 0) / total + discount * len(same) / total * low
+
+    return of
+
+
+def test_kneser_ney_against_its_definition():
+    top = {0: Counter(top_of(["the cat sat", "on the mat"])), 1: Counter(top_of(["the bad idiot", "idiots sat"]))}
+    model = kn_toxicity.Model(top)
+    of = brute_kneser_ney(top, kn_toxicity.ORDER, kn_toxicity.DISCOUNT)
+    for word in ("the", "idiot", "idiotic", "mats", "qzx", "a"):
+        want = [sum(np.log(of(c, g)) for g in kn_toxicity.grams(word)) for c in (0, 1)]
+        plain, ratio = model.both(word)
+        assert plain == pytest.approx(want[0]) and plain + ratio == pytest.approx(want[1])
+
+
+def test_expressions_of_several_words():
+    """Words that are ordinary alone and toxic together: the pair's own counts tell, and a word's chances behind another sum to one."""
+    top = {0: top_of(["go to the old dump", "jump in the lake"] * 9), 1: top_of(["go to the old dump", "jump in the lake"] * 9)}
+    model = kn_toxicity.Model(top, {("old", "dump"): (0, 6)}, {"old": (9, 9)})
+    a, b, tails = model.behind["old"]
+    assert a + sum(x for x, _ in tails.values()) == pytest.approx(1) and b + sum(y for _, y in tails.values()) == pytest.approx(1)
+    c = kn_toxicity.Classifier(model)
+    ordinary, toxic = c.likelihoods("the old dump")
+    assert toxic > ordinary and c.ratio("dump old the") == pytest.approx(0, abs=1e-9)
+    assert c.likelihoods("") == (0.0, 0.0)
+
+
+def test_sample_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(2000)] + [(2, "b"), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    rows = bt_quality.labelled_sample(docs, labels, "quality", F.lit(True), "doc_id", "text", 10).collect()
+    assert sorted(r["_id"] for r in rows) == [1, 2, 3]
+
+
+def test_no_name_is_lost_by_the_quality_filter(spark):
+    docs = spark.createDataFrame([(1, "a b c", 0.1, "r", 7)], "doc_id bigint, text string, _tm_score double, _row string, _score int")
+    assert [tuple(r) for r in bt_quality.keep_good(docs, 1.0).collect()] == [(1, "a b c", 0.1, "r", 7)]
+
+
+CHAT = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_paragraphs_code_and_other_roles_stay(spark):
+    rows = []
+    for k in range(40):
+        rows += [(k, 0, "user", "para one\n\n  code\n\npara two"), (k, 1, "tool", "result 5"), (k, 2, "assistant", "Answer: 42\nis it\n\n\nyes"), (k, 3, "narrator", "x y")]
+    out = chat_hmm.format_conversations(spark.createDataFrame(rows, CHAT)).toPandas()
+    truth = {(c, t): (r if r in chat_hmm.ROLES else "user", x) for c, t, r, x in rows}
+    same = [truth[r.conv_id, r.first_turn] == (r.role, r.text) for r in out.itertuples()]
+    assert np.mean(same) > 0.9
+    first = out[out.first_turn == 0]
+    assert len(first) == 40 and (first.text.str.startswith("para one\n\n  code\n\npara two")).all()
+    assert set(out[out.first_turn == 1].role) == {"tool"} and set(out[out.first_turn == 1].text) == {"result 5"}
+
+
+def test_any_turn_number_and_rows_without_ids(spark):
+    rows = [(k, t, r, f"words {k}") for k in range(30) for t, r in ((-7, "user"), (2**40, "assistant"))] + [(None, 0, "user", "alone"), (None, 0, "user", "alone"), (None, None, "assistant", "other")]
+    out = chat_hmm.format_conversations(spark.createDataFrame(rows, CHAT)).toPandas()
+    assert (out.first_turn == -7).sum() == 30 and out.first_turn.max() == 2**40
+    alone = out[out.conv_id.isna()]
+    assert sorted(zip(alone.role, alone.text)) == [("assistant", "other"), ("user", "alone"), ("user", "alone")]
+
+
+def test_gaps_across_blocks(spark):
+    text = "User: a\n\n\nb\n" + "\n" * 1100 + "Assistant: ok\n" + "line\n" * 600 + "end"
+    conv = spark.createDataFrame([(k, t, r, "one\n\ntwo" + "\nmore" * 30) for k in range(40) for t, r in ((0, "user"), (1, "assistant"))], CHAT)
+    got = chat_hmm.format_transcripts(spark.createDataFrame([("t", text)], "k string, t string"), chat_hmm.fit(conv), "k", "t").toPandas().sort_values("first_line")
+    assert got.text.tolist() == ["a\n\n\nb", "ok\n" + "line\n" * 600 + "end"] and got.first_line.tolist() == [0, 1104]
+
+
+def test_written_files_have_the_offsets_of_the_plan(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>\r\n\r\n" * (k % 5)) for k in range(50)] + [(None, None, None)]
+    df = pages(spark, rows)
+    rec = warc_merkle.records(df)
+    warc_merkle.write_warc(rec, str(tmp_path / "a"), 3)
+    got = warc_merkle.read_warc(spark, str(tmp_path / "a")).toPandas().sort_values(["_file", "_at"])
+    want = warc_merkle.files(rec, 3).toPandas().sort_values(["_file", "_at"])
+    for c in ("_file", "_at", "_offset", "_length"):
+        assert got[c].tolist() == want[c].tolist()
+    assert [bytes(x) for x in got._hash] == [bytes(x) for x in want._hash]
+    assert warc_merkle.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "a")).count() == 0
+    file = next((tmp_path / "a" / "_file=1").glob("part-*"))
+    raw = bytearray(file.read_bytes())
+    raw[-6] ^= 1  # one byte within the last record
+    other = tmp_path / "b" / "_file=1"
+    other.mkdir(parents=True)
+    (other / "part-0.txt").write_bytes(raw)
+    for n in (0, 2):
+        (tmp_path / "b" / f"_file={n}").mkdir()
+        (tmp_path / "b" / f"_file={n}" / "part-0.txt").write_bytes(next((tmp_path / "a" / f"_file={n}").glob("part-*")).read_bytes())
+    bad = warc_merkle.audit_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    last = want[want._file == 1].iloc[-1]
+    assert [(r["_file"], r["_at"], r["_offset"]) for r in bad] == [(1, last._at, last._offset)]
+
+
+def test_shifts_show_and_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "c"), (2, "u", "x"), (None, "u", "q")]
+    other = [(1, "u", "a"), (1, "u", "B"), (1, "u", "c"), (9, "z", "new"), (None, "u", "q")]
+    out = warc_merkle.fixity(pages(spark, rows), pages(spark, other)).toPandas()
+    ours = out[out.record_sha256.notna()]
+    assert len(ours) == 5 and ours.intact.sum() == 3 and len(out) == 6
+    assert out[out.record_sha256.isna()].page_id.tolist() == [9] and out[out.page_id == 2].replica_sha256.isna().all()
+    # A record that grew moves those behind it: their bytes are intact, the trees of both differ there.
+    rows = [(k, "u", "same") for k in range(64)]
+    grown = [(k, "u", "same!" if k == 10 else "same") for k in range(64)]
+    a, b = [warc_merkle.tree(warc_merkle.files(warc_merkle.records(pages(spark, x)), 1)) for x in (rows, grown)]
+    assert warc_merkle.audit(a, b).count() == 54
+    out = warc_merkle.fixity(pages(spark, rows), pages(spark, grown)).toPandas()
+    assert out[~out.intact].page_id.tolist() == [10] and (out.replica_offset - out.offset)[out.page_id > 10].eq(1).all()
