@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of whatever file system its path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def on_one_machine(master: str) -> bool:
     """Whether a master's executors are threads of the driver."""
     return master == "local" or master.startswith("local[")

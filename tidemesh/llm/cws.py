@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, checkpointed, text_or_empty
 
 #: Samples in a fingerprint, 16 bits (four hex digits) each.
-SAMPLES = 56
+SAMPLES = 52
 #: Samples drawn in one row: code for more is longer than the JVM compiles well.
-TOGETHER = 8
+TOGETHER = 4
 #: Documents of one partition, about.
 TEXTS = 1000
 #: Repeated rows are given back in runs of this many.
@@ -20,26 +20,29 @@ EMPTY = "0000"
 
 
 def _draws(k: int, base: str) -> list[Column]:
-    """A sample's random numbers of a term: gamma r, ln of gamma c, uniform b, and a hash; the sample's number is base + k."""
+    """A sample's random numbers of a term: gamma r, ln of gamma c (plus 128), uniform b, and 16 bits of a hash; the sample's number is base + k."""
     h1, h2 = f"xxhash64(_term, 2 * ({base} + {k}))", f"xxhash64(_term, 2 * ({base} + {k}) + 1)"
     two_32, two_21 = "4294967295", "2097151"
     gamma = "-ln(({a} + 0.5D) * ({b} + 0.5D) * {scale}D)"
     r = gamma.format(a=f"({h1} & {two_32})", b=f"shiftrightunsigned({h1}, 32)", scale=2.0**-64)
     c = gamma.format(a=f"({h2} & {two_21})", b=f"(shiftrightunsigned({h2}, 21) & {two_21})", scale=2.0**-42)
     b = f"(shiftrightunsigned({h2}, 42) + 0.5D) * {2.0**-22}D"
-    return [F.expr(r).alias(f"r{k}"), F.expr(f"ln({c})").alias(f"c{k}"), F.expr(b).alias(f"b{k}"), F.expr(f"{h1} & 65535").alias(f"h{k}")]
+    return [F.expr(r).alias(f"r{k}"), F.expr(f"ln({c}) + 128.0D").alias(f"c{k}"), F.expr(b).alias(f"b{k}"), F.expr(f"cast({h1} & 65535 as double)").alias(f"h{k}")]
 
 
 def _sample(weight_ln: str, k: int) -> Column:
     """The term and level whose ln(a) is least in a sample, with 16 bits that name both.
 
     With t = floor(ln S / r + b) and ln y = r (t - b), ln a = ln c - ln y - r.
-    ln a, shifted to be positive, fills the high bits, so a minimum of longs
-    finds it. A null weight (the term is absent) gives null, which min skips.
+    All is done in doubles, which need no casts: ln a + 128, positive, in steps
+    of 2^-24, times 2^16, plus the 16 bits, 48 bits together, so a minimum finds
+    it. floor is rint of a half less; of x / 2^16 it is exact for whole x. A
+    null weight (the term is absent) gives null, which min skips.
     """
-    t = f"floor({weight_ln} / r{k} + b{k})"
-    a = f"cast(greatest(c{k} - r{k} * ({t} - b{k} + 1.0D) + 128.0D, 0.0D) * 16777216.0D as bigint)"
-    return F.min(F.expr(f"shiftleft({a}, 16) | ((h{k} + {t} * 40503) & 65535)"))
+    t = f"rint({weight_ln} / r{k} + (b{k} - 0.5D))"
+    name = f"(h{k} + {t} * 40503.0D)"
+    a = f"rint((c{k} - r{k} * ({t} - b{k} + 1.0D)) * {2.0**24}D)"
+    return F.min(F.expr(f"{a} * 65536.0D + ({name} - 65536.0D * rint({name} * {2.0**-16}D - 0.49999D))"))
 
 
 def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES, kept: dict[str, Column] | None = None) -> DataFrame:
@@ -64,7 +67,7 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: i
     made = drawn.groupBy(*keys, "_part").agg(*least, *[c.alias(n) for n, c in kept.items()])
 
     def array(w: str) -> Column:
-        return F.array(*[F.coalesce(F.col(f"_{w}_{k}").bitwiseAND(F.lit(65535)), F.lit(-1)).cast("int") for k in range(each)])
+        return F.array(*[F.coalesce(F.pmod(F.col(f"_{w}_{k}"), F.lit(65536.0)), F.lit(-1.0)).cast("int") for k in range(each)])
 
     made = made.select(*keys, "_part", *kept, *[array(w).alias(f"_fp_{w}") for w in weights])
     whole = [F.slice(F.flatten(F.array(*[F.max(F.when(F.col("_part") == p, F.col(f"_fp_{w}"))) for p in range(parts)])), 1, samples).alias(f"_fp_{w}") for w in weights]
