@@ -166,6 +166,19 @@ def test_same_result_for_any_partitioning(spark):
     assert got[0] == got[1] and got[0]
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+@pytest.mark.parametrize("name", ["r1_rolling_correlation", "g3_nearest_neighbours", "g2_minimum_spanning_trees"])
+def test_rows_for_any_partitioning(spark, name, sf):
+    from tidemesh.plans.base import QUERIES
+
+    got = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, QUERIES[name](spark, f"/root/testdata/sf{sf}").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and got[0]
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(src)

@@ -57,10 +57,16 @@ def distance(rho: Column) -> Column:
 
 
 def distances(pairs: DataFrame, undefined: str = "drop") -> DataFrame:
-    """Adds distance; undefined correlations are dropped or taken as uncorrelated."""
+    """Adds distance; undefined correlations are dropped or taken as uncorrelated.
+
+    rho is rounded to 12 places first: the order of a sum decides digits
+    beyond, and near 1 the root would make 1e-8 of 1e-16, so that a pair's
+    place among those of distance 0, which go, would depend on partitioning.
+    """
     if undefined not in ("drop", "uncorrelated"):
         raise ValueError("undefined: drop or uncorrelated")
-    out = pairs.filter("rho is not null") if undefined == "drop" else pairs.fillna({"rho": 0.0})
+    out = pairs.withColumn("rho", F.round("rho", 12))
+    out = out.filter("rho is not null") if undefined == "drop" else out.fillna({"rho": 0.0})
     return out.withColumn("distance", distance(F.col("rho"))).filter("distance > 0")
 
 
