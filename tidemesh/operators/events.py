@@ -21,11 +21,11 @@ def shocks(index: DataFrame, anchors: DataFrame, radius_days: int = 60, date_col
     fit = index.agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
     before = F.lag("level").over(Window.orderBy(date_col))
     rows = index.withColumn("_before", before).crossJoin(F.broadcast(fit)).withColumn("z", F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")))
-    near = rows.join(F.broadcast(anchors), F.abs(F.datediff(date_col, "anchor")) <= radius_days)
+    near = within_days(rows, anchors, radius_days, date_col)
     first = Window.partitionBy("anchor").orderBy((F.coalesce(F.col("z"), F.lit(0.0)) > -3).cast("int"), F.when(F.col("z") <= -3, F.datediff(date_col, "anchor")), F.col(value).asc_nulls_last(), date_col)
     shock = near.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
     shock = shock.select("anchor", F.when(F.col("z") <= -3, "trigger_-3sigma").otherwise("largest_drop").alias("status"), F.col(date_col).alias("shock_start"), F.col(value).alias("shock_return"), F.col("z").alias("shock_z"), F.coalesce("_before", "level").alias("recovery_level"))
-    after = rows.select(date_col, "level").join(F.broadcast(shock), F.col(date_col) >= F.col("shock_start"))
+    after = rows.select(date_col, "level").join(shock, F.col(date_col) >= F.col("shock_start"))
     end = after.groupBy("anchor").agg(F.min(F.when((F.col("level") >= F.col("recovery_level")) & (F.col(date_col) > F.col("shock_start")), F.col(date_col))).alias("recovery_end"))
     low = after.join(end, "anchor").filter(F.col("recovery_end").isNull() | (F.col(date_col) <= F.col("recovery_end")))
     low = low.groupBy("anchor").agg(F.min_by(date_col, F.struct("level", date_col)).alias("bottom_date"), F.min("level").alias("_low"))
@@ -33,6 +33,14 @@ def shocks(index: DataFrame, anchors: DataFrame, radius_days: int = 60, date_col
     return out.withColumn("max_drawdown", F.col("_low") / F.col("recovery_level") - 1).withColumn("duration_days", F.datediff("recovery_end", "shock_start")).withColumn("recovered", F.col("recovery_end").isNotNull()).drop("_low")
 
 
+def within_days(rows: DataFrame, anchors: DataFrame, radius: int, date_col: str = "obs_date") -> DataFrame:
+    """Rows beside each anchor date at most ``radius`` days away: an equi-join on spans of that many days, an anchor's own and those beside it."""
+    width = max(radius, 1)
+    span = lambda c: F.floor(F.unix_date(c) / width)
+    beside = anchors.withColumn("_span", F.explode(F.sequence(span("anchor") - 1, span("anchor") + 1)))
+    return rows.withColumn("_span", span(date_col)).join(beside, "_span").filter(F.abs(F.datediff(date_col, "anchor")) <= radius).drop("_span")
+
+
 def phase(event: Column, start: Column, end: Column, months: int = 6, otherwise: str | None = "tranquil") -> Column:
     """A window's phase beside an event: during if it holds the date, pre or post if it ends or starts within ``months``."""
     return (
@@ -53,10 +61,11 @@ def phase_summary(events: DataFrame, metrics: DataFrame, values: list[str], mont
     """Per event, metric and phase: windows, mean, and change from the pre phase; phases without windows have null means.
 
     ``events``: event_set, event_date, status. ``metrics``: window_id,
-    window_start, window_end and the values. Events are few and broadcast.
+    window_start, window_end and the values. Events are a calendar's; Spark
+    broadcasts them if it finds them small.
     """
     long = unpivot(metrics, ["window_start", "window_end"], values)
-    rows = long.crossJoin(F.broadcast(events)).withColumn("phase", phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months))
+    rows = long.crossJoin(events).withColumn("phase", phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months))
     keys = ["event_set", "event_date", "status", "metric"]
     sums = rows.groupBy(*keys).agg(*[x for p in PHASES for x in (F.count(F.when(F.col("phase") == p, F.col("value"))).alias(f"{p}_n"), F.avg(F.when(F.col("phase") == p, F.col("value"))).alias(f"{p}_mean"))])
     items = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"{p}_n").alias("windows"), F.col(f"{p}_mean").alias("mean"), (F.col(f"{p}_mean") - F.col("pre_mean")).alias("change_from_pre")) for p in PHASES])
@@ -76,7 +85,7 @@ def concordance(detail: DataFrame) -> DataFrame:
 
 def trajectories(events: DataFrame, metrics: DataFrame, values: list[str], length: int = 6, months: int = 6) -> DataFrame:
     """The windows of an event's pre phase, in order, with z by population deviation; events without exactly ``length`` are left out."""
-    long = unpivot(metrics, ["window_id", "window_start", "window_end"], values).crossJoin(F.broadcast(events))
+    long = unpivot(metrics, ["window_id", "window_start", "window_end"], values).crossJoin(events)
     pre = long.filter(phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months) == "pre")
     keys = ["event_set", "event_date", "status", "metric"]
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("window_end")

@@ -194,6 +194,12 @@ def validate(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("window_id", "n_nodes", "n_edges", one.alias("connected"), (one & (F.col("n_edges") == F.col("n_nodes") - 1)).alias("tree"), F.col("density").between(0, 1).alias("density_ok"), "weight_mismatches")
 
 
+def guarded(edges: DataFrame, costly: DataFrame, limit: int = HEAVY_EDGES) -> DataFrame:
+    """All windows with their edges and the costly metrics (window_id, ...), which are null where the graph is too heavy."""
+    n = edges.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return n.join(costly, "window_id", "left").select("window_id", "n_edges", *[F.when(F.col("n_edges") <= limit, F.col(c)).alias(c) for c in costly.columns if c != "window_id"])
+
+
 def light_windows(edges: DataFrame, limit: int = HEAVY_EDGES) -> DataFrame:
     """Windows whose graph isn't too heavy for the costly metrics."""
     return edges.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_edges")).filter(F.col("n_edges") <= limit).select("window_id")

@@ -64,16 +64,27 @@ def metric_columns(df: DataFrame, parts: Sequence[str]) -> list[str]:
 
 
 def assemble(base: DataFrame, tables: Sequence[DataFrame], key: str = "window_id") -> DataFrame:
-    """Left joins one after the other; a table that repeats a key is an error, not a blow-up."""
+    """Left joins one after the other; a table that repeats a key is an error when the plan runs, not a blow-up.
+
+    The check is part of the join's input: one aggregation by the join's key,
+    which leaves the table partitioned for it, so nothing is computed twice.
+    """
     out = base
     for t in tables:
-        total, distinct = t.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
-        if total != distinct:
-            raise ValueError(f"{key} isn't unique in a table with {t.columns}")
-        out = out.join(t, key, "left")
+        values = [c for c in t.columns if c != key]
+        message = F.lit(f"{key} isn't unique in a table with {', '.join(t.columns)}")
+        one = t.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(F.col(f"`{c}`")).alias(c) for c in values])
+        checked = one.filter(F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_n")
+        out = out.join(checked, key, "left")
     return out
 
 
+def keep_and_remap(df: DataFrame, choice: DataFrame, keys: Sequence[str], column: str, into: str) -> DataFrame:
+    """The rows whose keys ``choice`` has, with ``column`` replaced by its ``into``: an inner join that filters and remaps at once."""
+    picked = choice.select(*keys, F.col(into).alias("_into")).distinct()
+    return df.join(picked, list(keys)).withColumn(column, F.coalesce("_into", column)).drop("_into")
+
+
 def replace_columns(df: DataFrame, new: DataFrame, key: str = "window_id") -> DataFrame:
     """Columns that ``new`` has come from there, the others stay; keys that it lacks get nulls."""
     return df.drop(*[c for c in new.columns if c != key]).join(new, key, "left")

@@ -88,19 +88,43 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, keys: list[str], x: str, lo: float, hi: float, points: int = 100) -> DataFrame:
-    """Per group the share of values at or below each of ``points`` grid values."""
-    grid = df.sparkSession.range(points).select((F.col("id") + 1).cast("int").alias("point"), (F.lit(lo) + F.col("id") * ((hi - lo) / (points - 1))).alias("grid"))
-    return df.crossJoin(F.broadcast(grid)).groupBy(*keys, "point", "grid").agg(F.avg((F.col(x) <= F.col("grid")).cast("double")).alias("ecdf"))
-
-
-def kernel_density(df: DataFrame, keys: list[str], x: str, factor: float = 1.6, points: int = 320) -> DataFrame:
-    """Gaussian density per group on ``points`` values from 0 to min(2, max(largest value, 1.8)); bandwidth is Scott's times ``factor``."""
+    """Per group the share of values at or below each of ``points`` grid values.
+
+    A value counts at the first grid point that it doesn't exceed, found by
+    arithmetic and put right against the grid; the shares are running sums
+    over one row per group and point. Unknown values count for no point.
+    """
+    step = (hi - lo) / (points - 1)
+    grid = lambda k: F.lit(lo) + k * step
+    near = F.ceil((F.col(x) - lo) / step).cast("bigint")
+    # Rounding may put the guess one off.
+    first = F.when(F.col(x) <= grid(near - 1), near - 1).when(F.col(x) <= grid(near), near).otherwise(near + 1)
+    place = F.when(F.col(x) <= lo, F.lit(0).cast("bigint")).otherwise(F.least(F.greatest(first, F.lit(0)), F.lit(points)))
+    counts = df.groupBy(*keys, place.alias("_at")).agg(F.count(x).alias("_n"))
+    per = counts.groupBy(*keys).agg(F.collect_list(F.struct("_at", "_n")).alias("_c"), F.sum("_n").alias("_all"))
+    below = lambda k: F.aggregate("_c", F.lit(0).cast("bigint"), lambda n, c: n + F.when(c["_at"] <= k, c["_n"]).otherwise(F.lit(0)))
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint")), lambda k: F.struct((k + 1).cast("int").alias("point"), grid(k).alias("grid"), F.try_divide(below(k).cast("double"), F.col("_all")).alias("ecdf")))
+    return per.select(*keys, F.explode(each).alias("_p")).select(*keys, "_p.*")
+
+
+def kernel_density(df: DataFrame, keys: list[str], x: str, factor: float = 1.6, points: int = 320, bundle: int = 64) -> DataFrame:
+    """Gaussian density per group on ``points`` values from 0 to min(2, max(largest value, 1.8)); bandwidth is Scott's times ``factor``.
+
+    Values are put together ``bundle`` at a time, and a bundle is summed up
+    over the grid within its row, so ``points`` / ``bundle`` rows a value are
+    exchanged at most, not one for every value and point.
+    """
     group = df.groupBy(*keys).agg(F.count(x).alias("_n"), (F.stddev_samp(x) * F.pow(F.count(x).cast("double"), -0.2) * factor).alias("_h"))
     top = df.agg(F.least(F.lit(2.0), F.greatest(F.max(x), F.lit(1.8))).alias("_top"))
-    grid = df.sparkSession.range(points).crossJoin(F.broadcast(top)).select((F.col("id") + 1).cast("int").alias("point"), (F.col("id") * F.col("_top") / (points - 1)).alias("grid"))
-    z = (F.col("grid") - F.col(x)) / F.col("_h")
-    rows = df.join(group.filter("_h > 0"), keys).crossJoin(F.broadcast(grid))
-    return rows.groupBy(*keys, "point", "grid").agg((F.sum(F.exp(-z * z / 2)) / (F.max("_n") * F.max("_h") * math.sqrt(2 * math.pi))).alias("density"))
+    group = group.filter("_h > 0").crossJoin(F.broadcast(top))
+    values = df.select(*keys, F.col(x).alias("_x")).filter("_x is not null").withColumn("_bundle", F.pmod(F.xxhash64("_x"), F.lit(bundle)))
+    bundles = values.groupBy(*keys, "_bundle").agg(F.collect_list("_x").alias("_xs")).join(group, keys)
+    grid = lambda k: k * F.col("_top") / (points - 1)
+    kernel = lambda k: F.aggregate("_xs", F.lit(0.0), lambda s, v: s + F.exp(-F.pow((grid(k) - v) / F.col("_h"), F.lit(2.0)) / 2))
+    each = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct((k + 1).alias("point"), grid(k).alias("grid"), kernel(k).alias("s")))
+    rows = bundles.select(*keys, "_n", "_h", F.explode(each).alias("_p"))
+    out = rows.groupBy(*keys, F.col("_p.point").alias("point"), F.col("_p.grid").alias("grid"), "_n", "_h").agg(F.sum("_p.s").alias("_s"))
+    return out.select(*keys, "point", "grid", (F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def smooth(df: DataFrame, keys: list[str], x: str, order: str, sigma: float = 1.2, truncate: float = 4.0) -> DataFrame:
