@@ -6,6 +6,7 @@ one task per group of windows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 
@@ -345,6 +346,13 @@ def _euclid(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
 
 
+def best_cut(d: np.ndarray, method: str, n: int, max_k: int) -> tuple[int | None, float | None, np.ndarray | None]:
+    """Of a linkage's cuts into 2 .. min(max_k, n - 1) groups the least k of the best silhouette: (k, silhouette, labels)."""
+    tree = linkage(d, method)
+    best = max(((silhouette(d, lab), -k, lab) for k in range(2, min(max_k, n - 1) + 1) for lab in [cut_tree(tree, n, k)]), key=lambda x: (x[0], x[1]), default=None)
+    return (-best[1], best[0], best[2]) if best else (None, None, None)
+
+
 def cross_method(pairs: DataFrame, max_k: int = 10) -> DataFrame:
     """Per window and linkage, on the rows of the correlation matrix: k of the best silhouette, that, and modularity on positive correlations."""
 
@@ -356,15 +364,53 @@ def cross_method(pairs: DataFrame, max_k: int = 10) -> DataFrame:
         w = np.maximum(rho[u, v], 0)
         rows = []
         for method in ("ward", "average", "complete"):
-            tree = linkage(d, method)
-            best = max(((silhouette(d, lab), -k, lab) for k in range(2, min(max_k, n - 1) + 1) for lab in [cut_tree(tree, n, k)]), key=lambda x: (x[0], x[1]), default=None)
-            row = (method, -best[1], best[0], partition_quality(n, u, v, w, best[2])) if best else (method, None, None, None)
-            rows.append((p["window_id"].iloc[0], *row))
+            k, s, label = best_cut(d, method, n, max_k)
+            rows.append((p["window_id"].iloc[0], method, k, s, None if label is None else partition_quality(n, u, v, w, label)))
         return pd.DataFrame(rows, columns=["window_id", "method", "best_k", "silhouette", "modularity"])
 
     return grouped(pairs.select("window_id", "asset_1", "asset_2", "rho"), ["window_id"], of, "window_id int, method string, best_k int, silhouette double, modularity double")
 
 
+def leaf_order(tree: np.ndarray, n: int) -> list[int]:
+    """The leaves from left to right, each merge's left side first."""
+    out, todo = [], [2 * n - 2] if n > 1 else [0]
+    while todo:
+        k = todo.pop()
+        if k < n:
+            out.append(k)
+        else:
+            todo += [int(tree[k - n, 1]), int(tree[k - n, 0])]
+    return out
+
+
+def dendrogram_groups(pairs: DataFrame, max_k: int = 8) -> DataFrame:
+    """Per window and asset: its place in Ward's dendrogram and its group in the best cut, with that cut's k, silhouette and modularity.
+
+    k is tried from 2 to min(max_k, max(2, n - 1)); two assets are one group
+    and their silhouette undefined. Modularity is of the positive correlations,
+    the diagonal among them.
+    """
+
+    def of(p: pd.DataFrame) -> pd.DataFrame:
+        names, rho = square(p, "rho", 1.0)
+        rho = np.where(np.isnan(rho), 1.0, rho)
+        n, d = len(names), _euclid(rho)
+        tree = linkage(d, "ward")
+        best = (None, 2, np.ones(n, int))
+        if n >= 3:
+            for k in range(2, min(max_k, max(2, n - 1)) + 1):
+                label = cut_tree(tree, n, k)
+                s = silhouette(d, label)
+                if best[0] is None or s > best[0]:
+                    best = (s, k, label)
+        u, v = np.triu_indices(n)
+        q = partition_quality(n, u, v, np.maximum(rho[u, v], 0), best[2])
+        place = np.argsort(leaf_order(tree, n))
+        return pd.DataFrame({"window_id": p["window_id"].iloc[0], "node": names, "place": place + 1, "community": np.asarray(best[2], int), "best_k": best[1], "silhouette": best[0], "modularity": q})
+
+    return grouped(pairs.select("window_id", "asset_1", "asset_2", "rho"), ["window_id"], of, "window_id int, node string, place int, community int, best_k int, silhouette double, modularity double")
+
+
 def clusters(pairs: DataFrame, k: int = 5) -> DataFrame:
     """Average linkage on distances, cut into at most k clusters: (window_id, node, community)."""
 
@@ -418,12 +464,53 @@ def kolmogorov_sf(x: float) -> float:
     return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 30)))
 
 
+#: Values of the larger sample up to which a gap's p-value is exact.
+EXACT_VALUES = 10_000
+
+
+@functools.lru_cache(maxsize=4096)
+def gap_sf(m: int, n: int, h: int) -> float:
+    """P(gap >= h / (m n)) of two samples of m and n values in random order, exactly.
+
+    The merged order is a walk: with i of the first sample and j of the second
+    passed, the next value is of the first with chance (m - i) / (m + n - i - j).
+    The mass that reaches |i n - j m| >= h at some step is summed up.
+    """
+    i = np.arange(m + 1)
+    at, out = np.zeros(m + 1), 0.0
+    at[0] = 1.0
+    for step in range(m + n):
+        j = step - i
+        here = (j >= 0) & (j <= n)
+        first = np.where(here, (m - i) / (m + n - step), 0.0)
+        moved = at * first
+        at = at - moved
+        at[1:] += moved[:-1]
+        off = np.abs(i * n - (step + 1 - i) * m) >= h
+        out += at[off].sum()
+        at[off] = 0.0
+    return float(min(out, 1.0))
+
+
 def ks_two_sample(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """The largest gap of two empirical distributions, and its asymptotic p-value."""
+    """The largest gap of two empirical distributions, and its p-value: exact up to EXACT_VALUES values, else that of the limit law."""
     a, b = np.sort(a), np.sort(b)
+    m, n = len(a), len(b)
     both = np.concatenate([a, b])
-    d = float(np.abs(np.searchsorted(a, both, "right") / len(a) - np.searchsorted(b, both, "right") / len(b)).max())
-    return d, kolmogorov_sf(d * math.sqrt(len(a) * len(b) / (len(a) + len(b))))
+    h = int(np.abs(np.searchsorted(a, both, "right") * n - np.searchsorted(b, both, "right") * m).max())
+    d = h / (m * n)
+    return d, gap_sf(m, n, h) if max(m, n) <= EXACT_VALUES else kolmogorov_sf(d * math.sqrt(m * n / (m + n)))
+
+
+def ks_between(rows: DataFrame, value: str) -> DataFrame:
+    """Per window the test of its values of side 0 against those of side 1; null where one side has none."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = [g.loc[g["side"] == s, value].dropna().to_numpy(float) for s in (0, 1)]
+        got = ks_two_sample(a, b) if len(a) and len(b) else (None, None)
+        return pd.DataFrame([(g["window_id"].iloc[0], *got)], columns=["window_id", "ks_stat", "ks_pvalue"])
+
+    return grouped(rows.select("window_id", "side", value), ["window_id"], of, "window_id int, ks_stat double, ks_pvalue double")
 
 
 def ks_against_noise(pairs: DataFrame, observations: DataFrame) -> DataFrame:
@@ -503,21 +590,129 @@ def stationarity(df: DataFrame, keys: list[str], date_col: str, value: str, sche
     return grouped(df.select(*keys, date_col, value), keys, of, f"{schema}, adf_stat double, adf_pvalue double, adf_stationary boolean, verdict string")
 
 
-def window_bundle(pairs: DataFrame, returns: DataFrame, asset: str = "asset", date_col: str = "obs_date", value: str = "log_return") -> DataFrame:
-    """Both sides of a window in one kernel: series count and length, spectrum's top, and the share of stationary series."""
+def student_sf2(t: np.ndarray, df: int) -> np.ndarray:
+    """Two-sided tail of Student's t for whole degrees of freedom, by the finite series in the angle atan(t / sqrt(df))."""
+    a = np.arctan(np.asarray(t, float) / math.sqrt(df))
+    cos2, odd = np.cos(a) ** 2, df % 2
+    term, total = np.cos(a) if odd else np.ones_like(a), np.zeros_like(a)
+    for k in range(1, (df - 1) // 2 + 1 if odd else df // 2 + 1):
+        total += term
+        term = term * cos2 * ((2 * k) / (2 * k + 1) if odd else (2 * k - 1) / (2 * k))
+    inner = 2 / math.pi * (a + np.sin(a) * total) if odd else np.sin(a) * total
+    return np.maximum(1 - np.abs(inner), 0.0)
+
+
+#: Rows of a window's bundle: what was tested, of which pair, asset or method, and one number of it.
+BUNDLE = "window_id int, part string, name_1 string, name_2 string, metric string, value double"
+
+
+def window_bundle(pairs: DataFrame, returns: DataFrame, done: DataFrame | None = None, asset: str = "asset", date_col: str = "obs_date", value: str = "log_return") -> DataFrame:
+    """All that is computed of a window from one look at both its sides: (window_id, part, name_1, name_2, metric, value).
+
+    pvalue: correlation and p-value of each pair; an unknown correlation is 1.
+    ks: the correlations against noise of the window's seed. mp: the spectrum
+    against the noise band. adf: the unit-root test of each series that has
+    ten values, but for keys in ``done`` (window_id, asset). cross: the best
+    cut of each linkage. summary: Ward's. Observations are those of the longest
+    series, 252 without any. Under two assets there are null ks and summary
+    rows only; a window without pairs has no rows.
+    """
+    rows = returns if done is None else returns.join(done.select("window_id", asset).withColumn("_done", F.lit(True)), ["window_id", asset], "left")
+    rows = rows.select("window_id", asset, date_col, value, F.coalesce(F.col("_done"), F.lit(False)).alias("_done") if done is not None else F.lit(False).alias("_done"))
 
     def of(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        window = int((p if len(p) else r)["window_id"].iloc[0])
-        series = [g.sort_values(date_col)[value].dropna().to_numpy(float) for _, g in r.groupby(asset)] if len(r) else []
-        tests = [t for t in map(dickey_fuller, series) if t]
-        top = None
+        out: list[tuple] = []
         if len(p):
-            _, rho = square(p, "rho", 1.0)
-            top = float(np.linalg.eigvalsh(np.where(np.isnan(rho), 1.0, rho)).max())
-        return pd.DataFrame([(window, len(series), max(map(len, series), default=252), top, sum(t[1] < 0.05 for t in tests) / len(tests) if tests else None)], columns=["window_id", "series", "n_obs", "lambda_max", "stationary_share"])
+            window = int(p["window_id"].iloc[0])
+            names, rho = square(p, "rho", 1.0)
+            rho = np.where(np.isnan(rho), 1.0, rho)
+            n = len(names)
+            series = {str(a): g.sort_values(date_col)[value].to_numpy(float) for a, g in r.groupby(asset)} if len(r) else {}
+            w = max((int((~np.isnan(x)).sum()) for x in series.values()), default=252)
+            u, v = np.triu_indices(n, 1)
+            x = rho[u, v]
+            df = max(w - 2, 1)
+            tail = student_sf2(np.abs(x) * np.sqrt(df / np.maximum(1 - x * x, 1e-12)), df)
+            for i, j, c, q in zip(u, v, x, tail, strict=True):
+                out += [(window, "pvalue", names[i], names[j], "rho", c), (window, "pvalue", names[i], names[j], "pvalue", q)]
+            noise = np.corrcoef(np.random.default_rng(window).normal(size=(w, n)), rowvar=False) if w >= 2 else None
+            gap = ks_two_sample(x, noise[u, v]) if noise is not None else (None, None)
+            out += [(window, "ks", None, None, "ks_stat", gap[0]), (window, "ks", None, None, "ks_pvalue", gap[1])]
+            if w > n:
+                q, lam = n / w, np.maximum(np.linalg.eigvalsh(rho), 0)
+                top = (1 + math.sqrt(q)) ** 2
+                numbers = {"n_assets": n, "n_obs": w, "q": q, "lambda_plus": top, "lambda_max": lam.max(), "n_signal": (lam > top).sum(), "n_noise": (lam <= top).sum(), "signal_share": lam[lam > top].sum() / lam.sum(), "market_share": lam.max() / lam.sum()}
+            else:
+                numbers = {"n_assets": n, "n_obs": w, "q": n / w if w else None, "n_signal": 0, "n_noise": n, "signal_share": 0.0}
+            out += [(window, "mp", None, None, k, float(x) if x is not None else None) for k, x in numbers.items()]
+            skip = set(r.loc[r["_done"], asset]) if len(r) else set()
+            for a in names:
+                got = dickey_fuller(y) if a in series and a not in skip and len(y := series[a][~np.isnan(series[a])]) >= 10 else None
+                out += [(window, "adf", a, None, m, x) for m, x in zip(("adf_stat", "adf_pvalue"), got or (), strict=False)]
+            d, pairs_w = _euclid(rho), np.maximum(x, 0)
+            for method in ("ward", "average", "complete"):
+                best = best_cut(d, method, n, 10)
+                cut = {"best_k": best[0], "silhouette": best[1], "modularity": partition_quality(n, u, v, pairs_w, best[2]) if best[2] is not None else None}
+                out += [(window, "cross", method, None, k, x) for k, x in cut.items()]
+                if method == "ward":
+                    out += [(window, "summary", None, None, f"ward_{k}", x) for k, x in cut.items()]
+        table = pd.DataFrame(out, columns=["window_id", "part", "name_1", "name_2", "metric", "value"])
+        return table.astype({"value": float})
+
+    a, b = pairs.select("window_id", "asset_1", "asset_2", "rho").groupBy("window_id"), rows.groupBy("window_id")
+    return a.cogroup(b).applyInPandas(of, BUNDLE)
+
+
+# Surfaces.
+
+
+def _reflected(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """A Gaussian filter along the first axis, edges reflected with the edge value twice."""
+    radius = int(truncate * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    n = len(x)
+    at = (np.arange(n)[:, None] + np.arange(-radius, radius + 1)) % (2 * n)
+    return np.einsum("ikj,k->ij", x[np.where(at < n, at, 2 * n - 1 - at)], weights / weights.sum())
+
+
+def _spline(x: np.ndarray, size: int) -> np.ndarray:
+    """The cubic spline through the rows of ``x`` at ``size`` even places from the first row to the last, mirrored at the ends."""
+    n = len(x)
+    if n == 1:
+        return np.repeat(x, size, 0)
+    m = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    m[0, 1] = m[-1, -2] = 2.0
+    c = np.linalg.solve(m / 6, x)
+    at = np.linspace(0, n - 1, size)
+    base = np.minimum(np.floor(at).astype(int), n - 2)
+    f = (at - base)[:, None]
+    parts = ((1 - f) ** 3 / 6, (3 * f**3 - 6 * f**2 + 4) / 6, (-3 * f**3 + 3 * f**2 + 3 * f + 1) / 6, f**3 / 6)
+
+    def row(k: np.ndarray) -> np.ndarray:
+        k = np.abs(k)
+        return np.where(k > n - 1, 2 * (n - 1) - k, k)
+
+    return sum(w * c[row(base + k)] for k, w in zip((-1, 0, 1, 2), parts, strict=True))
 
-    a, b = pairs.select("window_id", "asset_1", "asset_2", "rho").groupBy("window_id"), returns.select("window_id", asset, date_col, value).groupBy("window_id")
-    return a.cogroup(b).applyInPandas(of, "window_id int, series int, n_obs int, lambda_max double, stationary_share double")
+
+def smoothed_surface(df: DataFrame, row: str, column: str, value: str, sigma: tuple[float, float] = (2.2, 2.8), zoom: tuple[int, int] = (3, 2), top: float | None = 5.0) -> DataFrame:
+    """A grid of values, smoothed along both axes, refined by a cubic spline, and clipped to 0 .. ``top``: (row, column, value) from 1.
+
+    The grid is one kernel's work: a figure's surface, its windows by its
+    points. An absent value is 0. Zoom (1, 1) leaves the smoothed grid as it is.
+    """
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        z = g.pivot(index=row, columns=column, values=value).fillna(0.0).sort_index().sort_index(axis=1).to_numpy(float)
+        z = _reflected(_reflected(z, sigma[0]).T, sigma[1]).T
+        if tuple(zoom) != (1, 1):
+            z = _spline(_spline(z, round(z.shape[0] * zoom[0])).T, round(z.shape[1] * zoom[1])).T
+        if top is not None:
+            z = np.clip(z, 0, top)
+        a, b = np.indices(z.shape)
+        return pd.DataFrame({row: a.ravel() + 1, column: b.ravel() + 1, value: z.ravel()})
+
+    return df.select(row, column, value).groupBy().applyInPandas(of, f"{row} int, {column} int, {value} double")
 
 
 # Null models.
@@ -568,6 +763,25 @@ def swapped_edges(u: np.ndarray, v: np.ndarray, rng: np.random.Generator, swaps:
     return sorted(e)
 
 
+def null_graphs(edges: DataFrame) -> DataFrame:
+    """One graph of each null model per window, drawn with its number as seed: (window_id, model, u, v), u < v.
+
+    random: as many edges, anywhere. configuration: stubs matched at random,
+    loops and repeats dropped. swapped: the window's own edges, swapped in
+    pairs, so degrees stay.
+    """
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["u", "v"])
+        nodes, u, v = indexed(g)
+        window = int(g["window_id"].iloc[0])
+        rng = np.random.default_rng(window)
+        drawn = {"random": list(zip(*random_edges(len(nodes), len(u), rng), strict=True)), "configuration": configuration_edges(np.bincount(np.r_[u, v], minlength=len(nodes)), rng), "swapped": swapped_edges(u, v, rng)}
+        return pd.DataFrame([(window, m, *sorted((nodes[a], nodes[b]))) for m, e in drawn.items() for a, b in e], columns=["window_id", "model", "u", "v"])
+
+    return grouped(edges.select("window_id", "u", "v"), ["window_id"], of, "window_id int, model string, u string, v string")
+
+
 def transitivity(n: int, e: list[tuple[int, int]]) -> float:
     a = np.zeros((n, n))
     for x, y in e:
