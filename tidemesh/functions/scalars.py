@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 EPS = 1e-9
-#: Accented Latin letters and their plain forms.
-_ACCENTED, _PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: Letters with marks and what they decompose into, from Unicode's tables: up to U+024F and the Latin additional block.
+_DECOMPOSED = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)])}
+_ACCENTED = "".join(c for c, plain in _DECOMPOSED.items() if len(plain) == 1 and plain != c)
+_PLAIN = "".join(_DECOMPOSED[c] for c in _ACCENTED)
 
 
 def normalize_symbol(s: Column) -> Column:
@@ -33,11 +36,15 @@ def remap_legacy(df: DataFrame, mapping: DataFrame, symbol: str = "ticker") -> D
     return out.withColumn(symbol, F.when(is_legacy_symbol(F.col(symbol)), F.coalesce("_p", symbol)).otherwise(F.col(symbol))).drop("_l", "_p")
 
 
+#: Share-class words that a company's name drops.
+CLASS_WORDS = ("ON", "PN", "PNA", "PNB", "PNC", "UNIT", "UNT")
+
+
 def normalize_company(s: Column) -> Column:
-    """Capitals without accents, marks or share-class words, single-spaced."""
-    t = F.upper(F.translate(s, _ACCENTED, _PLAIN))
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(t, "[^A-Z0-9 ]", " "), " +", " ")), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin("ON", "PN", "PNA", "PNB", "UNT", "UNIT", "N1", "N2", "NM", "")), " ")
+    """Capitals without accents, marks or share-class words, single-spaced; null is empty."""
+    t = F.regexp_replace(F.translate(F.upper(F.coalesce(s, F.lit(""))), _ACCENTED, _PLAIN), r"\p{M}", "")
+    words = F.split(F.trim(F.regexp_replace(t, "[^A-Z0-9]+", " ")), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*CLASS_WORDS, "")), " ")
 
 
 def company_similarity(a: Column, b: Column) -> Column:
@@ -58,14 +65,31 @@ def resolve_ticker(raw: DataFrame, catalogue: DataFrame, threshold: float = 0.78
     ticker of the same company and class; the only one of the same four-letter
     prefix and class; the company of the class most alike, if like enough and
     ahead of the next by the margin; else the ticker itself.
+
+    Only keys that the first three steps leave open are compared, with the
+    companies of their class that share two letters in a row with them, or,
+    both having three letters at most, one. No pair as like as a threshold
+    over .75 is lost: common blocks of single letters are at most 2n of 3n - 1
+    letters, which is over .75 for n = 2 only, a name of two letters and one of three.
     """
     c = catalogue.select(F.col("ticker").alias("_t"), F.col("company").alias("_c"), F.col("kind").alias("_k"))
     one = F.when(F.count(F.lit(1)) == 1, F.min("_t"))
     exact = c.select(F.col("_t").alias("ticker"), F.col("_t").alias("_r1")).distinct()
     by_name = c.groupBy(F.col("_c").alias("company"), F.col("_k").alias("kind")).agg(one.alias("_r2"))
     by_code = c.groupBy(F.substring("_t", 1, 4).alias("_code"), F.col("_k").alias("kind")).agg(one.alias("_r3"))
-    keys = raw.select("ticker", "company", "kind").distinct()
-    scored = keys.join(c, F.col("kind") == F.col("_k")).withColumn("_s", company_similarity(F.col("company"), F.col("_c")))
+    keys = raw.select("ticker", "company", "kind").distinct().withColumn("_code", F.substring("ticker", 1, 4))
+    for settled, on in ((exact.filter("_r1 is not null"), ["ticker"]), (by_name.filter("_r2 is not null"), ["company", "kind"]), (by_code.filter("_r3 is not null"), ["_code", "kind"])):
+        keys = keys.join(settled.select(*on), on, "left_anti")
+
+    def blocks(name: str) -> Column:
+        n = F.length(name)
+        grams = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda k: F.substring(F.col(name), k, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.explode(F.array_distinct(F.when(n > 3, grams(2)).otherwise(F.concat(grams(2), grams(1)))))
+
+    left = keys.drop("_code").filter("company <> ''").withColumn("_gram", blocks("company"))
+    right = c.filter("_c <> ''").withColumn("_g", blocks("_c"))
+    near = left.join(right, (F.col("kind") == F.col("_k")) & (F.col("_gram") == F.col("_g"))).select("ticker", "company", "kind", "_t", "_c", "_k").distinct()
+    scored = near.withColumn("_s", company_similarity(F.col("company"), F.col("_c")))
     w = Window.partitionBy("ticker", "company", "kind").orderBy(F.col("_s").desc(), "_t")
     best = scored.withColumn("_n", F.row_number().over(w)).withColumn("_second", F.lead("_s").over(w)).filter("_n = 1")
     sure = (F.col("_s") >= threshold) & (F.col("_s") - F.coalesce("_second", F.lit(0.0)) >= margin)
@@ -93,14 +117,14 @@ def safe_bool(s: Column) -> Column:
     return F.when(t.isin("1", "true", "t", "yes", "y", "sim", "s", "1.0"), True).when(t.isin("0", "false", "f", "no", "n", "não", "nao", "0.0"), False)
 
 
-#: Characters that LaTeX reserves, in the order in which they are escaped.
+#: Characters that LaTeX reserves and how each is written.
 LATEX = (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"))
 
 
 def latex_escape(s: Column) -> Column:
-    for a, b in LATEX:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    """Each reserved character escaped once: what an escape writes isn't escaped again."""
+    forms = F.create_map(*[F.lit(x) for pair in LATEX for x in pair])
+    return F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(forms[c], c)), "")
 
 
 def company_number(s: Column) -> Column:
@@ -108,13 +132,37 @@ def company_number(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}", 0), F.lit(""))
 
 
-def search_dimension(dim: DataFrame, term: str) -> DataFrame:
-    """Rows (ticker, sigla, name, aliases) of which name or an alias holds the term, or whose code equals it."""
+def search_dimension(dim: DataFrame, term: str, field: str = "aliases") -> DataFrame:
+    """Rows of a dimension of which the one field asked for, aliases, name or name_en, holds the term, or whose sigla equals it; case doesn't matter."""
     t = term.upper()
-    hit = F.upper("name").contains(t) | F.exists("aliases", lambda a: F.upper(a).contains(t)) | (F.upper("sigla") == t)
+    if field not in ("aliases", "name", "name_en", "sigla"):
+        raise ValueError("field: aliases, name, name_en or sigla")
+    hit = F.exists("aliases", lambda a: F.upper(a).contains(t)) if field == "aliases" else F.upper("sigla") == t if field == "sigla" else F.upper(field).contains(t)
     return dim.filter(F.coalesce(hit, F.lit(False)))
 
 
+def of_type(dim: DataFrame, kind: str) -> DataFrame:
+    """The dimension's tickers of one type, such as principal or legacy."""
+    return dim.filter(F.col("kind") == kind).select("ticker")
+
+
+def aliases_of(dim: DataFrame, include_legacy: bool = True) -> DataFrame:
+    """(ticker, aliases) as a simple table; legacy tickers have none unless included."""
+    empty = F.expr("cast(array() as array<string>)")
+    return dim.select("ticker", F.when(F.lit(include_legacy) | (F.coalesce("kind", F.lit("")) != "legacy"), F.coalesce("aliases", empty)).otherwise(empty).alias("aliases"))
+
+
+def full_names(dim: DataFrame, lang: str = "pt") -> DataFrame:
+    return dim.select("ticker", F.col("name_en" if lang == "en" else "name").alias("full_name"))
+
+
+def timelines(dim: DataFrame) -> DataFrame:
+    """(ticker, timeline): the ticker's own, or, where that is empty, that of the first ticker by name with the same sigla."""
+    code = F.upper(F.trim("sigla"))
+    some = dim.filter(F.size("timeline") > 0).groupBy(code.alias("_s")).agg(F.min_by("timeline", "ticker").alias("_other")).filter("_s <> ''")
+    return dim.join(some, code == F.col("_s"), "left").select("ticker", F.when(F.size("timeline") > 0, F.col("timeline")).otherwise(F.coalesce("_other", "timeline")).alias("timeline"))
+
+
 def edge_strength(distance: Column, weight: Column) -> Column:
     return F.when(distance > 0, 1 / (distance + EPS)).when(weight > 0, weight).otherwise(1.0)
 
@@ -123,16 +171,31 @@ def plot_strength(*candidates: Column) -> Column:
     return F.greatest(F.coalesce(*candidates, F.lit(EPS)), F.lit(EPS))
 
 
+#: The families of metrics by name, in the order in which they are tried.
+METRIC_FAMILIES = (
+    (("ricci_fr_",), (), "Forman–Ricci geometric diagnostic"),
+    (("dist_",), (), "raw PMFG distance context"),
+    ((), ("modularidade", "num_communities", "community_residual_zscore", "ward_group_residual_zscore"), "mesoscopic structural diagnostic"),
+    (("planar_",), (), "size-conditioned centrality residual"),
+    ((), ("ks_stat",), "correlation-matrix validation diagnostic"),
+)
+OTHER_FAMILY = "correlation-matrix spectral diagnostic"
+
+
 def metric_kind(name: Column) -> Column:
-    """The family of a metric by its name's beginning."""
-    return (
-        F.when(name.startswith("ricci"), "curvature").when(name.startswith("dist"), "distance").when(name.startswith("ks") | name.startswith("mp"), "spectral")
-        .when(name.rlike("centrality|degree"), "centrality").when(name.rlike("modular|commun|cluster"), "community").otherwise("structure")
-    )
+    """The family of a metric, by the beginning of its name or the whole of it."""
+    out = F
+    for prefixes, names, family in METRIC_FAMILIES:
+        test = name.isin(*names) if names else F.lit(False)
+        for p in prefixes:
+            test = test | name.startswith(p)
+        out = out.when(test, family)
+    return out.otherwise(OTHER_FAMILY)
 
 
 def direction(x: Column) -> Column:
-    return F.when(x > 0, "up").when(x < 0, "down").when(x == 0, "flat")
+    """up, down, or flat for 0, null and NaN, which have no sign."""
+    return F.when((x > 0) & ~F.isnan(x), "up").when(x < 0, "down").otherwise("flat")
 
 
 def year_month(d: Column) -> Column:
