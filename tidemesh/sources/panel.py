@@ -24,6 +24,13 @@ def panel(spark: SparkSession, sf_dir: str, asset: str = "p_brand", freq: str =
     )
 
 
+def dates(spark: SparkSession, sf_dir: str, freq: str = "week") -> DataFrame:
+    """(obs_date) of every row that a panel aggregates: enough for its first and last day, and nothing else is read."""
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
+    parts = read(spark, sf_dir, "part").select("p_partkey")
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.date_trunc(freq, "l_shipdate").cast("date").alias("obs_date"))
+
+
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs_date, ticker, company, price, volume): one row per line item, several to a week and ticker.
 

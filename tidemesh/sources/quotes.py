@@ -69,6 +69,50 @@ def format_records(df: DataFrame) -> DataFrame:
     return df.select(line.alias("value"))
 
 
+#: How a yearly archive is named, and what names its record file where that has no extension: fixed by the publisher.
+ARCHIVE_NAME = r"COTAHIST_A(\d{4})\.ZIP$"
+MEMBER_NAME = "COTAHIST"
+
+
+def record_members(names: list[str]) -> list[str]:
+    """The members of an archive that hold records: its .TXT files, or, in archives of early years, the first named after the series; else all."""
+    texts = [n for n in names if n.upper().endswith(".TXT")]
+    return texts or [n for n in names if MEMBER_NAME in n.upper()][:1] or list(names)
+
+
+def cached_years(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The years (year) whose archives are among the paths."""
+    year = F.regexp_extract(F.upper(F.col(path)), ARCHIVE_NAME, 1)
+    return paths.select(year.alias("_y")).filter("_y <> ''").select(F.col("_y").cast("int").alias("year")).distinct()
+
+
+def list_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of a folder's archives; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{ZIP,zip}").load(folder).select("path", "length")
+
+
+def years_to_fetch(cached: DataFrame, first: int, this_year: int) -> DataFrame:
+    """The years that an update fetches: past ones that aren't cached, and always the present one, whose archive still grows."""
+    years = cached.sparkSession.range(first, this_year + 1).select(F.col("id").cast("int").alias("year"))
+    return years.join(cached.filter(F.col("year") < this_year), "year", "left_anti")
+
+
+def read_zipped_delimited(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = ";", encoding: str = "latin-1") -> DataFrame:
+    """Columns, as text, of the delimited files in ZIP archives whose name holds ``member``; a file is read in pieces by the task that has its archive."""
+
+    def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in [n for n in z.namelist() if member in n]:
+                        with z.open(name) as f:
+                            for part in pd.read_csv(f, sep=sep, encoding=encoding, dtype=str, keep_default_na=False, chunksize=100_000):
+                                yield pd.DataFrame({c: part[c] if c in part else None for c in columns})
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
+
+
 def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> DataFrame:
     """Records of ZIP archives; each archive is unpacked by the task that reads it, member by member."""
 
@@ -76,7 +120,7 @@ def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> Dat
         for batch in batches:
             for content in batch["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
+                    for name in record_members(z.namelist()):
                         with z.open(name) as f:
                             for part in iter(lambda f=f: f.readlines(4 << 20), []):
                                 yield pd.DataFrame({"value": [x.decode("latin-1").rstrip("\r\n") for x in part]})
@@ -85,8 +129,20 @@ def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> Dat
     return parse_records(files.mapInPandas(unpack, "value string"), layout)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).schema(schema).csv(path)
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None) -> DataFrame:
+    """A typed scan of delimited files with a header; ``rows`` bounds it."""
+    out = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).schema(schema).csv(path)
+    return out if rows is None else out.limit(rows)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All columns that a delimited file's header names, as text."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def read_returns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """An untyped scan, then casts of the columns named; what can't be cast is null."""
+    return read_rows(spark, path).select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
@@ -95,10 +151,10 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("windows").alias("w")).select(F.col("w.id").alias("window_id"), F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"))
 
 
-def read_edge_lists(spark: SparkSession, glob: str) -> DataFrame:
-    """Edge lists, one file a window; the window's number is the last number of the file's name."""
+def read_edge_lists(spark: SparkSession, glob: str, number: str = r"(\d+)[^\d/]*$") -> DataFrame:
+    """Edge lists, one file or folder a window; the window's number is the last number of the file's name, or what ``number`` finds in its path."""
     rows = read_delimited(spark, glob, "source string, target string, weight double, distance double")
-    return rows.withColumn("window_id", F.regexp_extract(F.input_file_name(), r"(\d+)[^\d/]*$", 1).cast("int"))
+    return rows.withColumn("window_id", F.regexp_extract(F.input_file_name(), number, 1).cast("int"))
 
 
 def ingest(spark: SparkSession, path: str, new: DataFrame, keys: tuple[str, ...] = ("obs_date", "ticker")) -> DataFrame:
