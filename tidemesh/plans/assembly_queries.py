@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import calendar, cleaning, correlation, events, graphs, kernels, relational, statistics
 from ..sources import panel as panels
+from ..sources import quotes as files
+from ..sources import scratch, sinks
 from .base import KNN, PAIRS, RETURNS, WINDOWED, pairs, query, returns, rounded, windowed
 from .network_queries import PVALS, RICCI, TRI, knn, metrics, observations, pvalues
-from .panel_queries import COVER, OFFICE, QUOTES, RAW, traded_windows
+from .panel_queries import COVER, MORE_WINDOWS, OFFICE, QUOTES, RAW, and_three_more, traded_windows
 
 
 @query("SELECT CAST(o_orderdate AS DATE) AS obs_date, o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-06-30'")
@@ -62,19 +64,20 @@ def j6_semi_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.semi_or_null(o, keep, ["o_custkey"], "o_custkey").fillna({"o_custkey": -1})
 
 
-@query(f"""WITH {WINDOWED}, s AS (SELECT window_id, count(DISTINCT asset) AS assets FROM win WHERE window_id % 4 <> 0 AND (window_id % 4 <> 1 OR asset = 'Brand#3') GROUP BY 1)
-SELECT window_id, coalesce(assets, 0) AS assets, CASE WHEN coalesce(assets, 0) >= 2 THEN 1 ELSE 0 END AS modeled, CASE WHEN coalesce(assets, 0) >= 2 THEN 'ok' WHEN coalesce(assets, 0) = 0 THEN 'no data' ELSE 'too few' END AS model_reason FROM windows LEFT JOIN s USING (window_id)""")
+@query(f"""WITH {WINDOWED}, {MORE_WINDOWS}, s AS (SELECT window_id, count(DISTINCT asset) AS assets FROM win GROUP BY 1 UNION ALL SELECT max(window_id) + 1, 1 FROM windows)
+SELECT window_id, coalesce(assets, 0) AS assets, CASE WHEN coalesce(assets, 0) >= 2 THEN 1 ELSE 0 END AS modeled, CASE WHEN coalesce(assets, 0) >= 2 THEN 'ok' WHEN coalesce(assets, 0) = 0 THEN 'no data' ELSE 'too few' END AS model_reason FROM more LEFT JOIN s USING (window_id)""")
 def j7_modeled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, and three that follow: the first of them is given one asset, the others have none."""
     rows, w = windowed(spark, sf_dir)
-    some = rows.filter("window_id % 4 <> 0 and (window_id % 4 <> 1 or asset = 'Brand#3')")
-    return relational.modeled(w.select("window_id"), some.groupBy("window_id").agg(F.countDistinct("asset").alias("assets")), ["assets"])
+    stats = rows.groupBy("window_id").agg(F.countDistinct("asset").alias("assets")).unionByName(w.agg((F.max("window_id") + 1).alias("window_id"), F.lit(1).cast("long").alias("assets")))
+    return relational.modeled(and_three_more(w).select("window_id"), stats, ["assets"])
 
 
 @query(f"""WITH {KNN}{TRI} SELECT w.window_id, window_start, window_end, n_nodes, round(mean_degree, 6) AS mean_degree, round(dist_mean, 5) AS dist_mean, round(transitivity, 6) AS transitivity FROM windows w
 LEFT JOIN (SELECT window_id, count(*) AS n_nodes, avg(degree) AS mean_degree FROM deg GROUP BY 1) USING (window_id) LEFT JOIN (SELECT window_id, avg(distance) AS dist_mean FROM edges GROUP BY 1) USING (window_id) LEFT JOIN (SELECT window_id, sum(t) / sum(k * (k - 1) / 2.0) AS transitivity FROM lc GROUP BY 1) USING (window_id)""")
 def j10_e6_metric_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = knn(spark, sf_dir)
-    w = calendar.month_windows(panels.panel(spark, sf_dir))
+    w = calendar.month_windows(panels.dates(spark, sf_dir))
     out = relational.assemble(w, [graphs.basics(e).select("window_id", "n_nodes", "mean_degree"), graphs.distance_moments(e).select("window_id", "dist_mean"), graphs.clustering(e).select("window_id", "transitivity")])
     return out.select("window_id", "window_start", "window_end", "n_nodes", F.round("mean_degree", 6).alias("mean_degree"), F.round("dist_mean", 5).alias("dist_mean"), F.round("transitivity", 6).alias("transitivity"))
 
@@ -97,8 +100,8 @@ def j12_wide_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KNN.replace(PAIRS, PVALS)} SELECT edges.window_id, u, v, CASE WHEN pvalue < 0.5 THEN round(pvalue, 6) + 0.0 END AS pvalue FROM edges JOIN pv ON pv.window_id = edges.window_id AND pv.asset_1 = u AND pv.asset_2 = v")
 def j14_edge_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored side keeps p-values below one half only, and the other way round: misses are null."""
-    p = pvalues(spark, sf_dir).filter("pvalue < 0.5").select("window_id", F.col("asset_2").alias("asset_1"), F.col("asset_1").alias("asset_2"), "pvalue")
+    """The stored side has the pairs the other way round, and p-values over one half unknown."""
+    p = pvalues(spark, sf_dir).select("window_id", F.col("asset_2").alias("asset_1"), F.col("asset_1").alias("asset_2"), F.when(F.col("pvalue") < 0.5, F.col("pvalue")).alias("pvalue"))
     return rounded(correlation.lookup_pvalues(knn(spark, sf_dir).select("window_id", "u", "v"), p))
 
 
@@ -135,10 +138,10 @@ def a2_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.traded_days(panels.quotes(spark, sf_dir)).select("obs_date", "ticker", "filled_close")
 
 
-@query("SELECT p_partkey, regexp_replace(p_brand, '\\.SA$', '') AS symbol, greatest(coalesce(NULLIF(p_size, 1), 2), 1e-9) AS strength, CASE WHEN p_type LIKE 'S%' THEN 'structure' ELSE 'curvature' END AS kind FROM part")
+@query("SELECT p_partkey, regexp_replace(p_brand, '\\.SA$', '') AS symbol, greatest(coalesce(NULLIF(p_size, 1), 2), 1e-9) AS strength, ['Forman–Ricci geometric diagnostic', 'raw PMFG distance context', 'mesoscopic structural diagnostic', 'size-conditioned centrality residual', 'correlation-matrix validation diagnostic', 'correlation-matrix spectral diagnostic'][p_partkey % 6 + 1] AS kind FROM part")
 def x7_x16_x17_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.read(spark, sf_dir, "part")
-    name = F.when(F.col("p_type").startswith("S"), "n_nodes").otherwise("ricci_mean")
+    name = F.element_at(F.array(*map(F.lit, ("ricci_fr_mean", "dist_std", "num_communities", "planar_degree_residual", "ks_stat", "lambda_max"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     s = scalars.plot_strength(F.nullif(F.col("p_size"), F.lit(1)).cast("double"), F.lit(2.0))
     return p.select("p_partkey", scalars.display_symbol(F.concat("p_brand", F.lit(".SA"))).alias("symbol"), s.alias("strength"), scalars.metric_kind(name).alias("kind"))
 
@@ -179,15 +182,47 @@ def g6_filtered_graph_with_isolates(spark: SparkSession, sf_dir: str) -> DataFra
     return rows.select("window_id", F.col("asset").alias("node")).distinct().join(d, ["window_id", "node"], "left").fillna(0, ["degree"])
 
 
-@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(rho), 6) + 0.0 AS mean FROM pairs")
+@query(f"WITH {PAIRS} SELECT count(*) AS n, round(avg(rho), 6) + 0.0 AS mean, round(avg(distance), 6) + 0.0 AS mean_distance FROM pairs")
 def j19_s10_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.avg("rho").alias("mean")))
+    """The matrix written as delimited text; typed scan of the pairs, untyped scan and cast of the distances."""
+    path = scratch.folder(spark)
+    sinks.write_csv(pairs(spark, sf_dir).select("window_id", "asset_1", "asset_2", "rho", "distance"), path)
+    typed = files.read_delimited(spark, path, "window_id int, asset_1 string, asset_2 string, rho double, distance double").agg(F.count(F.lit(1)).alias("n"), F.avg("rho").alias("mean"))
+    cast = files.read_returns(spark, path, {"window_id": "int", "distance": "double"}).agg(F.avg("distance").alias("mean_distance"))
+    return rounded(typed.crossJoin(cast))
+
+
+@query(f"WITH {KNN} SELECT window_id, u AS source, v AS target, round(weight, 6) AS weight, round(distance, 6) AS distance FROM edges")
+def s11_edge_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge lists in one folder a window; the window comes from the path."""
+    path = scratch.folder(spark)
+    e = knn(spark, sf_dir).select("window_id", F.col("u").alias("source"), F.col("v").alias("target"), "weight", "distance")
+    e.repartition("window_id").write.partitionBy("window_id").option("header", True).csv(path)
+    return rounded(files.read_edge_lists(spark, f"{path}/window_id=*", r"window_id=(\d+)/"))
+
+
+@query(f"WITH {PAIRS} SELECT window_id, count(*) AS pairs, round(sum(rho), 5) + 0.0 AS total FROM pairs GROUP BY 1")
+def s23_files_of_bounded_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written window by window in files of at most 5,000 rows, made one file, and read back."""
+    parts, one = scratch.folder(spark), scratch.folder(spark)
+    sinks.write_csv_by_window(pairs(spark, sf_dir).select("window_id", "asset_1", "asset_2", "rho"), parts, parts=8, max_records=5_000)
+    sinks.merge_to_one(spark, parts, one)
+    back = files.read_delimited(spark, one, "window_id int, asset_1 string, asset_2 string, rho double")
+    return rounded(back.groupBy("window_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("rho").alias("total")), 5)
+
+
+@query("SELECT o_orderkey, 'N' || c_nationkey AS ticker, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 12")
+def j5_keep_and_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the customers chosen, their customer's name replaced by the nation's code."""
+    o = panels.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("company"), F.concat(F.lit("C"), "o_custkey").alias("ticker"), "o_totalprice")
+    choice = panels.read(spark, sf_dir, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("company"), F.concat(F.lit("N"), "c_nationkey").alias("canonical"))
+    return relational.keep_and_remap(o, choice, ["company"], "ticker", "canonical").select("o_orderkey", "ticker", "o_totalprice")
 
 
 @query(None)
 def g23_g33_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All structural metrics of each window's planar graph in one row."""
-    e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir))).persist()
+    e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
     labels = kernels.communities(e)
     tables = [graphs.component_sizes(graphs.components(e)), graphs.clustering(e), graphs.assortativity(e), kernels.path_lengths(e), graphs.ricci_statistics(e), graphs.distance_moments(e), graphs.modularity(e, labels)]
     return rounded(relational.assemble(graphs.basics(e), tables))
@@ -195,24 +230,81 @@ def g23_g33_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def g32_node_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node metrics of graphs light enough, with size-adjusted means per window beside."""
+    """Node metrics, null in graphs that are too heavy, with size-adjusted means per window beside."""
     e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
-    c = kernels.centralities(e.join(graphs.light_windows(e), "window_id"))
+    light = kernels.centralities(e.join(graphs.light_windows(e), "window_id"))
+    costly = [x for x in light.columns if x not in ("window_id", "node", "degree", "degree_centrality")]
+    c = graphs.degrees(e).join(light.select("window_id", "node", *costly), ["window_id", "node"], "left")
     per = c.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("betweenness_centrality").alias("betweenness_mean"))
     return rounded(c.join(statistics.size_adjusted(per, "betweenness_mean").select("window_id", "residual"), "window_id"))
 
 
 @query(None)
 def c7_grouped_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The linkage's best cut per window and its modularity, Ward only."""
-    return rounded(kernels.cross_method(pairs(spark, sf_dir), 8).filter("method = 'ward'"))
+    """Each asset's place in the window's dendrogram and its group in the best cut."""
+    return rounded(kernels.dendrogram_groups(pairs(spark, sf_dir)))
+
+
+NODES = "nn AS (SELECT window_id, count(DISTINCT x) AS n FROM (SELECT window_id, asset_1 AS x FROM pairs UNION ALL SELECT window_id, asset_2 FROM pairs) GROUP BY 1)"
+
+
+@query(f"WITH {PAIRS}, {NODES} SELECT window_id, n AS assets, n * (n + 1) // 2 AS places, true AS groups_as_cut, true AS k_in_range FROM nn")
+def c7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places are 1 to n, each once; there are as many groups as the cut says, 2 to 8."""
+    g = kernels.dendrogram_groups(pairs(spark, sf_dir)).groupBy("window_id").agg(F.countDistinct("place").alias("assets"), F.sum("place").alias("places"), F.countDistinct("community").alias("_k"), F.max("best_k").alias("_best"))
+    return g.select("window_id", "assets", "places", (F.col("_k") == F.col("_best")).alias("groups_as_cut"), F.col("_best").between(2, 8).alias("k_in_range"))
+
+
+@query(f"WITH {PAIRS}, {NODES} SELECT window_id, CAST(n AS INT) AS node_rows, CAST(least(n, 5) AS INT) AS groups, CAST(n - 1 AS INT) AS merges, CAST(n AS INT) AS last_size, true AS heights_rise, 3 AS methods, true AS best_in_range FROM nn")
+def c1_c2_c8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average clusters hold every asset in five groups; Ward's merges end in one of all, at rising heights; each method's best cut is in range."""
+    p = pairs(spark, sf_dir)
+    a = kernels.clusters(p).groupBy("window_id").agg(F.countDistinct("node").cast("int").alias("node_rows"), F.countDistinct("community").cast("int").alias("groups"))
+    step = Window.partitionBy("window_id").orderBy("step")
+    b = kernels.ward_merges(p).withColumn("_up", F.coalesce(F.col("height") >= F.lag("height").over(step) - 1e-9, F.lit(True)))
+    b = b.groupBy("window_id").agg(F.count(F.lit(1)).cast("int").alias("merges"), F.max_by("size", "step").cast("int").alias("last_size"), F.every("_up").alias("heights_rise"))
+    c = kernels.cross_method(p).groupBy("window_id").agg(F.countDistinct("method").cast("int").alias("methods"), F.every(F.col("best_k").between(2, 10)).alias("best_in_range"))
+    return a.join(b, "window_id").join(c, "window_id")
+
+
+#: Both Gaussian filters over a grid of windows by points, edges reflected, written out as sums.
+SURFACE = """,
+grid AS (SELECT dense_rank() OVER (ORDER BY window_id) - 1 AS r, point - 1 AS c, density FROM kd),
+sz AS (SELECT max(r) + 1 AS nr, max(c) + 1 AS nc FROM grid),
+wr AS (SELECT d, exp(-0.5 * pow(d / 2.2, 2)) / sum(exp(-0.5 * pow(d / 2.2, 2))) OVER () AS w FROM (SELECT unnest(generate_series(-9, 9)) AS d)),
+wc AS (SELECT d, exp(-0.5 * pow(d / 2.8, 2)) / sum(exp(-0.5 * pow(d / 2.8, 2))) OVER () AS w FROM (SELECT unnest(generate_series(-11, 11)) AS d)),
+pr AS (SELECT r, d, w, CASE WHEN j < nr THEN j ELSE 2 * nr - 1 - j END AS j FROM (SELECT r, d, w, nr, ((r + d) % (2 * nr) + 2 * nr) % (2 * nr) AS j FROM (SELECT DISTINCT r FROM grid), wr, sz)),
+s1 AS (SELECT pr.r, g.c, sum(w * density) AS z FROM pr JOIN grid g ON g.r = pr.j GROUP BY 1, 2),
+pc AS (SELECT c, d, w, CASE WHEN j < nc THEN j ELSE 2 * nc - 1 - j END AS j FROM (SELECT c, d, w, nc, ((c + d) % (2 * nc) + 2 * nc) % (2 * nc) AS j FROM (SELECT DISTINCT c FROM grid), wc, sz)),
+s2 AS (SELECT s1.r, pc.c, sum(w * z) AS z FROM pc JOIN s1 ON s1.c = pc.j GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT least(2.0, greatest(max(distance), 1.8)) AS top FROM pairs), g AS (SELECT CAST(k + 1 AS INT) AS point, k * top / 319 AS grid FROM t, (SELECT unnest(generate_series(0, 319)) AS k)),
+b AS (SELECT window_id, count(*) AS n, stddev_samp(distance) * pow(count(*), -0.2) * 1.6 AS h FROM pairs GROUP BY 1),
+kd AS (SELECT window_id, point, sum(exp(-pow((grid - distance) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM pairs JOIN b USING (window_id), g GROUP BY 1, 2){SURFACE}
+SELECT CAST(r + 1 AS INT) AS window_id, CAST(c + 1 AS INT) AS point, round(least(greatest(z, 0), 5), 5) + 0.0 AS density FROM s2""")
+def r29_smoothed_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The densities of all windows as one surface, smoothed along time and distance and clipped; not refined, which SQL can't check."""
+    d = statistics.kernel_density(pairs(spark, sf_dir), ["window_id"], "distance")
+    return rounded(kernels.smoothed_surface(d, "window_id", "point", "density", zoom=(1, 1)), 5)
 
 
 @query(None)
-def r29_smoothed_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metric over the windows, smoothed along time, as a figure shows it."""
-    m = metrics(spark, sf_dir).select(F.lit(1).alias("g"), "window_id", "dist_mean")
-    return rounded(statistics.smooth(m, ["g"], "dist_mean", "window_id", sigma=2.2)).drop("g")
+def r29_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface as the figure shows it, three by two times as fine."""
+    return rounded(kernels.smoothed_surface(statistics.kernel_density(pairs(spark, sf_dir), ["window_id"], "distance"), "window_id", "point", "density"))
+
+
+@query(f"WITH {PAIRS}, {NODES} SELECT window_id, n - 1 AS tree_edges, 3 * n - 6 AS planar_edges, round(2.0 * (n - 1) / n, 6) AS tree_degree, round(2.0 * (3 * n - 6) / n, 6) AS planar_degree, true AS tree_is_lighter, 0.0 AS tree_clustering FROM nn")
+def g31_tree_and_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's tree beside its planar graph."""
+    e = graphs.complete(pairs(spark, sf_dir))
+    out = {}
+    for name, g in (("tree", kernels.minimum_spanning_trees(e)), ("planar", kernels.planar_graphs(e))):
+        m = g.groupBy("window_id").agg(F.count(F.lit(1)).alias(f"{name}_edges"), F.avg("distance").alias(f"{name}_mean"))
+        out[name] = m.join(graphs.basics(g).select("window_id", F.col("mean_degree").alias(f"{name}_degree")), "window_id").join(graphs.clustering(g).select("window_id", F.col("mean_clustering").alias(f"{name}_clustering")), "window_id")
+    both = out["tree"].join(out["planar"], "window_id").withColumn("tree_is_lighter", F.col("tree_mean") <= F.col("planar_mean"))
+    return rounded(both.select("window_id", "tree_edges", "planar_edges", "tree_degree", "planar_degree", "tree_is_lighter", "tree_clustering"))
 
 
 @query("SELECT n_nationkey, '\\begin{figure}[htbp]' || chr(10) || '\\centering' || chr(10) || '\\includegraphics[width=\\linewidth]{f' || n_nationkey || '.png}' || chr(10) || '\\caption{' || n_name || '}' || chr(10) || '\\label{fig:' || n_nationkey || '}' || chr(10) || '\\end{figure}' || chr(10) AS block FROM nation")
@@ -246,8 +338,3 @@ def f3_network_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.join(kernels.communities(e), keys).join(graphs.ricci_groups(e).select(*keys, "group"), keys))
 
 
-@query(None)
-def r7_r32_null_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observation counts beside the spectrum's degenerate rule: windows too short for their assets get no band."""
-    obs = observations(spark, sf_dir).withColumn("n_obs", F.when(F.col("window_id") % 3 == 0, F.lit(20)).otherwise(F.col("n_obs")))
-    return rounded(kernels.marchenko_pastur(pairs(spark, sf_dir), obs))

@@ -37,9 +37,9 @@ def returns(spark: SparkSession, sf_dir: str, asset: str = "p_brand") -> DataFra
 
 
 def windowed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = returns(spark, sf_dir)
-    windows = calendar.month_windows(rows)
-    return calendar.assign_windows(rows, windows), windows
+    """The panel's rows in their windows, and the windows, whose bounds come from the dates alone."""
+    windows = calendar.month_windows(panels.dates(spark, sf_dir))
+    return calendar.assign_windows(returns(spark, sf_dir), windows), windows
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ WINDOWED = RETURNS + "," + WINDOWS + """,
 win AS (SELECT ret.*, window_id, window_start, window_end FROM ret JOIN windows ON obs_date BETWEEN window_start AND window_end)"""
 PAIRS = WINDOWED + """,
 pairs AS (SELECT *, sqrt(greatest(2 * (1 - rho), 0)) AS distance FROM (
-  SELECT a.window_id, a.asset AS asset_1, b.asset AS asset_2, count(*) AS observations, covar_pop(a.log_return, b.log_return) / nullif(stddev_pop(a.log_return) * stddev_pop(b.log_return), 0) AS rho
+  SELECT a.window_id, a.asset AS asset_1, b.asset AS asset_2, count(*) AS observations, round(covar_pop(a.log_return, b.log_return) / nullif(stddev_pop(a.log_return) * stddev_pop(b.log_return), 0), 12) AS rho
   FROM win a JOIN win b ON a.window_id = b.window_id AND a.obs_date = b.obs_date AND a.asset < b.asset
   WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL GROUP BY 1, 2, 3) WHERE rho IS NOT NULL AND sqrt(greatest(2 * (1 - rho), 0)) > 0)"""
 #: The graph of each node's 5 nearest, as used by the graph metrics.

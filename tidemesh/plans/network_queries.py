@@ -110,7 +110,13 @@ def r28_kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.kernel_density(pairs(spark, sf_dir), ["window_id"], "distance"))
 
 
-@query(None)
+@query(f"""WITH {PAIRS}, t AS (SELECT least(2.0, greatest(max(distance), 1.8)) AS top FROM pairs), g AS (SELECT CAST(k + 1 AS INT) AS point, k * top / 319 AS grid FROM t, (SELECT unnest(generate_series(0, 319)) AS k)),
+b AS (SELECT window_id, count(*) AS n, stddev_samp(distance) * pow(count(*), -0.2) * 1.6 AS h FROM pairs GROUP BY 1),
+kd AS (SELECT window_id, point, any_value(grid) AS grid, sum(exp(-pow((grid - distance) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM pairs JOIN b USING (window_id), g GROUP BY 1, 2),
+w AS (SELECT d, exp(-0.5 * pow(d / 1.2, 2)) / sum(exp(-0.5 * pow(d / 1.2, 2))) OVER () AS w FROM (SELECT unnest(generate_series(-5, 5)) AS d)),
+pl AS (SELECT point, w, CASE WHEN j < 320 THEN j ELSE 639 - j END + 1 AS j FROM (SELECT point, w, ((point - 1 + d) % 640 + 640) % 640 AS j FROM g, w)),
+s AS (SELECT k.window_id, pl.point, sum(w * k.density) AS smoothed FROM pl JOIN kd k ON k.point = pl.j GROUP BY 1, 2)
+SELECT kd.window_id, kd.point, round(grid, 6) AS grid, round(density, 6) + 0.0 AS density, round(smoothed, 6) + 0.0 AS smoothed FROM kd JOIN s ON kd.window_id = s.window_id AND kd.point = s.point""")
 def r28_smoothed_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.smooth(statistics.kernel_density(pairs(spark, sf_dir), ["window_id"], "distance"), ["window_id"], "density", "point"))
 
@@ -123,10 +129,13 @@ def g3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn(spark, sf_dir).select("window_id", "u", "v", "distance"))
 
 
-@query(f"WITH {PAIRS} SELECT window_id, count(*) AS n_edges FROM pairs GROUP BY 1 HAVING count(*) <= 30000")
+@query(f"WITH {PAIRS} SELECT window_id, count(*) AS n_edges, CASE WHEN count(*) <= 30000 THEN round(avg(distance), 6) + 0.0 END AS dist_mean, CASE WHEN count(*) <= 299 THEN round(avg(distance), 6) + 0.0 END AS guarded_mean FROM pairs GROUP BY 1")
 def g1_g13_complete_graph_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows stay; a costly metric is null over the limit, here the usual one and one of 299 edges."""
     e = graphs.complete(pairs(spark, sf_dir))
-    return e.join(graphs.light_windows(e), "window_id").groupBy("window_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    m = graphs.distance_moments(e).select("window_id", "dist_mean")
+    low = graphs.guarded(e, m.withColumnRenamed("dist_mean", "guarded_mean"), 299)
+    return rounded(graphs.guarded(e, m).join(low.drop("n_edges"), "window_id"))
 
 
 @query(f"WITH {KNN} SELECT window_id, node, degree, round(degree / (count(*) OVER (PARTITION BY window_id) - 1), 6) AS degree_centrality FROM deg")
@@ -293,6 +302,44 @@ def g11_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.centralities(knn(spark, sf_dir)).select("window_id", "node", "closeness_centrality"))
 
 
+@query(f"""WITH {KNN}{HOPS}, n AS (SELECT window_id, count(*) AS n FROM deg GROUP BY 1)
+SELECT window_id, n AS nodes, round(sum(h - 1) / ((n - 1) * (n - 2)), 6) + 0.0 AS betweenness_sum, 1.0 AS eigenvector_norm, round(sum(CASE WHEN h = 1 THEN 1 END) / (n - 1), 6) AS degree_sum FROM h8 JOIN n USING (window_id) GROUP BY 1, 2""")
+def g10_g12_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness adds up to the pairs' inner path lengths over all pairs; eigenvector centrality has length one."""
+    c = kernels.centralities(knn(spark, sf_dir)).groupBy("window_id")
+    out = c.agg(F.count(F.lit(1)).alias("nodes"), F.sum("betweenness_centrality").alias("betweenness_sum"), F.round(F.sum(F.pow("eigenvector_centrality", F.lit(2.0))), 4).alias("eigenvector_norm"), F.sum("degree_centrality").alias("degree_sum"))
+    return rounded(out)
+
+
+@query(f"""WITH {KNN}{COMPONENTS} SELECT comp.window_id, count(*) AS nodes, true AS louvain_covers, true AS louvain_is_modular, true AS propagation_covers, true AS labels_within_components FROM comp GROUP BY 1""")
+def g19_g20_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both methods label every node; Louvain's labels beat one community for all; propagated labels don't cross components."""
+    e = knn(spark, sf_dir)
+    n = graphs.degrees(e).groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"))
+    a, b = kernels.communities(e), kernels.communities(e, "propagation")
+    q = graphs.modularity(e, a).select("window_id", (F.col("modularity") > 0).alias("louvain_is_modular"))
+    crossing = b.join(graphs.components(e), ["window_id", "node"]).groupBy("window_id", "community").agg(F.countDistinct("component").alias("_c")).groupBy("window_id").agg((F.max("_c") == 1).alias("labels_within_components"))
+    count = lambda x, name: x.groupBy("window_id").agg(F.countDistinct("node").alias(name))
+    out = n.join(count(a, "_a"), "window_id").join(count(b, "_b"), "window_id").join(q, "window_id").join(crossing, "window_id")
+    return out.select("window_id", "nodes", (F.col("_a") == F.col("nodes")).alias("louvain_covers"), "louvain_is_modular", (F.col("_b") == F.col("nodes")).alias("propagation_covers"), "labels_within_components")
+
+
+@query(f"""WITH {KNN}, m AS (SELECT window_id, count(*) AS m FROM edges GROUP BY 1), n AS (SELECT window_id, count(*) AS n, sum(degree) AS s FROM deg GROUP BY 1)
+SELECT window_id, n AS nodes, m AS random_edges, true AS random_is_simple, true AS degrees_stay, m AS swapped_edges, true AS stubs_suffice, true AS configuration_is_simple FROM m JOIN n USING (window_id)""")
+def g25_g26_g27_null_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random graph of each null model beside the window's own: as many edges, the same degrees, and at most those of the stubs."""
+    e = knn(spark, sf_dir)
+    drawn = kernels.null_graphs(e)
+    key = ["window_id", "model"]
+    per = drawn.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.countDistinct("u", "v").alias("_d"), F.every(F.col("u") < F.col("v")).alias("_no_loops"))
+    per = per.withColumn("simple", (F.col("m") == F.col("_d")) & F.col("_no_loops"))
+    degree = drawn.filter("model = 'swapped'").select("window_id", F.explode(F.array("u", "v")).alias("node")).groupBy("window_id", "node").agg(F.count(F.lit(1)).alias("_k"))
+    same = graphs.degrees(e).join(degree, ["window_id", "node"], "left").groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"), F.every(F.col("degree") == F.col("_k")).alias("degrees_stay"), (F.sum("degree") / 2).alias("_m"))
+    of = lambda name: per.filter(F.col("model") == name).select("window_id", F.col("m").alias(f"{name}_m"), F.col("simple").alias(f"{name}_s"))
+    out = same.join(of("random"), "window_id").join(of("swapped"), "window_id").join(of("configuration"), "window_id")
+    return out.select("window_id", "nodes", F.col("random_m").alias("random_edges"), F.col("random_s").alias("random_is_simple"), "degrees_stay", F.col("swapped_m").alias("swapped_edges"), (F.col("configuration_m") <= F.col("_m")).alias("stubs_suffice"), F.col("configuration_s").alias("configuration_is_simple"))
+
+
 @query(None)
 def g19_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
@@ -343,6 +390,16 @@ def r9_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.marchenko_pastur(pairs(spark, sf_dir), observations(spark, sf_dir)))
 
 
+@query(f"""WITH {PAIRS}, a AS (SELECT window_id, rho, 0 AS side FROM pairs UNION ALL SELECT window_id - 12, rho, 1 FROM pairs), k AS (SELECT window_id FROM a GROUP BY 1 HAVING count(DISTINCT side) = 2),
+c AS (SELECT window_id, rho, sum(1 - side) OVER o AS f, sum(side) OVER o AS g, sum(1 - side) OVER (PARTITION BY window_id) AS m, sum(side) OVER (PARTITION BY window_id) AS n FROM a JOIN k USING (window_id) WINDOW o AS (PARTITION BY window_id ORDER BY rho))
+SELECT window_id, round(max(abs(f / m - g / n)), 6) AS ks_stat FROM c GROUP BY 1""")
+def r8_ks_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest gap of a window's correlations against those of the window a year on."""
+    p = pairs(spark, sf_dir).select("window_id", "rho")
+    both = p.withColumn("side", F.lit(0)).unionByName(p.select((F.col("window_id") - 12).alias("window_id"), "rho", F.lit(1).alias("side")))
+    return rounded(kernels.ks_between(both, "rho").filter("ks_stat is not null").select("window_id", "ks_stat"))
+
+
 @query(None)
 def r8_ks_against_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.ks_against_noise(pairs(spark, sf_dir), observations(spark, sf_dir)))
@@ -372,6 +429,20 @@ def r32_window_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.window_bundle(pairs(spark, sf_dir), rows))
 
 
+@query(f"""WITH {PVALS}, n AS (SELECT window_id, count(DISTINCT x) AS n FROM (SELECT window_id, asset_1 AS x FROM pairs UNION ALL SELECT window_id, asset_2 FROM pairs) GROUP BY 1)
+SELECT window_id, 'pvalue' AS part, asset_1 AS name_1, asset_2 AS name_2, 'pvalue' AS metric, round(pvalue, 6) + 0.0 AS value FROM pv
+UNION ALL SELECT window_id, 'mp', NULL, NULL, 'q', round(n / n_obs, 6) + 0.0 FROM n JOIN nobs USING (window_id) UNION ALL SELECT window_id, 'mp', NULL, NULL, 'lambda_plus', round(pow(1 + sqrt(n / n_obs), 2), 6) + 0.0 FROM n JOIN nobs USING (window_id)
+UNION ALL SELECT window_id, 'adf', 'series', NULL, 'tested', CAST(count(*) AS DOUBLE) FROM (SELECT window_id, asset FROM win WHERE window_id % 2 = 0 GROUP BY 1, 2 HAVING count(log_return) >= 10) GROUP BY 1""")
+def r32_j8_bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the bundle the p-values, the noise band, and how many series were tested when those of odd windows are done."""
+    rows, _ = windowed(spark, sf_dir)
+    done = rows.filter("window_id % 2 = 1").select("window_id", "asset").distinct()
+    b = kernels.window_bundle(pairs(spark, sf_dir), rows, done)
+    some = b.filter("metric = 'pvalue' or (part = 'mp' and metric in ('q', 'lambda_plus'))")
+    tested = b.filter("part = 'adf' and metric = 'adf_stat'").groupBy("window_id").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return rounded(some.unionByName(tested.select("window_id", F.lit("adf").alias("part"), F.lit("series").alias("name_1"), F.lit(None).cast("string").alias("name_2"), F.lit("tested").alias("metric"), "value")))
+
+
 @query(None)
 def r14_s26_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir)
@@ -384,17 +455,22 @@ def r14_s26_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s24_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GraphML of the last window's planar graph (one window is the feature)."""
     e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
-    last = calendar.month_windows(panels.panel(spark, sf_dir)).agg(F.max("window_id")).first()[0]
+    last = calendar.month_windows(panels.dates(spark, sf_dir)).agg(F.max("window_id")).first()[0]
     return sinks.graphml(e, last)
 
 
+@query(f"WITH {PAIRS}, n AS (SELECT count(DISTINCT x) AS n FROM (SELECT window_id, asset_1 AS x FROM pairs UNION ALL SELECT window_id, asset_2 FROM pairs) WHERE window_id = (SELECT max(window_id) FROM windows)) SELECT p.part, CASE p.part WHEN 1 THEN n WHEN 2 THEN 3 * n - 6 ELSE 1 END AS lines FROM n, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS part) p")
+def s24_graphml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s24_graphml(spark, sf_dir).groupBy("part").agg(F.count(F.lit(1)).alias("lines"))
+
+
 # Size-adjusted metrics and event studies.
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window: bounds, nodes, and four structural metrics of the nearest-neighbour graph."""
-    e = knn(spark, sf_dir).persist()  # read by three metrics below
-    w = calendar.month_windows(panels.panel(spark, sf_dir))
+    e = knn(spark, sf_dir)
+    w = calendar.month_windows(panels.dates(spark, sf_dir))
     out = w.join(graphs.basics(e).select("window_id", "n_nodes", "n_edges", "mean_degree"), "window_id").join(graphs.distance_moments(e).select("window_id", "dist_mean", "dist_std"), "window_id")
     return out.join(graphs.clustering(e), "window_id")
 
@@ -496,7 +572,14 @@ def e11_min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("event_set", "event_date", "status", "metric", "phase", "scaled"), 5)
 
 
-@query(None)
+@query(f"""WITH {WINDOWED}, {{EVENTS_ONLY}}, mk AS (SELECT obs_date, avg(log_return) AS r, avg(close) AS level FROM (SELECT DISTINCT obs_date, asset, log_return, close FROM win) GROUP BY 1),
+z AS (SELECT *, lag(level) OVER (ORDER BY obs_date) AS before, (r - (SELECT avg(r) FROM mk)) / (SELECT stddev_samp(r) FROM mk) AS z FROM mk),
+nr AS (SELECT anchor, z.*, row_number() OVER (PARTITION BY anchor ORDER BY CASE WHEN coalesce(z, 0) > -3 THEN 1 ELSE 0 END, CASE WHEN z <= -3 THEN obs_date END, r NULLS LAST, obs_date) AS k FROM z, an WHERE abs(obs_date - anchor) <= 60),
+sh AS (SELECT anchor, CASE WHEN z <= -3 THEN 'trigger_-3sigma' ELSE 'largest_drop' END AS status, obs_date AS shock_start, r AS shock_return, z AS shock_z, coalesce(before, level) AS recovery_level FROM nr WHERE k = 1),
+en AS (SELECT anchor, min(mk.obs_date) FILTER (WHERE level >= recovery_level AND mk.obs_date > shock_start) AS recovery_end FROM sh JOIN mk ON mk.obs_date >= shock_start GROUP BY 1),
+lo AS (SELECT sh.anchor, min_by(mk.obs_date, (level, mk.obs_date)) AS bottom_date, min(level) AS low FROM sh JOIN en USING (anchor) JOIN mk ON mk.obs_date >= shock_start AND (recovery_end IS NULL OR mk.obs_date <= recovery_end) GROUP BY 1)
+SELECT sh.anchor, status, shock_start, round(shock_return, 6) + 0.0 AS shock_return, round(shock_z, 6) + 0.0 AS shock_z, round(recovery_level, 6) + 0.0 AS recovery_level, recovery_end, bottom_date, round(low / recovery_level - 1, 6) + 0.0 AS max_drawdown, CAST(recovery_end - shock_start AS INT) AS duration_days, recovery_end IS NOT NULL AS recovered
+FROM sh JOIN en USING (anchor) JOIN lo USING (anchor)""".replace("{EVENTS_ONLY}", "an AS (SELECT DATE '1997-07-15' AS anchor UNION ALL SELECT DATE '1998-08-20' UNION ALL SELECT DATE '2000-04-10' UNION ALL SELECT DATE '1996-09-01' UNION ALL SELECT DATE '1999-01-13' UNION ALL SELECT DATE '1999-11-30')"))
 def e1_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shocks of the market's mean weekly return around fixed anchors."""
     rows, _ = windowed(spark, sf_dir)
@@ -506,6 +589,6 @@ def e1_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {METRICS}{EVENTS} SELECT event_set, event_date, phase, metric, count(value) AS windows, round(avg(value), 6) + 0.0 AS mean FROM ph WHERE phase <> 'tranquil' GROUP BY 1, 2, 3, 4""")
 def e10_j17_event_window_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = events.unpivot(metrics(spark, sf_dir), ["window_start", "window_end"], VALUES).crossJoin(F.broadcast(calendar_events(spark)))
+    long = events.unpivot(metrics(spark, sf_dir), ["window_start", "window_end"], VALUES).crossJoin(calendar_events(spark))
     ph = long.withColumn("phase", events.phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), otherwise=None)).filter("phase is not null")
     return rounded(ph.groupBy("event_set", "event_date", "phase", "metric").agg(F.count("value").alias("windows"), F.avg("value").alias("mean")))

@@ -9,6 +9,7 @@ from ..functions import scalars
 from ..operators import calendar, cleaning, events
 from ..sources import panel as panels
 from ..sources import quotes as files
+from ..sources import scratch, sinks
 from .base import PAIRS, QUERIES, RETURNS, WINDOWED, WINDOWS, pairs, query, returns, rounded, windowed  # noqa: F401
 
 RAW, QUOTES = panels.RAW_SQL, panels.QUOTES_SQL
@@ -52,9 +53,14 @@ def s30_dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.dataset_info(panels.quotes(spark, sf_dir))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS BIGINT) AS rows FROM pages WHERE len(regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1)) > 0")
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def s15_html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.companies_of_pages(panels.read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("rows"))
+    """Suppliers written as one HTML table a nation, with marks inside the cells, and read back."""
+    s, n = panels.read(spark, sf_dir, "supplier"), panels.read(spark, sf_dir, "nation")
+    row = F.concat(F.lit('<tr class="r">\n<td> '), "s_suppkey", F.lit("</td><TD><b>"), "s_name", F.lit("</b></TD><td>"), "n_name", F.lit("</td></tr>"))
+    pages = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("page_id")).agg(F.concat(F.lit("<html><table>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table></html>")).alias("html"))
+    cells = files.companies_of_pages(pages)
+    return cells.select(F.col("cells")[0].cast("long").alias("s_suppkey"), F.col("cells")[1].alias("s_name"), F.col("cells")[2].alias("n_name"))
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -76,12 +82,72 @@ def s17_filter_first_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.read(spark, sf_dir, "orders").join(F.broadcast(keys), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE year(o_orderdate) % 2 = 1")
+def s6_cached_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years among archive paths; files of other series or without a year are none."""
+    y = F.year("o_orderdate")
+    name = F.when(y % 2 == 1, F.concat(F.lit("/raw/COTAHIST_A"), y, F.lit(".ZIP"))).otherwise(F.concat(F.lit("/raw/COTAHIST_M01"), y, F.lit(".ZIP")))
+    return files.cached_years(panels.read(spark, sf_dir, "orders").select(name.alias("path")))
+
+
+@query("""WITH c AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) % 2 = 1)
+SELECT CAST(y AS INT) AS year FROM (SELECT unnest(generate_series(1990, 2001)) AS y) WHERE y = 2001 OR y NOT IN (SELECT y FROM c)""")
+def s5_years_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past years that are cached stay; the present one, here 2001, is fetched again whether cached or not."""
+    cached = s6_cached_years(spark, sf_dir)
+    return files.years_to_fetch(cached.unionByName(cached.limit(1).withColumn("year", F.lit(2001))), 1990, 2001)
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 10")
+def s9_bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows of a delimited file (the bound is the feature)."""
+    path = scratch.folder(spark)
+    sinks.write_csv(panels.read(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1), path)
+    return files.read_delimited(spark, path, "n_nationkey int, n_name string, n_regionkey int", rows=10).select("n_nationkey", "n_name")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s7_s8_s21_delimited_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written with a header and another appended; columns are projected from the typed scan."""
+    path = scratch.folder(spark)
+    sinks.write_csv(panels.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
+    sinks.write_csv(panels.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal")), path, mode="append")
+    return files.read_delimited(spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region")
+def s22_rows_with_inferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark)
+    sinks.write_rows([panels.read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), panels.read(spark, sf_dir, "region").select("r_name")], path)
+    return files.read_rows(spark, path)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS fetches, CAST(1 AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS total_rows, min(a) AS first_day, max(b) AS last_day FROM (SELECT count(*) AS n, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY year(o_orderdate) UNION ALL SELECT 0, NULL, NULL)")
+def s20_ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fetch a year and one that failed, written to the log, and the log's totals."""
+    path = scratch.folder(spark)
+    per = panels.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b"))
+    for r in per.collect():  # one row a year
+        sinks.append_log(spark, path, f"A{r['y']}", "success", r["n"], str(r["a"]), str(r["b"]))
+    sinks.append_log(spark, path, "A2050", "failed", 7)
+    return sinks.log_summary(spark.read.parquet(path)).drop("last_update")
+
+
 # Calendar.
 
 
+@query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT window_id, window_start, window_end FROM windows")
+def s12_windows_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows written as one JSON document and read back."""
+    w, path = calendar.month_windows(panels.dates(spark, sf_dir)), scratch.folder(spark)
+    item = F.struct(F.col("window_id").alias("id"), F.col("window_start").cast("string").alias("start"), F.col("window_end").cast("string").alias("end"))
+    w.agg(F.to_json(F.struct(F.collect_list(item).alias("windows"))).alias("value")).coalesce(1).write.text(path)
+    return files.read_windows(spark, path)
+
+
 @query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT * FROM windows")
 def w1_month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.month_windows(panels.panel(spark, sf_dir))
+    return calendar.month_windows(panels.dates(spark, sf_dir))
 
 
 @query(f"""WITH {panels.PANEL_SQL}, b AS (SELECT min(obs_date) AS lo, max(obs_date) AS hi FROM panel),
@@ -89,7 +155,7 @@ k AS (SELECT CAST(unnest(generate_series(0, 400)) AS INT) AS k)
 SELECT k + 1 AS window_id, CAST(lo + to_months(k) AS DATE) AS window_start, CAST(lo + to_months(k + 12) AS DATE) AS window_end,
        strftime(lo + to_months(k), '%Y-%m') || ' a ' || strftime(lo + to_months(k + 12), '%Y-%m') AS label FROM b, k WHERE CAST(lo + to_months(k + 12) AS DATE) <= hi""")
 def w2_offset_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.offset_windows(panels.panel(spark, sf_dir))
+    return calendar.offset_windows(panels.dates(spark, sf_dir))
 
 
 @query(f"WITH {WINDOWED} SELECT window_id, count(*) AS n, count(DISTINCT obs_date) AS days, round(sum(volume), 2) AS volume FROM win GROUP BY 1")
@@ -100,17 +166,17 @@ def w3_window_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT window_id, CAST(datediff('month', window_start, window_end + 1) AS INT) AS months_covered, coalesce(CAST(datediff('month', lag(window_start) OVER (ORDER BY window_id), window_start) AS INT), 0) AS months_lag, true AS valid FROM windows")
 def w4_window_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.validate_windows(calendar.month_windows(panels.panel(spark, sf_dir))).fillna({"months_lag": 0})
+    return calendar.validate_windows(calendar.month_windows(panels.dates(spark, sf_dir))).fillna({"months_lag": 0})
 
 
 @query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT count(*) AS windows, min(window_start) AS first_start, min(window_end) AS first_end, max(window_start) AS last_start, max(window_end) AS last_end FROM windows")
 def w5_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.summarise_windows(calendar.month_windows(panels.panel(spark, sf_dir)))
+    return calendar.summarise_windows(calendar.month_windows(panels.dates(spark, sf_dir)))
 
 
 @query(f"""WITH {panels.PANEL_SQL}, {WINDOWS} SELECT window_id, '{{"id":' || window_id || ',"start":"' || window_start || '","end":"' || window_end || '"}}' AS json FROM windows""")
 def s25_windows_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.windows_json(calendar.month_windows(panels.panel(spark, sf_dir)))
+    return calendar.windows_json(calendar.month_windows(panels.dates(spark, sf_dir)))
 
 
 BUSINESS = "days AS (SELECT CAST(unnest(generate_series(min(l_shipdate), max(l_shipdate), INTERVAL 1 DAY)) AS DATE) AS day FROM lineitem), cal AS (SELECT day FROM days WHERE isodow(day) < 6)"
@@ -136,21 +202,30 @@ def w7_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {panels.PANEL_SQL}, {WINDOWS} SELECT window_id, CASE window_id % 4 WHEN 0 THEN window_start || ' a ' || window_end WHEN 1 THEN 'ate ' || window_end WHEN 2 THEN 'desde ' || window_start ELSE 'Janela ' || window_id END AS label FROM windows""")
 def w8_window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = calendar.month_windows(panels.panel(spark, sf_dir))
+    w = calendar.month_windows(panels.dates(spark, sf_dir))
     k = F.col("window_id") % 4
     return w.select("window_id", calendar.window_label(F.col("window_id"), F.when(k.isin(0, 2), F.col("window_start")), F.when(k.isin(0, 1), F.col("window_end"))).alias("label"))
 
 
-@query(f"""WITH {WINDOWED}, st AS (SELECT window_id, count(*) AS n FROM win WHERE window_id % 5 <> 0 GROUP BY 1)
-SELECT w.window_id, window_start, window_end, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS modeled, CASE WHEN n IS NULL THEN 'no data' ELSE 'ok' END AS model_reason FROM windows w LEFT JOIN st USING (window_id)""")
+MORE_WINDOWS = "more AS (SELECT * FROM windows UNION ALL SELECT CAST(max(window_id) + k AS INT), CAST(max(window_start) + to_months(CAST(k AS INT)) AS DATE), CAST(last_day(max(window_start) + to_months(CAST(k AS INT) + 11)) AS DATE) FROM windows, (SELECT unnest([1, 2, 3]) AS k) GROUP BY k)"
+
+
+def and_three_more(windows: DataFrame) -> DataFrame:
+    """The windows and the three that would follow, which have no data yet."""
+    last = windows.agg(F.max("window_id").alias("_n"), F.max("window_start").alias("_s")).select("_n", "_s", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
+    return windows.unionByName(last.select((F.col("_n") + F.col("k")).alias("window_id"), F.add_months("_s", F.col("k")).alias("window_start"), F.last_day(F.add_months("_s", F.col("k") + 11)).alias("window_end")))
+
+
+@query(f"""WITH {WINDOWED}, {MORE_WINDOWS}, st AS (SELECT window_id, count(*) AS n FROM win GROUP BY 1)
+SELECT w.window_id, window_start, window_end, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS modeled, CASE WHEN n IS NULL THEN 'no data' ELSE 'ok' END AS model_reason FROM more w LEFT JOIN st USING (window_id)""")
 def w9_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, windows = windowed(spark, sf_dir)
-    return calendar.with_placeholders(windows, rows.filter("window_id % 5 <> 0").groupBy("window_id").agg(F.count(F.lit(1)).alias("n")), ["n"])
+    return calendar.with_placeholders(and_three_more(windows), rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")), ["n"])
 
 
 @query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT * FROM windows WHERE (window_id - 1) % 10 = 0 OR window_id = (SELECT max(window_id) FROM windows)")
 def p12_every_nth_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.every_nth(calendar.month_windows(panels.panel(spark, sf_dir)), 10)
+    return cleaning.every_nth(calendar.month_windows(panels.dates(spark, sf_dir)), 10)
 
 
 # Cleaning.
@@ -280,11 +355,12 @@ def a25_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cleaning.window_stats(rows, "asset"))
 
 
-@query(f"""WITH {BUSINESS}, p AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_orderkey % 5 = 0)
+@query(f"""WITH {BUSINESS}, p AS (SELECT DISTINCT CASE WHEN l_orderkey % 5 = 0 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem)
 SELECT strftime(cal.day, '%Y-%m') AS year_month, count(*) AS expected_days, count(p.day) AS present_days, count(*) - count(p.day) AS missing_days, round(100.0 * count(p.day) / count(*), 6) AS coverage_pct FROM cal LEFT JOIN p ON cal.day = p.day GROUP BY 1""")
 def a24_monthly_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = panels.read(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(F.col("l_shipdate").cast("date").alias("obs_date"))
-    return rounded(cleaning.monthly_coverage(some, _business(spark, sf_dir)))
+    """Rows of other orders have an unknown date here, which makes gaps."""
+    rows = panels.read(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 5 == 0, F.col("l_shipdate").cast("date")).alias("obs_date"))
+    return rounded(cleaning.monthly_coverage(rows, _business(spark, sf_dir)))
 
 
 @query(f"WITH {QUOTES}, w AS (SELECT DISTINCT company || s AS ticker FROM quotes, (SELECT unnest(['3', '4', '5', '6', '7', '8', '11']) AS s) WHERE regexp_matches(company, '^[A-Z]{{4}}$')) SELECT ticker FROM w")
@@ -357,18 +433,22 @@ def x3_remap_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars.remap_legacy(c, m)
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(upper(strip_accents(p_name)), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) || ' SA' AS company FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(upper(strip_accents(p_name)), '[^A-Z0-9]+', ' ', 'g')) || ' ACAO N SA N1' AS company FROM part")
 def x4_company_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.read(spark, sf_dir, "part").select("p_partkey", scalars.normalize_company(F.concat("p_name", F.lit(" S.A. PN N1"))).alias("company")).withColumn("company", F.regexp_replace("company", " S A$", " SA"))
+    """Marks and class words go, listing segments such as N1 stay."""
+    return panels.read(spark, sf_dir, "part").select("p_partkey", scalars.normalize_company(F.concat("p_name", F.lit(" Ação ñ - SA PNC (PN)  N1 on"))).alias("company"))
 
 
-@query(None)
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN 'QQ' || (p_partkey % 100) ELSE substr(p_type, 1, 4) || '4' END AS resolved FROM part""")
 def x5_x6_resolve_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part's brand, misspelt, against the catalogue of brands; similarity needs Python, so no SQL."""
-    p = panels.read(spark, sf_dir, "part").select(F.upper("p_brand").alias("b")).distinct()
-    cat = p.select(F.concat(F.lit("BR"), F.regexp_extract("b", r"(\d+)$", 1), F.lit("4")).alias("ticker"), F.concat(F.lit("COMPANHIA "), "b").alias("company"), F.lit("PN").alias("kind"))
-    raw = panels.read(spark, sf_dir, "part").select(F.concat(F.lit("XX"), F.col("p_partkey") % 100).alias("ticker"), F.concat(F.lit("COMPANHIA "), F.upper("p_brand"), F.lit("X")).alias("company"), F.lit("PN").alias("kind"))
-    return scalars.resolve_ticker(raw, cat)
+    """Parts as quotes of their type, by each step in turn: known ticker, known company, four letters, a name with something behind it, and a stranger."""
+    parts = panels.read(spark, sf_dir, "part")
+    cat = parts.select("p_type").distinct().select(F.concat(F.substring("p_type", 1, 4), F.lit("4")).alias("ticker"), F.col("p_type").alias("company"), F.lit("PN").alias("kind"))
+    k, code = F.col("p_partkey") % 5, F.substring("p_type", 1, 4)
+    ticker = F.when(k == 0, F.concat(code, F.lit("4"))).when(k == 2, F.concat(code, F.lit("9"))).otherwise(F.concat(F.lit("QQ"), F.col("p_partkey") % 100))
+    company = F.when(k == 1, F.col("p_type")).when(k == 3, F.concat("p_type", F.lit(" XY"))).otherwise("QWXYZ")
+    raw = parts.select("p_partkey", ticker.alias("ticker"), company.alias("company"), F.lit("PN").alias("kind"))
+    return scalars.resolve_ticker(raw, cat).select("p_partkey", "resolved")
 
 
 @query("SELECT event_id, TRY_CAST(TRY_CAST(regexp_extract(props, '\\d+') AS DOUBLE) AS BIGINT) AS as_int, TRY_CAST(event_type AS DOUBLE) AS as_float, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS as_bool FROM events")
@@ -389,16 +469,31 @@ def x10_registry_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.read(spark, sf_dir, "customer").select("c_custkey", scalars.company_number(F.concat(F.lit("reg. "), n, F.lit(" ok"))).alias("number"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE upper(p_name) LIKE '%RING%' OR upper(p_type) LIKE '%RING%'")
+@query("""SELECT 'name' AS field, p_partkey FROM part WHERE upper(p_name) LIKE '%RING%' UNION ALL SELECT 'aliases', p_partkey FROM part WHERE upper(p_type) LIKE '%RING%' OR upper(p_name) LIKE '%RING%'
+UNION ALL SELECT 'sigla', p_partkey FROM part WHERE p_brand = 'Brand#3'""")
 def x11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = panels.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sigla"), F.col("p_name").alias("name"), F.array("p_type").alias("aliases"))
-    return scalars.search_dimension(dim, "ring").select("p_partkey", F.col("name").alias("p_name"))
+    dim = panels.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sigla"), F.col("p_name").alias("name"), F.array("p_type", "p_name").alias("aliases"))
+    found = [scalars.search_dimension(dim, term, field).select(F.lit(field).alias("field"), "p_partkey") for term, field in (("ring", "name"), ("Ring", "aliases"), ("brand#3", "sigla"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""SELECT n_nationkey, n_name AS full_name, upper(n_name) AS english, n_nationkey % 3 = 0 AS is_legacy, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END AS aliases_kept,
+CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE (SELECT min_by(b.n_name, 'N' || b.n_nationkey) FROM nation b WHERE b.n_regionkey = nation.n_regionkey AND b.n_nationkey % 2 = 0) END AS in_office FROM nation""")
+def x12_dimension_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in two languages, a type's tickers, aliases without legacy ones, and timelines that siblings of a sigla lend."""
+    n = panels.read(spark, sf_dir, "nation")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.struct(F.col("n_name").alias("name"), F.lit("2000-01-01").cast("date").alias("start"), F.lit(None).cast("date").alias("end")))).otherwise(F.expr("cast(array() as array<struct<name: string, start: date, end: date>>)"))
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "legacy").otherwise("principal")
+    dim = n.select(F.concat(F.lit("N"), "n_nationkey").alias("ticker"), F.concat(F.lit("r"), "n_regionkey").alias("sigla"), kind.alias("kind"), F.col("n_name").alias("name"), F.upper("n_name").alias("name_en"), F.array("n_name").alias("aliases"), line.alias("timeline"))
+    out = dim.select("ticker").join(scalars.full_names(dim), "ticker").join(scalars.full_names(dim, "en").withColumnRenamed("full_name", "english"), "ticker")
+    out = out.join(scalars.of_type(dim, "legacy").withColumn("is_legacy", F.lit(True)), "ticker", "left").join(scalars.aliases_of(dim, include_legacy=False), "ticker").join(scalars.timelines(dim), "ticker")
+    return out.select(F.substring("ticker", 2, 9).cast("int").alias("n_nationkey"), "full_name", "english", F.coalesce("is_legacy", F.lit(False)).alias("is_legacy"), F.size("aliases").alias("aliases_kept"), F.element_at("timeline", -1)["name"].alias("in_office"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN 'Outros' ELSE n_name END AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def x13_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = panels.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("ticker"))
-    dim = panels.read(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("ticker"), F.col("n_name").alias("sector"))
+    dim = panels.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ticker"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("sector"))
     return scalars.sector_of(s, dim).select("s_suppkey", "sector")
 
 
