@@ -100,7 +100,7 @@ def test_shock_and_recovery(spark):
 def test_scalars(spark):
     df = spark.createDataFrame([(" petr4.sa ", "Açúcar S.A. ON N1"), ("vale3Ã©", None)], "s string, c string")
     out = df.select(scalars.normalize_symbol(F.col("s")).alias("a"), scalars.normalize_company(F.col("c")).alias("b")).collect()
-    assert out[0]["a"] == "PETR4SA" and out[1]["a"] == "VALE3" and out[0]["b"] == "ACUCAR S A"
+    assert out[0]["a"] == "PETR4SA" and out[1]["a"] == "VALE3" and out[0]["b"] == "ACUCAR S A N1"
     sim = spark.createDataFrame([("abc", "abc"), ("abc", "abcd"), ("abcd", "abc"), ("abcx", "abcy"), ("", "a")], "a string, b string")
     assert [r[0] for r in sim.select(scalars.company_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.95, 0.9, 0.75, 0.0]
     p = spark.createDataFrame([("Não", "12.7", "x"), ("sim", "NaN", "-3"), ("?", "1e3", "")], "b string, f string, i string")
@@ -201,7 +201,7 @@ def test_config_dimensions_and_log(spark, tmp_path):
     days = spark.createDataFrame([("A3", day("1999-12-31")), ("A3", day("2000-01-01")), ("A4", day("2005-01-01")), ("A4", day("1980-01-01"))], "ticker string, day date")
     got = {(r["ticker"], r["day"]): r["name"] for r in events.in_office(days, timeline, dim).collect()}
     assert got == {("A3", day("1999-12-31")): "Q", ("A3", day("2000-01-01")): "P", ("A4", day("2005-01-01")): "P", ("A4", day("1980-01-01")): None}
-    assert scalars.search_dimension(dim, "aa").count() == 1 and scalars.search_dimension(dim, "a").count() == 2
+    assert scalars.search_dimension(dim, "aa").count() == 1 and scalars.search_dimension(dim, "a", "sigla").count() == 2
     assert config.legacy_map(spark, {"X": "Y"}).first()["present"] == "Y"
     assert config.event_calendar(spark, [{"shock_start": "2008-09-15"}], "s").first()["status"] == "configured"
     sinks.append_log(spark, str(tmp_path / "log"), "f", "success", 3)
