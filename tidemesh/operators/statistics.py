@@ -107,24 +107,20 @@ def ecdf(df: DataFrame, keys: list[str], x: str, lo: float, hi: float, points: i
     return per.select(*keys, F.explode(each).alias("_p")).select(*keys, "_p.*")
 
 
-def kernel_density(df: DataFrame, keys: list[str], x: str, factor: float = 1.6, points: int = 320, bundle: int = 64) -> DataFrame:
+def kernel_density(df: DataFrame, keys: list[str], x: str, factor: float = 1.6, points: int = 320) -> DataFrame:
     """Gaussian density per group on ``points`` values from 0 to min(2, max(largest value, 1.8)); bandwidth is Scott's times ``factor``.
 
-    Values are put together ``bundle`` at a time, and a bundle is summed up
-    over the grid within its row, so ``points`` / ``bundle`` rows a value are
-    exchanged at most, not one for every value and point.
+    The grid is generated within a value's row and summed up before the
+    shuffle, so one row per group and point leaves each task.
     """
     group = df.groupBy(*keys).agg(F.count(x).alias("_n"), (F.stddev_samp(x) * F.pow(F.count(x).cast("double"), -0.2) * factor).alias("_h"))
     top = df.agg(F.least(F.lit(2.0), F.greatest(F.max(x), F.lit(1.8))).alias("_top"))
     group = group.filter("_h > 0").crossJoin(F.broadcast(top))
-    values = df.select(*keys, F.col(x).alias("_x")).filter("_x is not null").withColumn("_bundle", F.pmod(F.xxhash64("_x"), F.lit(bundle)))
-    bundles = values.groupBy(*keys, "_bundle").agg(F.collect_list("_x").alias("_xs")).join(group, keys)
-    grid = lambda k: k * F.col("_top") / (points - 1)
-    kernel = lambda k: F.aggregate("_xs", F.lit(0.0), lambda s, v: s + F.exp(-F.pow((grid(k) - v) / F.col("_h"), F.lit(2.0)) / 2))
-    each = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct((k + 1).alias("point"), grid(k).alias("grid"), kernel(k).alias("s")))
-    rows = bundles.select(*keys, "_n", "_h", F.explode(each).alias("_p"))
-    out = rows.groupBy(*keys, F.col("_p.point").alias("point"), F.col("_p.grid").alias("grid"), "_n", "_h").agg(F.sum("_p.s").alias("_s"))
-    return out.select(*keys, "point", "grid", (F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
+    rows = df.select(*keys, F.col(x).alias("_x")).filter("_x is not null").join(group, keys).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = F.col("_k") * F.col("_top") / (points - 1)
+    z = (grid - F.col("_x")) / F.col("_h")
+    out = rows.groupBy(*keys, "_k").agg(F.sum(F.exp(-z * z / 2)).alias("_s"), F.max("_n").alias("_n"), F.max("_h").alias("_h"), F.max("_top").alias("_top"))
+    return out.select(*keys, (F.col("_k") + 1).alias("point"), grid.alias("grid"), (F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def smooth(df: DataFrame, keys: list[str], x: str, order: str, sigma: float = 1.2, truncate: float = 4.0) -> DataFrame:
