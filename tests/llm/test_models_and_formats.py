@@ -330,6 +330,30 @@ def test_kneser_ney_against_its_definition():
         assert plain == pytest.approx(want[0]) and plain + ratio == pytest.approx(want[1])
 
 
+def test_counts_cover_all_labelled_texts(spark):
+    """Against plain counting: every labelled text counts, whatever the sample; other texts, null ids and held-out rows don't."""
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(rng.choice(["old", "dump", "Lake", "the", "qzx"], size=rng.integers(0, 9))) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (7, "one id twice"), (None, "no id"), (99, None)], "doc_id bigint, text string")
+    marks = {i: int(i % 2) for i in range(0, 60, 3)} | {99: 1}
+    labels = spark.createDataFrame([*marks.items(), (6, 1), (None, 1), (3, None), (4, 7), (500, 0)], "doc_id bigint, toxic int")
+    allowed = F.col("_id") % 5 != 0
+    rows = kn_toxicity.labelled_texts(docs, labels, "toxic", allowed, "doc_id", "text")
+    want = sorted((i, marks[i], texts.get(i, "")) for i in marks if i % 5)
+    assert sorted(map(tuple, rows.select("_id", "_label", "_text").collect())) == want
+    counts = kn_toxicity.counted(rows.withColumn("fold", F.col("_id").cast("int") % 2))
+    grams = kn_toxicity.letter_grams(counts)
+    for y in (0, 1):
+        got = {r["gram"]: r[f"n0{y}"] + r[f"n1{y}"] for r in grams.collect() if r[f"n0{y}"] + r[f"n1{y}"]}
+        assert got == top_of([t for _, label, t in want if label == y])
+    words = [kn_toxicity.words_of(t) for _, label, t in want if label]
+    pairs = Counter(" ".join(p) for w in words for p in zip(w, w[1:]))
+    assert {r["gram"]: r["n01"] + r["n11"] for r in counts.filter(F.col("gram").rlike(". .")).collect()} == pairs
+    assert kn_toxicity.bounded(grams, 10**6).count() == grams.count()
+    few = kn_toxicity.bounded(grams, 20).collect()
+    assert 0 < len(few) <= 20 and kn_toxicity.bounded(grams.limit(0), 20).count() == 0
+
+
 def test_expressions_of_several_words():
     """Words that are ordinary alone and toxic together: the pair's own counts tell, and a word's chances behind another sum to one."""
     top = {0: top_of(["go to the old dump", "jump in the lake"] * 9), 1: top_of(["go to the old dump", "jump in the lake"] * 9)}
