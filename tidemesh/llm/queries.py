@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bt_quality, chat_hmm, content_dedup, cws, kn_toxicity, mixing, packing, sharding, simhash_bk, warc_merkle
+from . import bestfit, bt_quality, chat_hmm, content_dedup, cws, kn_toxicity, mixing, packing, sharding, simhash_bk, warc_merkle
 from .common import table
 
 
@@ -26,10 +26,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_hmm.format_conversations(table(spark, sf_dir, "conversations"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_toxicity.classify(docs, kn_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bradley_terry_quality, op2_weighted_fingerprints, op3_source_mixing, op4_chat_formatting, op5_harmonic_packing, op6_exact_content_sort, op7_permutation_sharding, op8_warc_merkle_audit, op9_simhash_bk_trees, op10_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op1_bradley_terry_quality, op2_weighted_fingerprints, op3_source_mixing, op4_chat_formatting, op5_harmonic_packing, op6_exact_content_sort, op7_permutation_sharding, op8_warc_merkle_audit, op9_simhash_bk_trees, op10_kneser_ney_toxicity, op11_dominance_packing)}
 
 
 OP3_SQL = r"""
