@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, bt_quality, chat_hmm, content_dedup, cws, kn_toxicity, mixing, packing, sharding, simhash_bk, warc_merkle
+from . import bestfit, bt_quality, chat_hmm, content_dedup, cws, kn_toxicity, mixing, packing, sharding, simhash_bk, warc_merkle, wavelet_search
 from .common import table
 
 
@@ -66,8 +66,12 @@ def op11_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op12_dual_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bradley_terry_quality, op2_weighted_fingerprints, op3_source_mixing, op4_chat_formatting, op5_harmonic_packing, op6_exact_content_sort, op7_permutation_sharding, op8_warc_merkle_audit, op9_simhash_bk_trees, op10_kneser_ney_toxicity, op11_dominance_packing)}
+    return {f.__name__: f for f in (op1_bradley_terry_quality, op2_weighted_fingerprints, op3_source_mixing, op4_chat_formatting, op5_harmonic_packing, op6_exact_content_sort, op7_permutation_sharding, op8_warc_merkle_audit, op9_simhash_bk_trees, op10_kneser_ney_toxicity, op11_dominance_packing, op12_dual_sorted_search)}
 
 
 OP3_SQL = r"""
@@ -107,5 +111,21 @@ w AS (SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTI
 SELECT * FROM w
 """
 
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+size AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS len FROM d WHERE len(terms) > 0),
+p AS (SELECT row_id, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+tf AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+i AS (SELECT row_number() OVER () AS query_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+q AS (SELECT query_id, item_id, unnest(terms) AS term FROM i),
+s AS (SELECT query_id, item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term), size GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3_SQL, "op6_exact_content_sort": OP6_SQL}
+    return {"op3_source_mixing": OP3_SQL, "op6_exact_content_sort": OP6_SQL, "op12_dual_sorted_search": OP12_SQL}
