@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Returns a window's p-values assume where it has none.
@@ -35,6 +35,54 @@ def pair_correlations(df: DataFrame, keys: list[str], asset: str = "asset", date
     return pairs.groupBy(*keys, "asset_1", "asset_2").agg(F.count(F.when(both, 1)).alias("observations"), pearson("_x", "_y").alias("rho"))
 
 
+def month_moments(df: DataFrame, asset: str = "asset", date_col: str = "obs_date", value: str = "log_return") -> DataFrame:
+    """Co-moments of each pair of assets and calendar month: month, asset_1 < asset_2, n, mean_1, mean_2, m2_1, m2_2, co.
+
+    Duplicates of a date are averaged; a date counts where both values are
+    known, and a pair that has rows of a month but no such date has n = 0. The
+    self-join is on the date and gets each (date, asset) once, in however many
+    windows the month lies. m2 and co are sums of squared and multiplied
+    deviations from the month's means, so they merge (``merge_moments``).
+    """
+    rows = df.groupBy(date_col, asset).agg(F.avg(value).alias("_v"))
+    a = rows.select(date_col, F.col(asset).alias("asset_1"), F.col("_v").alias("_x"))
+    b = rows.select(date_col, F.col(asset).alias("asset_2"), F.col("_v").alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    n = F.count(F.when(both, 1))
+    return (
+        a.join(b, date_col).filter("asset_1 < asset_2").groupBy(F.trunc(date_col, "MM").alias("month"), "asset_1", "asset_2")
+        .agg(n.alias("n"), F.avg(x).alias("mean_1"), F.avg(y).alias("mean_2"), (F.var_pop(x) * n).alias("m2_1"), (F.var_pop(y) * n).alias("m2_2"), (F.covar_pop(x, y) * n).alias("co"))
+    )
+
+
+def merge_moments(moments: DataFrame, windows: DataFrame, months: int = 12) -> DataFrame:
+    """Correlation of each pair in each calendar window, from the co-moments of its months: window_id, asset_1, asset_2, observations, rho.
+
+    Moments of parts add up, each with its mean's distance from the whole's:
+    M2 = sum m2 + sum n mean^2 - (sum n mean)^2 / N, and alike for the
+    co-moment; means are counted from the pair's average, so large ones don't
+    cancel. Rows are exchanged once a pair and month, before they are copied
+    to their windows: what is dealt by pair needs no other exchange to be
+    summed by pair and window.
+    """
+    pair = ["asset_1", "asset_2"]
+    whole = Window.partitionBy(*pair)
+    rows = moments.select("month", *pair, "n", "m2_1", "m2_2", "co", *[(F.col(c) - F.avg(c).over(whole)).alias(c) for c in ("mean_1", "mean_2")])
+    start = F.explode(F.expr(f"sequence(add_months(month, {1 - months}), month, interval 1 month)"))
+    rows = rows.withColumn("window_start", start).join(F.broadcast(windows.select("window_id", "window_start")), "window_start")
+    n, x, y = F.col("n"), F.coalesce("mean_1", F.lit(0.0)), F.coalesce("mean_2", F.lit(0.0))
+    sums = {"observations": n, "m2_1": "m2_1", "m2_2": "m2_2", "co": "co", "x": n * x, "y": n * y, "xx": n * x * x, "yy": n * y * y, "xy": n * x * y}
+    parts = rows.groupBy(*pair, "window_id").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+
+    def total(own: str, a: str, b: str) -> Column:
+        return F.col(own) + F.col(a + b) - F.try_divide(F.col(a) * F.col(b), F.col("observations"))
+
+    first, second = F.greatest(total("m2_1", "x", "x"), F.lit(0.0)), F.greatest(total("m2_2", "y", "y"), F.lit(0.0))
+    rho = F.try_divide(total("co", "x", "y"), F.sqrt(first) * F.sqrt(second))
+    return parts.select("window_id", *pair, "observations", rho.alias("rho"))
+
+
 def correlation_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: assets, pairs, and mean, median, population deviation, extremes and quartiles of rho."""
     names = pairs.select(*keys, F.explode(F.array("asset_1", "asset_2")).alias("_a")).groupBy(*keys).agg(F.countDistinct("_a").alias("assets"))

@@ -44,8 +44,8 @@ def windowed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations and distances of each window: (window_id, asset_1, asset_2, observations, rho, distance)."""
-    rows, _ = windowed(spark, sf_dir)
-    return correlation.distances(correlation.pair_correlations(rows, ["window_id"]))
+    windows = calendar.month_windows(panels.dates(spark, sf_dir))
+    return correlation.distances(correlation.merge_moments(correlation.month_moments(returns(spark, sf_dir)), windows))
 
 
 WINDOWS = """
