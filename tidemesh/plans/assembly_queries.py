@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calendar, cleaning, correlation, events, graphs, kernels, relational, statistics
+from ..operators import calendar, cleaning, correlation, events, graphs, kernels, layout, relational, statistics
 from ..sources import panel as panels
 from ..sources import quotes as files
 from ..sources import scratch, sinks
@@ -331,10 +331,27 @@ def f2_pvalue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def f3_network_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table behind network figures: nodes with size, community and curvature group."""
-    e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
-    c = kernels.centralities(e).select("window_id", "node", (140 + 1550 * (0.72 * F.col("betweenness_centrality") + 0.28 * F.col("degree_centrality"))).alias("size"))
+    """The table behind network figures: nodes with position, size, community and curvature group."""
+    e = scratch.checkpointed(kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir))))
     keys = ["window_id", "node"]
-    return rounded(c.join(kernels.communities(e), keys).join(graphs.ricci_groups(e).select(*keys, "group"), keys))
-
-
+    return rounded(layout.node_layout(e).join(kernels.communities(e), keys).join(graphs.ricci_groups(e).select(*keys, "group"), keys))
+
+
+@query(f"""WITH {PVALS}{KNN[len(PAIRS):]}
+SELECT e.window_id, u, v, round(e.distance, 6) AS distance, round(pvalue, 6) + 0.0 AS pvalue, round((0.8 + 2.6 * least(1 / e.distance, 1.8)) * 1.12, 6) AS width, CASE WHEN pvalue < 0.05 THEN 'solid' ELSE 'dashed' END AS style
+FROM edges e LEFT JOIN pv ON pv.window_id = e.window_id AND pv.asset_1 = u AND pv.asset_2 = v""")
+def f3_network_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of network figures, here of the graphs of nearest neighbours: width by distance, style by significance."""
+    return rounded(layout.edge_lines(knn(spark, sf_dir), pvalues(spark, sf_dir)))
+
+
+@query(f"""WITH {KNN}, n AS (SELECT window_id, count(*) AS nodes, CAST(max(degree) AS INT) AS max_degree FROM deg GROUP BY 1)
+SELECT window_id, nodes, max_degree, 1.3 AS right, -1.3 AS "left", true AS apart, true AS hubs_are_large FROM n""")
+def f3_layout_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing fills its box, no two nodes are nearer than 0.08, and a node of the greatest degree has at least its share of size."""
+    at = scratch.checkpointed(layout.node_layout(knn(spark, sf_dir)))
+    a, b = at.select("window_id", "node", "x", "y"), at.select("window_id", F.col("node").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = a.join(b, "window_id").filter("node < other").groupBy("window_id").agg((F.min(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))) > 0.08).alias("apart"))
+    hub = F.max_by("size", "degree") >= layout.SCALE * (layout.LEAST_SIZE + layout.SIZE_RANGE * layout.DEGREE_SHARE) - 1e-9
+    out = at.groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("degree").alias("max_degree"), F.max("x").alias("right"), F.min("x").alias("left"), hub.alias("hubs_are_large"))
+    return rounded(out.join(near, "window_id"))
