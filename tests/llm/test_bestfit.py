@@ -153,6 +153,19 @@ def test_odd_texts(spark):
     assert bestfit.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_forgetting_changes_nothing(monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        known = bestfit.SegmentIds(f.read())
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    monkeypatch.setattr(bestfit, "REMEMBERED", 40)
+    texts = [t or "" for _, t in ODD[:8]] + [" ".join(f"w{k % 23} {'y' * (k % 120)}" for k in range(n, n + 30)) for n in range(0, 300, 7)]
+    for at in range(0, len(texts), 3):
+        got = known.ids(texts[at : at + 3])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 3]]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = [tuple(r) for r in docs.collect()]

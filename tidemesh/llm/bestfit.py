@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .common import bounded_batches, checkpointed, text_or_empty
 CAPACITY = 1024
 END = 2
 #: Segments a Python worker remembers the ids of, and how long they may be; beyond either they are tokenised anew. It bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 LONGEST = 80
 FLUSH_BYTES = 4 << 20
 #: A single space between two visible characters: the tokenizer's pieces never reach across it, so what follows has the same ids in any text.
@@ -49,6 +50,7 @@ class SegmentIds:
         for token, n in vocabulary.items():
             self.bytes_of[n] = len(token)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,17 +69,28 @@ class SegmentIds:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids: a lookup a segment, and those not found are learnt together."""
         parted = [BREAK.split(t) for t in texts]
-        new = {s for segments in parted for s in segments[1:] if s not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {s for segments in parted for s in segments[1:]}
-        learnt = self._learn(list(new))
+        made = [list(map(self.known.get, islice(segments, 1, None))) for segments in parted]
+        gaps: dict[str, list[tuple[list, int]]] = {}
+        for segments, own in zip(parted, made, strict=True):
+            at = -1
+            while True:
+                try:
+                    at = own.index(None, at + 1)
+                except ValueError:
+                    break
+                gaps.setdefault(segments[at + 1], []).append((own, at))
+        again = {s: self.older[s] for s in gaps if s in self.older}
+        learnt = again | self._learn([s for s in gaps if s not in again])
+        for s, i in learnt.items():
+            for own, at in gaps[s]:
+                own[at] = i
+        if len(self.known) + len(learnt) > REMEMBERED // 2:  # what is still in use comes back from the older half
+            self.older, self.known = self.known, {}
         self.known.update((s, i) for s, i in learnt.items() if len(s) <= LONGEST)
-        long = {s: i for s, i in learnt.items() if len(s) > LONGEST}
         heads = self._encode([segments[0] for segments in parted])
-        known = self.known
-        return [head.tobytes() + b"".join([known[s] if s in known else long[s] for s in segments[1:]]) for head, segments in zip(heads, parted, strict=True)]
+        return [head.tobytes() + b"".join(own) for head, own in zip(heads, made, strict=True)]
 
 
 _segments: dict[int, SegmentIds] = {}
