@@ -133,13 +133,6 @@ def unify_aliases(canonical: DataFrame) -> DataFrame:
     return canonical.join(best, "canonical").select("company", "canonical", "unified", "aliases")
 
 
-def window_stats(df: DataFrame, asset: str = "ticker", date_col: str = "obs_date", value: str = "log_return") -> DataFrame:
-    """Per window: assets, days, mean and deviation of returns, and whether it is complete or problematic beside the fullest."""
-    out = df.groupBy("window_id").agg(F.countDistinct(asset).alias("assets"), F.countDistinct(date_col).alias("days"), F.avg(value).alias("mean_return"), F.stddev_samp(value).alias("volatility"))
-    most = F.max("assets").over(Window.partitionBy())
-    return out.withColumn("complete", F.col("assets") >= 0.9 * most).withColumn("problematic", F.col("assets") < 0.5 * most)
-
-
 def monthly_coverage(df: DataFrame, calendar: DataFrame, date_col: str = "obs_date") -> DataFrame:
     """Per month of the calendar: expected, present and missing days, coverage in percent."""
     days = df.select(F.col(date_col).alias("day")).distinct().withColumn("_has", F.lit(1))

@@ -150,12 +150,6 @@ def with_pvalues(pairs: DataFrame, n: Column) -> DataFrame:
     return pairs.withColumn("_t", t).withColumn("_df", df.cast("int")).withColumn("pvalue", student_t_sf2(F.col("_t"), F.col("_df"))).drop("_t", "_df")
 
 
-def window_observations(df: DataFrame, windows: DataFrame, asset: str = "asset", value: str = "log_return") -> DataFrame:
-    """Observations of each window: those of its longest series, or the default where it has none."""
-    counts = df.groupBy("window_id", asset).agg(F.count(value).alias("_n")).groupBy("window_id").agg(F.max("_n").alias("_n"))
-    return windows.select("window_id").join(counts, "window_id", "left").select("window_id", F.coalesce("_n", F.lit(DEFAULT_OBSERVATIONS)).alias("n_obs"))
-
-
 def significant(pairs: DataFrame, level: float = 0.05) -> DataFrame:
     return pairs.filter((F.col("pvalue") < level) & (F.col("asset_1") != F.col("asset_2")))
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, correlation, events, graphs, kernels, statistics
+from ..operators import calendar, correlation, events, graphs, kernels, monthly, statistics
 from ..sources import panel as panels
 from ..sources import sinks
-from .base import KNN, PAIRS, WINDOWED, pairs, query, rounded, windowed
+from .base import KNN, PAIRS, WINDOWED, pairs, query, returns, rounded, windowed
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, windows = windowed(spark, sf_dir)
-    return correlation.window_observations(rows, windows)
+    return monthly.window_observations(returns(spark, sf_dir), calendar.month_windows(panels.dates(spark, sf_dir)))
 
 
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:

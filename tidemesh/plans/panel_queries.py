@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calendar, cleaning, events
+from ..operators import calendar, cleaning, events, monthly
 from ..sources import panel as panels
 from ..sources import quotes as files
 from ..sources import scratch, sinks
@@ -160,8 +160,7 @@ def w2_offset_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WINDOWED} SELECT window_id, count(*) AS n, count(DISTINCT obs_date) AS days, round(sum(volume), 2) AS volume FROM win GROUP BY 1")
 def w3_window_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = windowed(spark, sf_dir)
-    return rounded(rows.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("obs_date").alias("days"), F.sum("volume").alias("volume")), 2)
+    return rounded(monthly.window_totals(returns(spark, sf_dir), calendar.month_windows(panels.dates(spark, sf_dir))), 2)
 
 
 @query(f"WITH {panels.PANEL_SQL}, {WINDOWS} SELECT window_id, CAST(datediff('month', window_start, window_end + 1) AS INT) AS months_covered, coalesce(CAST(datediff('month', lag(window_start) OVER (ORDER BY window_id), window_start) AS INT), 0) AS months_lag, true AS valid FROM windows")
@@ -351,8 +350,7 @@ def a20_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WINDOWED}, s AS (SELECT window_id, count(DISTINCT asset) AS assets, count(DISTINCT obs_date) AS days, round(avg(log_return), 6) + 0.0 AS mean_return, round(stddev_samp(log_return), 6) AS volatility FROM win GROUP BY 1)
 SELECT *, assets >= 0.9 * (SELECT max(assets) FROM s) AS complete, assets < 0.5 * (SELECT max(assets) FROM s) AS problematic FROM s""")
 def a25_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = windowed(spark, sf_dir)
-    return rounded(cleaning.window_stats(rows, "asset"))
+    return rounded(monthly.window_stats(returns(spark, sf_dir), calendar.month_windows(panels.dates(spark, sf_dir))))
 
 
 @query(f"""WITH {BUSINESS}, p AS (SELECT DISTINCT CASE WHEN l_orderkey % 5 = 0 THEN CAST(l_shipdate AS DATE) END AS day FROM lineitem)
