@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import calendar, cleaning, events, monthly
+from ..sources import archives, scratch, sinks
 from ..sources import panel as panels
 from ..sources import quotes as files
-from ..sources import scratch, sinks
+from ..streaming import ingest
 from .base import PAIRS, QUERIES, RETURNS, WINDOWED, WINDOWS, pairs, query, returns, rounded, windowed  # noqa: F401
 
 RAW, QUOTES = panels.RAW_SQL, panels.QUOTES_SQL
@@ -124,15 +130,87 @@ def s22_rows_with_inferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query("SELECT CAST(count(*) AS BIGINT) AS fetches, CAST(1 AS BIGINT) AS failed, CAST(sum(n) AS BIGINT) AS total_rows, min(a) AS first_day, max(b) AS last_day FROM (SELECT count(*) AS n, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY year(o_orderdate) UNION ALL SELECT 0, NULL, NULL)")
 def s20_ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fetch a year and one that failed, written to the log, and the log's totals."""
+    """One fetch a year and one that failed, written to the log as one table, and the log's totals."""
     path = scratch.folder(spark)
-    per = panels.read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b"))
-    for r in per.collect():  # one row a year
-        sinks.append_log(spark, path, f"A{r['y']}", "success", r["n"], str(r["a"]), str(r["b"]))
-    sinks.append_log(spark, path, "A2050", "failed", 7)
+    day = F.col("o_orderdate").cast("date")
+    year = F.concat(F.lit("A"), F.year("o_orderdate").cast("string"))
+    good = panels.read(spark, sf_dir, "orders").groupBy(year.alias("source")).agg(F.lit("success").alias("status"), F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    bad = spark.range(1).select(F.lit("A2050").alias("source"), F.lit("failed").alias("status"), F.lit(7).cast("long").alias("rows"), F.lit(None).cast("date").alias("first_day"), F.lit(None).cast("date").alias("last_day"))
+    sinks.append_logs(good.unionByName(bad), path)
     return sinks.log_summary(spark.read.parquet(path)).drop("last_update")
 
 
+@query("""WITH o AS (SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderkey, CAST(CASE WHEN o_orderdate < DATE '1998-01-01' THEN 0 ELSE 1 END AS BIGINT) AS batch_id FROM orders)
+SELECT year, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, batch_id, any_value(batch_rows) AS batch_rows FROM o JOIN (SELECT batch_id, count(*) AS batch_rows FROM o GROUP BY 1) USING (batch_id) GROUP BY year, batch_id""")
+def s19_s20_restartable_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders arrive in two lots and are ingested after each, and once more without anything new; rows by year and batch, and what the log says of the batch."""
+    path = scratch.folder(spark)
+    orders = panels.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("date")
+    for lot in (early, ~early, None):
+        if lot is not None:
+            orders.filter(lot).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        ingest.ingest_files(spark, f"{path}/in", f"{path}/stream", f"{path}/table", f"{path}/log", lambda b: b.withColumn("year", F.year("o_orderdate")), "year", "o_orderdate")
+    rows = spark.read.parquet(f"{path}/table").groupBy("year", F.col("batch_id").cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    log = spark.read.parquet(f"{path}/log").select(F.col("batch_id").cast("long").alias("batch_id"), F.col("rows").alias("batch_rows"))
+    return rows.join(log, "batch_id").select("year", "n", "keys", "batch_id", "batch_rows")
+
+
+def _zipped(rows: DataFrame, keys: list[str], member: str, value: str = "value") -> DataFrame:
+    """One ZIP archive (keys, content) for the lines of each key, in Latin-1: what a publisher's folder holds, made from the given tables."""
+
+    def pack(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(member, "\n".join(sorted(lines[value])).encode("latin-1"))
+        return pd.DataFrame([[*key, out.getvalue()]], columns=[*keys, "content"])
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*keys).applyInPandas(pack, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "content binary"]))
+
+
+@query(f"""WITH {QUOTES} SELECT obs_date, ticker, company, round(open, 2) AS open, round(close, 2) AS close, round(volume, 2) AS volume FROM quotes WHERE close IS NOT NULL AND obs_date BETWEEN DATE '1996-03-05' AND DATE '1998-09-20'""")
+def s4_s5_archives_of_a_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly archives, and for 1997 monthly ones beside; those of a period are chosen by their names and scanned, spot market only.
+
+    Every record is there twice, once in another market, and 1997's in both kinds of archive.
+    """
+    lines = files.format_records(_records(spark, sf_dir))
+    lines = lines.unionByName(files.format_records(_records(spark, sf_dir).withColumn("market", F.lit("020"))))
+    year, month = F.substring("value", 3, 4).cast("int"), F.substring("value", 7, 2).cast("int")
+    yearly = lines.select(year.alias("year"), F.lit(None).cast("int").alias("month"), "value")
+    monthly_ = lines.filter(year == 1997).select(year.alias("year"), month.alias("month"), "value")
+    made = _zipped(yearly.unionByName(monthly_), ["year", "month"], "COTAHIST.TXT")
+    name = F.concat(F.lit("/raw/COTAHIST_"), F.coalesce(F.concat(F.lit("M"), F.lpad(F.col("month").cast("string"), 2, "0")), F.lit("A")), F.col("year").cast("string"), F.lit(".ZIP"))
+    found = archives.catalogue(made.select(name.alias("path"), "content"))
+    first, last = dt.date(1996, 3, 5), dt.date(1998, 9, 20)
+    chosen = archives.holding(found, archives.months_of(spark, first, last))
+    rows = archives.records_of(chosen, first, last, files.EXTENDED, market="010")
+    return rounded(rows.select("obs_date", "ticker", "company", "open", "close", "volume"), 2)
+
+
+@query("SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM (SELECT unnest(generate_series(1995, 1998)) AS y), (SELECT unnest(generate_series(1, 12)) AS m) WHERE y * 100 + m BETWEEN 199511 AND 199806 AND NOT (y = 1996 AND m IN (SELECT month(o_orderdate) FROM orders WHERE year(o_orderdate) = 1996)) AND y <> 1997")
+def s4_months_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months of a period that neither 1996's monthly archives nor 1997's yearly one hold."""
+    d = F.col("o_orderdate")
+    name = F.when(F.year(d) == 1996, F.concat(F.lit("/raw/COTAHIST_M"), F.date_format(d, "MMyyyy"), F.lit(".ZIP"))).when(F.year(d) == 1997, F.lit("/raw/cotahist_a1997.zip")).otherwise(F.lit("/raw/readme.txt"))
+    held = archives.catalogue(panels.read(spark, sf_dir, "orders").select(name.alias("path")).distinct())
+    return archives.missing_months(held, archives.months_of(spark, dt.date(1995, 11, 20), dt.date(1998, 6, 2)))
+
+
+@query("SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS key, round(c_acctbal, 2) AS balance FROM customer WHERE c_custkey IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5) OR c_mktsegment = 'MACHINERY'")
+def s17_zipped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as semicolon-separated Latin-1 files, one archive a market segment; rows of the first five keys (the limit is the feature) and of one segment."""
+    c = panels.read(spark, sf_dir, "customer")
+    line = F.concat_ws(";", F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.concat("c_name", F.lit(" Ação")), F.format_string("%.2f", "c_acctbal"), "c_mktsegment")
+    head = c.select("c_mktsegment").distinct().select("c_mktsegment", F.lit("#KEY;NAME;BALANCE;SEGMENT").alias("value"))
+    made = _zipped(c.select("c_mktsegment", line.alias("value")).unionByName(head), ["c_mktsegment"], "dfp_con.csv")
+    rows = files.unpack_delimited(made, "_con", ["#KEY", "NAME", "BALANCE", "SEGMENT"]).withColumn("key", F.col("`#KEY`").cast("long"))
+    first = F.broadcast(c.select("c_custkey").orderBy("c_custkey").limit(5).withColumn("_first", F.lit(True)))
+    kept = rows.join(first, F.col("key") == F.col("c_custkey"), "left").filter(F.coalesce("_first", F.lit(False)) | (F.col("SEGMENT") == "MACHINERY"))
+    return kept.select(F.regexp_replace("NAME", " Ação$", "").alias("name"), F.col("key").cast("string").alias("key"), F.col("BALANCE").cast("double").alias("balance"))
+
+
 # Calendar.
 
 

@@ -97,8 +97,8 @@ def years_to_fetch(cached: DataFrame, first: int, this_year: int) -> DataFrame:
     return years.join(cached.filter(F.col("year") < this_year), "year", "left_anti")
 
 
-def read_zipped_delimited(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = ";", encoding: str = "latin-1") -> DataFrame:
-    """Columns, as text, of the delimited files in ZIP archives whose name holds ``member``; a file is read in pieces by the task that has its archive."""
+def unpack_delimited(archives: DataFrame, member: str, columns: list[str], sep: str = ";", encoding: str = "latin-1") -> DataFrame:
+    """Columns, as text, of the delimited files in ZIP archives (content) whose name holds ``member``; a file is read in pieces by the task that has its archive."""
 
     def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,12 +109,15 @@ def read_zipped_delimited(spark: SparkSession, path: str, member: str, columns:
                             for part in pd.read_csv(f, sep=sep, encoding=encoding, dtype=str, keep_default_na=False, chunksize=100_000):
                                 yield pd.DataFrame({c: part[c] if c in part else None for c in columns})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
+    return archives.select("content").mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
 
 
-def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> DataFrame:
-    """Records of ZIP archives; each archive is unpacked by the task that reads it, member by member."""
+def read_zipped_delimited(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = ";", encoding: str = "latin-1") -> DataFrame:
+    return unpack_delimited(spark.read.format("binaryFile").load(path), member, columns, sep, encoding)
+
+
+def unpack_records(archives: DataFrame) -> DataFrame:
+    """Lines (value) of the record files in ZIP archives (content); each archive is unpacked by the task that reads it, member by member."""
 
     def unpack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,8 +128,12 @@ def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> Dat
                             for part in iter(lambda f=f: f.readlines(4 << 20), []):
                                 yield pd.DataFrame({"value": [x.decode("latin-1").rstrip("\r\n") for x in part]})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return parse_records(files.mapInPandas(unpack, "value string"), layout)
+    return archives.select("content").mapInPandas(unpack, "value string")
+
+
+def read_archives(spark: SparkSession, path: str, layout: tuple = LAYOUT) -> DataFrame:
+    """Records of all ZIP archives of a path; ``archives.read_period`` opens only those of a period."""
+    return parse_records(unpack_records(spark.read.format("binaryFile").load(path)), layout)
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None) -> DataFrame:

@@ -19,13 +19,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
     df.write.option("header", header).mode(mode).csv(path)
 
 
+#: What a failed write says if a task ran out of memory.
+OUT_OF_MEMORY = ("OutOfMemoryError", "Java heap space", "GC overhead limit", "Container killed", "exceeding memory limits", "UNABLE_TO_ACQUIRE_MEMORY")
+
+
 def write_csv_by_window(df: DataFrame, path: str, parts: int = 400, max_records: int = 150_000, attempts: int = 3, window: str = "window_id") -> int:
-    """Delimited files of bounded length, rows of a window together; a failed write is tried again with files half as long. The length that went through."""
+    """Delimited files of bounded length, rows of a window together; a write that runs out of memory is tried again with files half as long, any other failure is raised. The length that went through."""
     for k in range(attempts):
         try:
             df.repartition(parts, window).sortWithinPartitions(window).write.option("header", True).option("maxRecordsPerFile", max(max_records >> k, 1)).mode("overwrite").csv(path)
-        except Exception:  # whatever the writer's trouble, shorter files need less memory
-            if k == attempts - 1:
+        except Exception as e:
+            if k == attempts - 1 or not any(x in str(e) for x in OUT_OF_MEMORY):
                 raise
         else:
             return max(max_records >> k, 1)
@@ -75,6 +79,11 @@ def append_log(spark: SparkSession, path: str, source: str, status: str, rows: i
     line.write.mode("append").parquet(path)
 
 
+def append_logs(fetches: DataFrame, path: str) -> None:
+    """Many lines of an ingest log at once: (source, status, rows, first_day, last_day) each, with the time of the write."""
+    fetches.select(F.current_timestamp().alias("at"), "source", "status", "rows", "first_day", "last_day").write.mode("append").parquet(path)
+
+
 def log_summary(log: DataFrame) -> DataFrame:
     """Of an ingest log: fetches, those that failed, the rows that came, and the dates from the first to the last."""
     good = F.col("status") == "success"
