@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cleaning import keep_last
-
 PHASES = ("tranquil", "pre", "during", "post")
 
 
@@ -125,24 +127,83 @@ def min_max_scaled(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn("scaled", (F.col(value) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0))
 
 
+#: (ticker, period, at, name): from ``at`` on, within the period, ``name`` holds the office (null: nobody).
+_SEGMENTS = "ticker string, period int, at date, name string"
+
+
+def office_segments(terms: DataFrame, periods: DataFrame) -> DataFrame:
+    """Terms (ticker, name, start, end) as segments of one holder: of the open terms, the one that started last (of equals, the greatest name).
+
+    A term is dealt to each calendar year that it touches, from ``periods``
+    (first, last: one row), so a ticker of many terms is swept year by year:
+    starts in order, open terms on a heap, those that ended taken off when
+    they come to its top.
+    """
+
+    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ends_at = [None if pd.isna(x) else x for x in rows["to"]]
+        starts = sorted(zip(rows["from"], [-s.toordinal() for s in rows["start"]], rows["name"], ends_at, strict=True), key=lambda r: r[0])
+        heap: list = []
+        out: list[tuple] = []
+        k = 0
+        for at in sorted({x for x in ends_at if x is not None} | {r[0] for r in starts}):
+            while k < len(starts) and starts[k][0] <= at:
+                _, late, name, to = starts[k]
+                heapq.heappush(heap, (late, _Greater(name), k, to))
+                k += 1
+            while heap and heap[0][3] is not None and heap[0][3] <= at:
+                heapq.heappop(heap)
+            out.append((at, heap[0][1].value if heap else None))
+        return pd.DataFrame({"ticker": key[0], "period": key[1], "at": [x for x, _ in out], "name": [x for _, x in out]})
+
+    years = terms.filter("ticker is not null and start is not null and (end is null or end > start)").crossJoin(F.broadcast(periods))
+    first, last = F.greatest(F.year("start"), F.col("first")), F.least(F.coalesce(F.year(F.date_sub("end", 1)), F.col("last")), F.col("last"))
+    dealt = years.filter(first <= last).withColumn("period", F.explode(F.sequence(first, last)))
+    opens = F.make_date("period", F.lit(1), F.lit(1))
+    dealt = dealt.select("ticker", "period", "name", F.col("start").cast("date").alias("start"), F.greatest(F.col("start").cast("date"), opens).alias("from"), F.col("end").cast("date").alias("to"))
+    return dealt.groupBy("ticker", "period").applyInPandas(sweep, _SEGMENTS)
+
+
+@functools.total_ordering
+class _Greater:
+    """A name that sorts before lesser ones."""
+
+    def __init__(self, value: str | None):
+        self.value = value
+
+    def __eq__(self, other: _Greater) -> bool:
+        return self.value == other.value
+
+    def __lt__(self, other: _Greater) -> bool:
+        return self.value is not None and (other.value is None or self.value > other.value)
+
+
 def in_office(dates: DataFrame, timeline: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
     """Who held an office on a date: (ticker, day) with timeline (ticker, name, start, end), end null while in office.
 
     The latest start wins. Where a ticker has nobody, one of the same code
-    does, if ``siblings`` (ticker, sigla) is given.
+    does, if ``siblings`` (ticker, sigla) is given. Days and segments of one
+    holder (``office_segments``) lie in one order by ticker and year, in which
+    each day takes the last segment before it: no day meets a ticker's whole
+    timeline, and a ticker with many days is split by year. A day or ticker
+    that is null has nobody.
     """
-    t = timeline.select(F.col("ticker").alias("_t"), "name", "start", "end")
-    holds = (F.col("start") <= F.col("day")) & (F.col("end").isNull() | (F.col("end") > F.col("day")))
-
-    def latest(rows: DataFrame, key: str) -> DataFrame:
-        found = rows.join(t, (F.col(key) == F.col("_t")) & holds)
-        return keep_last(found, ["ticker", "day"], [F.col("start"), F.col("name")]).select("ticker", "day", "name")
-
-    own = dates.select("ticker", "day").distinct()
-    out = own.join(latest(own, "ticker"), ["ticker", "day"], "left")
+    own = dates.select("ticker", F.col("day").cast("date").alias("day")).distinct()
+    periods = own.agg(F.min(F.year("day")).alias("first"), F.max(F.year("day")).alias("last")).filter("first is not null")
+    terms = timeline.select("ticker", "name", "start", "end")
+
+    def holders(terms: DataFrame, name: str) -> DataFrame:
+        marks = office_segments(terms, periods).select("ticker", "period", "at", F.struct("name").alias("_holder"))
+        days = own.select("ticker", F.year("day").alias("period"), F.col("day").alias("at"), F.lit(None).cast("struct<name:string>").alias("_holder"))
+        order = Window.partitionBy("ticker", "period").orderBy("at", F.col("_holder").isNull())
+        both = marks.withColumn("_day", F.lit(False)).unionByName(days.withColumn("_day", F.lit(True)))
+        return both.withColumn("_last", F.last("_holder", ignorenulls=True).over(order)).filter("_day").select("ticker", F.col("at").alias("day"), F.col("_last.name").alias(name))
+
+    out = holders(terms, "name")
     if siblings is None:
         return out
-    s = siblings.select("ticker", "sigla")
-    kin = own.join(s, "ticker").join(s.withColumnRenamed("ticker", "_kin"), "sigla").filter("_kin <> ticker")
-    kin = latest(kin, "_kin").withColumnRenamed("name", "_name")
-    return out.join(kin, ["ticker", "day"], "left").select("ticker", "day", F.coalesce("name", "_name").alias("name"))
+    s = siblings.select("ticker", "sigla").distinct()
+    kin = s.join(s.withColumnRenamed("ticker", "_kin"), "sigla").filter("_kin <> ticker").select("ticker", "_kin").distinct()
+    kin = kin.join(terms.withColumnRenamed("ticker", "_kin"), "_kin").select("ticker", "name", "start", "end")
+    both = out.join(holders(kin, "_name"), ["ticker", "day"], "left")
+    return both.select("ticker", "day", F.coalesce("name", "_name").alias("name"))

@@ -268,37 +268,70 @@ def communities(edges: DataFrame, method: str = "louvain", weight: str = "distan
 
 
 def linkage(d: np.ndarray, method: str) -> np.ndarray:
-    """Merges (left, right, height, size) by the Lance-Williams recurrences; for ward ``d`` holds Euclidean distances."""
+    """Merges (left, right, height, size), heights rising; for ward ``d`` holds Euclidean distances.
+
+    A chain goes from a cluster to its nearest and on, each step nearer than
+    the last, until two are each other's nearest. Under these methods a merge
+    elsewhere never comes between such two, so they merge at once and the
+    chain goes on from what is left of it: some 3 n looks along a row, n^2 in
+    all. Distances of a merged cluster follow Lance and Williams' recurrences;
+    merges are sorted by height at the end. Of equally near clusters the one
+    before in the chain is taken, else the first.
+    """
+    if method not in ("average", "complete", "ward"):
+        raise ValueError(f"unknown linkage {method}")
     n = len(d)
     d = d.astype(float).copy()
     if method == "ward":
         d **= 2
     np.fill_diagonal(d, np.inf)
-    size, name, alive = np.ones(n), list(range(n)), np.ones(n, bool)
-    out = np.zeros((max(n - 1, 0), 4))
-    for step in range(n - 1):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        h = d[i, j]
-        a, b = sorted((name[i], name[j]))
-        out[step] = a, b, math.sqrt(h) if method == "ward" else h, size[i] + size[j]
+    size, alive = np.ones(n), np.ones(n, bool)
+    made: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(made) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        x = chain[-1]
+        y = int(np.argmin(d[x]))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+        if len(chain) < 2 or y != chain[-2]:
+            chain.append(y)
+            continue
+        del chain[-2:]
+        i, j, h = min(x, y), max(x, y), d[x, y]
         others = alive.copy()
         others[[i, j]] = False
+        di, dj = d[i, others], d[j, others]
         if method == "average":
-            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            new = (size[i] * di + size[j] * dj) / (size[i] + size[j])
         elif method == "complete":
-            new = np.maximum(d[i], d[j])
-        elif method == "ward":
-            with np.errstate(invalid="ignore"):
-                new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * h) / (size[i] + size[j] + size)
+            new = np.maximum(di, dj)
         else:
-            raise ValueError(f"unknown linkage {method}")
-        d[i, others] = d[others, i] = new[others]
+            k = size[others]
+            new = ((size[i] + k) * di + (size[j] + k) * dj - k * h) / (size[i] + size[j] + k)
+        d[i, others] = d[others, i] = new
         d[j], d[:, j] = np.inf, np.inf
         alive[j] = False
-        size[i], name[i] = size[i] + size[j], n + step
+        size[i] += size[j]
+        made.append((h, i, j))
+    out = np.zeros((max(n - 1, 0), 4))
+    root, name, count = list(range(n)), list(range(n)), [1] * n
+    for step, (h, i, j) in enumerate(sorted(made, key=lambda m: m[0])):
+        a, b = _root(root, i), _root(root, j)
+        out[step] = min(name[a], name[b]), max(name[a], name[b]), math.sqrt(h) if method == "ward" else h, count[a] + count[b]
+        root[b], name[a] = a, n + step
+        count[a] += count[b]
     return out
 
 
+def _root(root: list[int], a: int) -> int:
+    while root[a] != a:
+        root[a] = root[root[a]]
+        a = root[a]
+    return a
+
+
 def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     """Labels 0 .. k - 1 after all but the last k - 1 merges."""
     root = list(range(2 * n))
