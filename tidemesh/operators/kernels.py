@@ -149,14 +149,16 @@ def eigenvector(adjacent: list[list[int]], rounds: int = 1000, tolerance: float
     return np.zeros(n)
 
 
-def centralities(edges: DataFrame) -> DataFrame:
+def centralities(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """Node metrics of each window; ``tolerance`` and ``rounds`` bound the power iteration of the eigenvector."""
+
     def of(e: pd.DataFrame) -> pd.DataFrame:
         nodes, u, v = indexed(e)
         adj = neighbours(len(nodes), u, v)
         deg = np.array([len(x) for x in adj])
         return pd.DataFrame({
             "window_id": e["window_id"].iloc[0], "node": nodes, "degree": deg, "degree_centrality": deg / max(len(nodes) - 1, 1),
-            "betweenness_centrality": betweenness(adj), "closeness_centrality": closeness(adj), "eigenvector_centrality": eigenvector(adj),
+            "betweenness_centrality": betweenness(adj), "closeness_centrality": closeness(adj), "eigenvector_centrality": eigenvector(adj, rounds, tolerance),
         })
 
     return grouped(edges.select(*EDGE_COLUMNS), ["window_id"], of, "window_id int, node string, degree int, degree_centrality double, betweenness_centrality double, closeness_centrality double, eigenvector_centrality double")
@@ -594,29 +596,29 @@ def _ols(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return -2 * ll + 2 * k, float(beta[0] / se) if se > 0 else math.nan
 
 
-def dickey_fuller(x: np.ndarray) -> tuple[float, float] | None:
-    """Augmented test with a constant, lags by AIC up to 12 (n / 100)^(1/4): (statistic, p), or None for a short or constant series."""
+def dickey_fuller(x: np.ndarray, lags: int | None = None) -> tuple[float, float] | None:
+    """Augmented test with a constant, lags by AIC up to 12 (n / 100)^(1/4), or up to ``lags``: (statistic, p), or None for a short or constant series."""
     n = len(x)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    most = min(math.ceil(12 * (n / 100) ** 0.25) if lags is None else lags, n // 2 - 2)
     if n < 10 or most < 0 or np.ptp(x) == 0:
         return None
     dx = np.diff(x)
 
-    def design(lags: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    def design(own: int, first: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(first, len(dx))
-        return np.column_stack([x[rows], *[dx[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))]), dx[rows]
+        return np.column_stack([x[rows], *[dx[rows - k] for k in range(1, own + 1)], np.ones(len(rows))]), dx[rows]
 
-    lags = min(range(most + 1), key=lambda k: _ols(*design(k, most))[0])
-    _, t = _ols(*design(lags, lags))
+    best = min(range(most + 1), key=lambda k: _ols(*design(k, most))[0])
+    _, t = _ols(*design(best, best))
     return None if math.isnan(t) else (t, mackinnon_p(t))
 
 
-def stationarity(df: DataFrame, keys: list[str], date_col: str, value: str, schema: str) -> DataFrame:
+def stationarity(df: DataFrame, keys: list[str], date_col: str, value: str, schema: str, lags: int | None = None) -> DataFrame:
     """Per key the Dickey-Fuller test of its series in date order: statistic, p-value, stationary at 5 %, verdict."""
 
     def of(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values(date_col)[value].dropna().to_numpy(dtype=float)
-        got = dickey_fuller(x) if len(x) >= 10 else None
+        got = dickey_fuller(x, lags) if len(x) >= 10 else None
         verdict = "INSUFICIENTE" if len(x) < 10 else "ERRO" if got is None else "SIM" if got[1] < 0.05 else "NAO"
         return pd.DataFrame([{k: g[k].iloc[0] for k in keys} | {"adf_stat": got and got[0], "adf_pvalue": got and got[1], "adf_stationary": got and got[1] < 0.05, "verdict": verdict}])
 
