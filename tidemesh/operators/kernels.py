@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .planarity import filtered_graph
@@ -730,24 +730,41 @@ def _spline(x: np.ndarray, size: int) -> np.ndarray:
     return sum(w * c[row(base + k)] for k, w in zip((-1, 0, 1, 2), parts, strict=True))
 
 
+def _numbered(df: DataFrame, axis: str, place: str, size: str) -> DataFrame:
+    """An axis's distinct values with their places from 0, and how many they are: one row a value, as many as the figure has lines."""
+    values = df.select(axis).distinct()
+    return values.select(axis, (F.row_number().over(Window.orderBy(axis)) - 1).alias(place), F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias(size))
+
+
+def _along(df: DataFrame, own: str, other: str, sizes: tuple[str, str], value: str, sigma: float, zoom: float) -> DataFrame:
+    """Smooth and refine along the axis ``own``, for each place of ``other`` by itself; an absent cell is 0."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        n = int(g[sizes[0]].iloc[0])
+        x = np.zeros((n, 1))
+        x[g[own].to_numpy()] = g[[value]].fillna(0.0).to_numpy(float)
+        x = _reflected(x, sigma)
+        if zoom != 1:
+            x = _spline(x, round(n * zoom))
+        return pd.DataFrame({own: np.arange(len(x)), other: g[other].iloc[0], sizes[1]: g[sizes[1]].iloc[0], value: x[:, 0]})
+
+    return df.select(own, other, *sizes, value).groupBy(other).applyInPandas(of, f"{own} int, {other} int, {sizes[1]} int, {value} double")
+
+
 def smoothed_surface(df: DataFrame, row: str, column: str, value: str, sigma: tuple[float, float] = (2.2, 2.8), zoom: tuple[int, int] = (3, 2), top: float | None = 5.0) -> DataFrame:
     """A grid of values, smoothed along both axes, refined by a cubic spline, and clipped to 0 .. ``top``: (row, column, value) from 1.
 
-    The grid is one kernel's work: a figure's surface, its windows by its
-    points. An absent value is 0. Zoom (1, 1) leaves the smoothed grid as it is.
+    Filter and spline act on each axis alone, so the columns are treated one
+    by one and then the rows, each a group of one line of the grid; no task
+    has the whole of it. An absent value is 0, the mean stands for several of
+    a cell. Zoom (1, 1) leaves the smoothed grid as it is.
     """
-
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        z = g.pivot(index=row, columns=column, values=value).fillna(0.0).sort_index().sort_index(axis=1).to_numpy(float)
-        z = _reflected(_reflected(z, sigma[0]).T, sigma[1]).T
-        if tuple(zoom) != (1, 1):
-            z = _spline(_spline(z, round(z.shape[0] * zoom[0])).T, round(z.shape[1] * zoom[1])).T
-        if top is not None:
-            z = np.clip(z, 0, top)
-        a, b = np.indices(z.shape)
-        return pd.DataFrame({row: a.ravel() + 1, column: b.ravel() + 1, value: z.ravel()})
-
-    return df.select(row, column, value).groupBy().applyInPandas(of, f"{row} int, {column} int, {value} double")
+    cells = df.groupBy(row, column).agg(F.avg(value).alias("_v"))
+    cells = cells.join(F.broadcast(_numbered(df, row, "_r", "_rows")), row).join(F.broadcast(_numbered(df, column, "_c", "_columns")), column)
+    down = _along(cells, "_r", "_c", ("_rows", "_columns"), "_v", sigma[0], zoom[0])
+    both = _along(down.withColumn("_rows", F.lit(0)), "_c", "_r", ("_columns", "_rows"), "_v", sigma[1], zoom[1])
+    z = F.col("_v") if top is None else F.greatest(F.least("_v", F.lit(float(top))), F.lit(0.0))
+    return both.select((F.col("_r") + 1).alias(row), (F.col("_c") + 1).alias(column), z.alias(value))
 
 
 # Null models.
