@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import brandes, graphs, kernels, relational
+from ..operators import brandes, graphs, kernels, relational, statistics
 from ..sources import scratch
 from .base import KNN, PAIRS, WINDOWED, pairs, query, rounded, windowed
 from .network_queries import COMPONENTS, HOPS, LABELS, MOMENTS_SQL, RICCI, SPREAD_SQL, TRI, _labels, _moments_rounded, knn
@@ -101,3 +101,12 @@ def g20_labels_follow_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = near.groupBy("window_id", "node").agg(F.max("n").alias("most"))
     own = label.join(near, ["window_id", "node", "community"], "left").join(most, ["window_id", "node"])
     return own.groupBy("window_id").agg(F.count(F.lit(1)).alias("nodes"), F.count(F.when(F.coalesce("n", F.lit(0)) < F.col("most"), 1)).alias("against_their_neighbours"))
+
+
+@query(f"""WITH {PAIRS} SELECT window_id, count(*) AS "values", round(quantile_cont(distance, 0.1), 6) AS q10, round(quantile_cont(distance, 0.25), 6) AS q25, round(median(distance), 6) AS q50, round(quantile_cont(distance, 0.75), 6) AS q75, round(quantile_cont(distance, 0.9), 6) AS q90,
+round(quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25), 6) AS iqr FROM pairs GROUP BY 1""")
+def r16_selected_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each window's distances by selection, for windows of more pairs than a buffer should hold."""
+    d = scratch.checkpointed(pairs(spark, sf_dir).select("window_id", "distance"))
+    q = statistics.selected_quantiles(d, ["window_id"], "distance", checkpoint=scratch.checkpointed)
+    return rounded(q.withColumn("iqr", F.col("q75") - F.col("q25")))
