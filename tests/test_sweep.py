@@ -97,3 +97,31 @@ def test_linkage_of_ties_and_many():
     began = time.process_time()
     merges = kernels.linkage(d, "ward")
     assert time.process_time() - began < 30 and (np.diff(merges[:, 2]) >= 0).all() and merges[-1, 3] == 2000
+
+
+def test_windows_beside_events(spark):
+    """The join by month finds what every pair of window and event would."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    windows, events_ = [], []
+    for k in range(60):
+        start = dt.date(1999, 1, 1) + dt.timedelta(days=rnd.randint(0, 1500))
+        windows.append((k, start, start + dt.timedelta(days=rnd.choice([0, 20, 364])), None if k % 7 == 0 else rnd.gauss(0, 1), float(k)))
+    events_ = [("s", dt.date(1999, 6, 1) + dt.timedelta(days=rnd.randint(0, 900)), f"t{k}") for k in range(12)] + [("s", dt.date(1980, 1, 31), "far"), ("s", dt.date(2000, 8, 31), "end of month")]
+    m = spark.createDataFrame(windows, "window_id int, window_start date, window_end date, a double, b double")
+    e = spark.createDataFrame(events_, "event_set string, event_date date, status string")
+    pairs = m.crossJoin(e).withColumn("phase", events.phase(F.col("event_date"), F.col("window_start"), F.col("window_end")))
+    want = {(r.status, r.window_id): r.phase for r in pairs.collect()}
+    near = events.beside_events(m, e).collect()
+    assert len(near) == len({(r.status, r.window_id) for r in near}) > 40
+    assert {(r.status, r.window_id): r.phase for r in near} == {k: p for k, p in want.items() if p != "tranquil"}
+    got = {(r.status, r.metric, r.phase): r for r in events.phase_summary(e, m, ["a", "b"]).collect()}
+    assert len(got) == 14 * 2 * 4
+    for (_, _, status), (at, metric), p in itertools.product(events_, ((3, "a"), (4, "b")), events.PHASES):
+        values = [w[at] for w in windows if want[status, w[0]] == p and w[at] is not None]
+        r = got[status, metric, p]
+        assert r.windows == len(values) and (r["mean"] is None if not values else r["mean"] == pytest.approx(sum(values) / len(values)))
+    assert "NestedLoop" not in events.phase_summary(e, m, ["a"])._jdf.queryExecution().executedPlan().toString()

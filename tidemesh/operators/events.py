@@ -59,18 +59,53 @@ def unpivot(metrics: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
     return metrics.select(*ids, F.explode(items).alias("_m")).select(*ids, "_m.metric", "_m.value")
 
 
+def beside_events(metrics: DataFrame, events: DataFrame, months: int = 6) -> DataFrame:
+    """Windows with each event that they are pre, during or post of, and that phase: the columns of both, and phase.
+
+    An equi-join by month: a window's last month is one of the event's
+    ``months`` before it, its first month one of those after, or the event's
+    own month is one of the window's. Each kind is a key of its own, so a
+    window meets an event once, and no other window meets it at all.
+    """
+    span = lambda c, k: F.sequence(F.add_months(F.trunc(c, "MM"), min(k, 0)), F.add_months(F.trunc(c, "MM"), max(k, 0)), F.expr("interval 1 month"))
+
+    def keyed(df: DataFrame, pre: Column, during: Column, post: Column) -> DataFrame:
+        def kind(p: str, ms: Column) -> Column:
+            return F.transform(ms, lambda m: F.struct(F.lit(p).alias("phase"), m.alias("month")))
+
+        kinds = F.concat(kind("pre", pre), kind("during", during), kind("post", post))
+        return df.withColumn("_key", F.explode(kinds)).withColumns({"_phase": F.col("_key.phase"), "_month": F.col("_key.month")}).drop("_key")
+
+    months_of = F.sequence(F.trunc("window_start", "MM"), F.trunc("window_end", "MM"), F.expr("interval 1 month"))
+    windows = keyed(metrics.filter("window_start <= window_end"), F.array(F.trunc("window_end", "MM")), months_of, F.array(F.trunc("window_start", "MM")))
+    near = keyed(events.filter("event_date is not null"), span("event_date", -months), F.array(F.trunc("event_date", "MM")), span("event_date", months))
+    rows = windows.join(near, ["_phase", "_month"]).withColumn("phase", phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months, None))
+    return rows.filter(F.col("phase") == F.col("_phase")).drop("_phase", "_month")
+
+
+_EVENT = ["event_set", "event_date", "status"]
+
+
 def phase_summary(events: DataFrame, metrics: DataFrame, values: list[str], months: int = 6) -> DataFrame:
     """Per event, metric and phase: windows, mean, and change from the pre phase; phases without windows have null means.
 
     ``events``: event_set, event_date, status. ``metrics``: window_id,
-    window_start, window_end and the values. Events are a calendar's; Spark
-    broadcasts them if it finds them small.
+    window_start, window_end and the values; it is read twice. Only windows
+    beside an event are joined with it; its tranquil ones are all the others,
+    whose count and sum are what the total has beyond these.
     """
-    long = unpivot(metrics, ["window_start", "window_end"], values)
-    rows = long.crossJoin(events).withColumn("phase", phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months))
-    keys = ["event_set", "event_date", "status", "metric"]
-    sums = rows.groupBy(*keys).agg(*[x for p in PHASES for x in (F.count(F.when(F.col("phase") == p, F.col("value"))).alias(f"{p}_n"), F.avg(F.when(F.col("phase") == p, F.col("value"))).alias(f"{p}_mean"))])
-    items = F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"{p}_n").alias("windows"), F.col(f"{p}_mean").alias("mean"), (F.col(f"{p}_mean") - F.col("pre_mean")).alias("change_from_pre")) for p in PHASES])
+    keys = [*_EVENT, "metric"]
+    near = unpivot(beside_events(metrics, events, months), [*_EVENT, "phase"], values)
+    of = lambda p: F.when(F.col("phase") == p, F.col("value"))
+    near = near.groupBy(*keys).agg(*[x for p in PHASES[1:] for x in (F.count(of(p)).alias(f"{p}_n"), F.sum(of(p)).alias(f"{p}_sum"))])
+    total = unpivot(metrics, [], values).groupBy("metric").agg(F.count("value").alias("_n"), F.sum("value").alias("_sum"))
+    every = events.select(*_EVENT, F.explode(F.array(*[F.lit(v) for v in values])).alias("metric"))
+    sums = every.join(near, keys, "left").join(total, "metric")
+    zero = {f"{p}_{x}": F.coalesce(F.col(f"{p}_{x}"), F.lit(0 if x == "n" else 0.0)) for p in PHASES[1:] for x in ("n", "sum")}
+    rest = lambda whole, x: F.coalesce(F.col(whole), F.lit(0 if x == "n" else 0.0)) - sum(zero[f"{p}_{x}"] for p in PHASES[1:])
+    count = {p: zero[f"{p}_n"] for p in PHASES[1:]} | {"tranquil": rest("_n", "n")}
+    mean = {p: F.try_divide(F.col(f"{p}_sum"), F.col(f"{p}_n")) for p in PHASES[1:]} | {"tranquil": F.try_divide(rest("_sum", "sum"), rest("_n", "n"))}
+    items = F.array(*[F.struct(F.lit(p).alias("phase"), count[p].alias("windows"), mean[p].alias("mean"), (mean[p] - mean["pre"]).alias("change_from_pre")) for p in PHASES])
     return sums.select(*keys, F.explode(items).alias("_p")).select(*keys, "_p.*")
 
 
@@ -87,9 +122,9 @@ def concordance(detail: DataFrame) -> DataFrame:
 
 def trajectories(events: DataFrame, metrics: DataFrame, values: list[str], length: int = 6, months: int = 6) -> DataFrame:
     """The windows of an event's pre phase, in order, with z by population deviation; events without exactly ``length`` are left out."""
-    long = unpivot(metrics, ["window_id", "window_start", "window_end"], values).crossJoin(events)
-    pre = long.filter(phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), months) == "pre")
-    keys = ["event_set", "event_date", "status", "metric"]
+    beside = beside_events(metrics, events, months).filter("phase = 'pre'")
+    pre = unpivot(beside, ["window_id", "window_start", "window_end", *_EVENT], values)
+    keys = [*_EVENT, "metric"]
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("window_end")
     rows = pre.withColumn("position", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter(F.col("_n") == length)
     z = F.coalesce(F.try_divide(F.col("value") - F.avg("value").over(whole), F.stddev_pop("value").over(whole)), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar, correlation, events, graphs, kernels, monthly, statistics
 from ..sources import panel as panels
-from ..sources import sinks
+from ..sources import scratch, sinks
 from .base import KNN, PAIRS, WINDOWED, pairs, query, returns, rounded, windowed
 
 
@@ -522,7 +522,7 @@ dt AS (SELECT gr.*, coalesce(pm.windows, 0) AS windows, pm.mean, pm.mean - pr.me
 
 
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.phase_summary(calendar_events(spark), metrics(spark, sf_dir), VALUES)
+    return events.phase_summary(calendar_events(spark), scratch.checkpointed(metrics(spark, sf_dir)), VALUES)
 
 
 @query(f"WITH {METRICS}{EVENTS} SELECT event_set, event_date, status, metric, phase, windows, round(mean, 6) + 0.0 AS mean, round(change_from_pre, 6) + 0.0 AS change_from_pre FROM dt")
@@ -588,6 +588,5 @@ def e1_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {METRICS}{EVENTS} SELECT event_set, event_date, phase, metric, count(value) AS windows, round(avg(value), 6) + 0.0 AS mean FROM ph WHERE phase <> 'tranquil' GROUP BY 1, 2, 3, 4""")
 def e10_j17_event_window_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = events.unpivot(metrics(spark, sf_dir), ["window_start", "window_end"], VALUES).crossJoin(calendar_events(spark))
-    ph = long.withColumn("phase", events.phase(F.col("event_date"), F.col("window_start"), F.col("window_end"), otherwise=None)).filter("phase is not null")
+    ph = events.unpivot(events.beside_events(metrics(spark, sf_dir), calendar_events(spark)), ["event_set", "event_date", "phase"], VALUES)
     return rounded(ph.groupBy("event_set", "event_date", "phase", "metric").agg(F.count("value").alias("windows"), F.avg("value").alias("mean")))
