@@ -602,17 +602,32 @@ def dickey_fuller(x: np.ndarray, lags: int | None = None) -> tuple[float, float]
     most = min(math.ceil(12 * (n / 100) ** 0.25) if lags is None else lags, n // 2 - 2)
     if n < 10 or most < 0 or np.ptp(x) == 0:
         return None
+    x = x - x.mean()  # the constant takes it up
     dx = np.diff(x)
 
     def design(own: int, first: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(first, len(dx))
-        return np.column_stack([x[rows], *[dx[rows - k] for k in range(1, own + 1)], np.ones(len(rows))]), dx[rows]
+        return np.column_stack([x[rows], np.ones(len(rows)), *[dx[rows - k] for k in range(1, own + 1)]]), dx[rows]
 
-    best = min(range(most + 1), key=lambda k: _ols(*design(k, most))[0])
+    best = _least_aic(*design(most, most))
     _, t = _ols(*design(best, best))
     return None if math.isnan(t) else (t, mackinnon_p(t))
 
 
+def _least_aic(z: np.ndarray, y: np.ndarray, always: int = 2) -> int:
+    """How many columns behind the first ``always`` give the least AIC: all regressions are leading blocks of one product."""
+    gram, right, whole = z.T @ z, z.T @ y, y @ y
+
+    def aic(k: int) -> float:
+        try:
+            rest = whole - right[:k] @ np.linalg.solve(gram[:k, :k], right[:k])
+        except np.linalg.LinAlgError:  # columns that depend on each other
+            rest = ((y - z[:, :k] @ np.linalg.lstsq(z[:, :k], y, rcond=None)[0]) ** 2).sum()
+        return len(y) * math.log(max(rest, 1e-14 * whole, 1e-300)) + 2 * k
+
+    return int(np.argmin([aic(k) for k in range(always, z.shape[1] + 1)]))
+
+
 def stationarity(df: DataFrame, keys: list[str], date_col: str, value: str, schema: str, lags: int | None = None) -> DataFrame:
     """Per key the Dickey-Fuller test of its series in date order: statistic, p-value, stationary at 5 %, verdict."""
 
