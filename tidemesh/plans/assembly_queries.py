@@ -222,7 +222,7 @@ def j5_keep_and_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def g23_g33_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All structural metrics of each window's planar graph in one row."""
-    e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
+    e = scratch.checkpointed(kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir))))
     labels = kernels.communities(e)
     tables = [graphs.component_sizes(graphs.components(e)), graphs.clustering(e), graphs.assortativity(e), kernels.path_lengths(e), graphs.ricci_statistics(e), graphs.distance_moments(e), graphs.modularity(e, labels)]
     return rounded(relational.assemble(graphs.basics(e), tables))
@@ -231,7 +231,7 @@ def g23_g33_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def g32_node_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node metrics, null in graphs that are too heavy, with size-adjusted means per window beside."""
-    e = kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir)))
+    e = scratch.checkpointed(kernels.planar_graphs(graphs.complete(pairs(spark, sf_dir))))
     light = kernels.centralities(e.join(graphs.light_windows(e), "window_id"))
     costly = [x for x in light.columns if x not in ("window_id", "node", "degree", "degree_centrality")]
     c = graphs.degrees(e).join(light.select("window_id", "node", *costly), ["window_id", "node"], "left")
@@ -300,7 +300,7 @@ def g31_tree_and_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each window's tree beside its planar graph."""
     e = graphs.complete(pairs(spark, sf_dir))
     out = {}
-    for name, g in (("tree", kernels.minimum_spanning_trees(e)), ("planar", kernels.planar_graphs(e))):
+    for name, g in (("tree", scratch.checkpointed(kernels.minimum_spanning_trees(e))), ("planar", scratch.checkpointed(kernels.planar_graphs(e)))):
         m = g.groupBy("window_id").agg(F.count(F.lit(1)).alias(f"{name}_edges"), F.avg("distance").alias(f"{name}_mean"))
         out[name] = m.join(graphs.basics(g).select("window_id", F.col("mean_degree").alias(f"{name}_degree")), "window_id").join(graphs.clustering(g).select("window_id", F.col("mean_clustering").alias(f"{name}_clustering")), "window_id")
     both = out["tree"].join(out["planar"], "window_id").withColumn("tree_is_lighter", F.col("tree_mean") <= F.col("planar_mean"))

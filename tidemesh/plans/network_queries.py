@@ -272,8 +272,8 @@ def g4_planar_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS}, n AS (SELECT window_id, count(DISTINCT x) AS n FROM (SELECT window_id, asset_1 AS x FROM pairs UNION ALL SELECT window_id, asset_2 FROM pairs) GROUP BY 1) SELECT window_id, n - 1 AS tree_edges, n - 1 AS shared_edges, 3 * n - 6 AS planar_edges FROM n")
 def g2_g4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spanning tree has n - 1 edges, all of them in the planar graph, which has 3n - 6."""
-    e = graphs.complete(pairs(spark, sf_dir))
-    t, p = kernels.minimum_spanning_trees(e), kernels.planar_graphs(e)
+    e = scratch.checkpointed(graphs.complete(pairs(spark, sf_dir)))
+    t, p = scratch.checkpointed(kernels.minimum_spanning_trees(e)), scratch.checkpointed(kernels.planar_graphs(e))
     keys = ["window_id", "u", "v"]
     count = lambda x, name: x.groupBy("window_id").agg(F.count(F.lit(1)).alias(name))
     return count(t, "tree_edges").join(count(t.select(*keys).join(p.select(*keys), keys), "shared_edges"), "window_id").join(count(p, "planar_edges"), "window_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import brandes, graphs, kernels, relational, statistics
 from ..sources import scratch
-from .base import KNN, PAIRS, WINDOWED, pairs, query, rounded, windowed
+from .base import KNN, PAIRS, SQL, WINDOWED, pairs, query, rounded, windowed
 from .network_queries import COMPONENTS, HOPS, LABELS, MOMENTS_SQL, RICCI, SPREAD_SQL, TRI, _labels, _moments_rounded, knn
 
 #: The least greatest distance on any path between two assets, over paths of up to 32 edges: five doublings.
@@ -25,6 +25,10 @@ def g2_trees_by_minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.minimum_spanning_trees(graphs.complete(pairs(spark, sf_dir))).select("window_id", "u", "v", "distance"))
 
 
+#: The same holds the query of whole trees.
+SQL["g2_minimum_spanning_trees"] = SQL["g2_trees_by_minimax"].replace("round(distance, 6) AS distance", "round(distance, 6) AS distance, round(distance, 6) AS weight")
+
+
 #: Numbers of shortest paths between all nodes, hop by hop, and betweenness from them.
 PATHS = KNN + HOPS + """,
 p1 AS (SELECT window_id, s, t, h, 1.0 AS c FROM h8 WHERE h = 1)""" + "".join(
