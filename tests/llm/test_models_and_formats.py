@@ -451,3 +451,15 @@ def test_shifts_show_and_rows_of_one_id_are_told_apart(spark):
     assert warc_merkle.audit(a, b).count() == 54
     out = warc_merkle.fixity(pages(spark, rows), pages(spark, grown)).toPandas()
     assert out[~out.intact].page_id.tolist() == [10] and (out.replica_offset - out.offset)[out.page_id > 10].eq(1).all()
+
+
+def test_carriage_returns_stay(spark):
+    texts = ["one\r\ntwo", "ends so\r", "a question?\r\nand a line", "x\r\n\r\ny", "no\rbreak", "plain\nlines"]
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", texts[(c + t) % len(texts)]) for c in range(12) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.first_turn): (r.role, r.text) for r in chat_hmm.format_conversations(df).collect()}
+    assert got == {(c, t): (role, text.replace("\r\n\r\n", "\r\n\n")) for c, t, role, text in rows}
+    model = chat_hmm.fit(df)
+    plain = spark.createDataFrame([("t", "User: one\r\ntwo\r\nAssistant: three\r\n")], "id string, text string")
+    found = [(r.role, r.text) for r in chat_hmm.format_transcripts(plain, model, "id", "text").orderBy("first_line").collect()]
+    assert found == [("user", "one\r\ntwo\r"), ("assistant", "three\r")]

@@ -49,13 +49,15 @@ def observed(lines: DataFrame) -> DataFrame:
     themselves stay outside the model. Whether a line opens its block's part
     of the transcript or follows a blank line shows in its neighbour, within
     the block; a block's first line counts as opening only in the first block.
+    A carriage return at a line's end is part of the line, but not of what is
+    observed of it.
     """
     order = Window.partitionBy("_conv", "_block").orderBy("_a", "_b", "_c")
     text = F.trim(F.regexp_replace("_line", r"\s", " ")) != ""
     seen = lines.withColumn("_pos", F.row_number().over(order).cast("long")).withColumn("_said", F.when(text, F.col("_pos")))
     seen = seen.withColumn("_gap", F.col("_pos") - F.max("_said").over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1)
     seen = seen.filter(F.col("_said").isNotNull()).withColumn("_blank", F.coalesce("_gap", F.col("_pos") - 1) > 0).withColumn("_first", F.col("_gap").isNull() & (F.col("_block") == 0))
-    return seen.withColumn("_symbol", symbol("_line", "_blank", "_first")).drop("_blank", "_first", "_said", "_b", "_c")
+    return seen.withColumn("_seen", F.regexp_replace("_line", "\r$", "")).withColumn("_symbol", symbol("_seen", "_blank", "_first")).drop("_blank", "_first", "_said", "_b", "_c", "_seen")
 
 
 @dataclass(frozen=True)
@@ -231,7 +233,7 @@ def render(role: Column, text: Column) -> Column:
 
 def transcript_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines of plain transcripts, one transcript a row: (_conv, _block, _line), ordered by _a, their number."""
-    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("_conv"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n")).alias("_n", "_line"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("_conv"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("_n", "_line"))
     n = F.col("_n").cast("long")
     return rows.select("_conv", F.floor(F.col("_n") / LINES_PER_BLOCK).alias("_block"), n.alias("_a"), F.lit(0).alias("_b"), F.lit(0).alias("_c"), "_line")
 
@@ -261,7 +263,7 @@ def conversation_lines(df: DataFrame, id_col: str = "conv_id", turn_col: str = "
     bare = (F.pmod(F.xxhash64("_conv", "_turn"), F.lit(8)) == 0) & (F.col("_turn") > 0) & ~F.col("_conv").startswith("\0") & ~F.col("_text").rlike("(?i)" + MARKER)
     written = F.concat(F.when(bare, "").otherwise(mark), "_text", F.lit("\n"))
     place = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("_role")) - 1
-    lines = rows.select("_conv", "_block", F.col("_turn").alias("_a"), F.col("_copy").alias("_b"), place.alias("_known"), F.posexplode(F.split(written, r"\r?\n")).alias("_c", "_line"))
+    lines = rows.select("_conv", "_block", F.col("_turn").alias("_a"), F.col("_copy").alias("_b"), place.alias("_known"), F.posexplode(F.split(written, "\n")).alias("_c", "_line"))
     state = (F.col("_known") + F.when(F.col("_c") == 0, 0).otherwise(len(ROLES))).cast("int")
     return lines.select("_conv", "_block", "_a", "_b", "_c", "_line", state.alias("_state"))
 
@@ -292,7 +294,8 @@ def format_conversations(df: DataFrame, model: Model | None = None, id_col: str
     conversation of its own, a null turn is 0, a null role or one outside
     ROLES a user's, a null text empty; turns without any text are dropped;
     blank lines inside a text stay, those at its ends go, and one of white
-    space alone comes back empty; a later line that begins like a marker may
+    space alone, a carriage return included, comes back empty; a carriage
+    return before a line's end stays; a later line that begins like a marker may
     open a turn of its own; rows that repeat id and turn follow each other;
     any turn number is kept; an empty table gives no rows; other columns are
     ignored.
