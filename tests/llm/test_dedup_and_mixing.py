@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import statistics
 from collections import Counter, defaultdict
 
 import duckdb
@@ -101,7 +103,8 @@ def test_mixing_edge_cases(spark):
 def test_sql_agrees(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{d}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, d).toPandas()
         want = con.sql(sql).df()[list(got.columns)]
@@ -157,16 +160,55 @@ def test_shared_ids_are_drawn_one_by_one(spark):
 
 
 def test_chance_of_a_copy_is_the_fraction(spark):
-    """Over seeds, each document of a source is copied about as often as its rate says, whatever its size."""
-    rows = [(k, "w " * n, "a", 0, "") for k, n in enumerate([1, 1, 2, 3, 5, 8, 8, 9, 13, 20, 21, 34, 40, 55])] + [(100 + k, "v " * 40, "b", 0, "") for k in range(12)]
+    """Over seeds each document, whatever its size, is copied as often as its rate says, and one size tells nothing of another."""
+    rows = [(0, "w " * 9000, "a", 0, "")] + [(k, "w " * 10, "a", 0, "") for k in range(1, 101)] + [(200 + k, "v " * (20 + k % 5 * 9), "b", 0, "") for k in range(40)]
+    df, seeds = mixed(spark, rows).coalesce(1).cache(), 400
+    # The plan by definition, as 400 Spark runs would take long; one seed in fifty is run.
+    text = {r[0]: r[1] for r in rows}
+    first = mixing.mix_sizes(df).toPandas()
+    rate = {i: t / n for i, t, n in zip(first.doc_id, first.target, first.source_size)}
+    times, drawn = Counter(), defaultdict(list)
+
+    def unit(key):
+        return int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+    for seed in range(seeds):
+        got = {}
+        for source in "ab":
+            f = rate[0 if source == "a" else 200] % 1
+            cells = defaultdict(list)
+            for r in rows:
+                if r[2] == source:
+                    n, u = len(r[1].split()), unit(f"{seed}:{r[0]}:{hashlib.md5(text[r[0]].encode()).hexdigest()}:0")
+                    b = n.bit_length()
+                    cells[-(b * 4 + (n * 4 >> b - 1) - 4), u].append(r[0])
+            before, begin = 0, unit(f"{seed}:start:{source}") / 2**32
+            for _, held in sorted(cells.items()):
+                for i in held:
+                    got[i] = int(rate[i]) + ((before * f + begin) % 1 < f)
+                before += len(held)
+        times.update(got)
+        for k in range(101):
+            drawn[k].append(got[k])
+        if seed % 50 == 42:
+            assert {r["doc_id"]: r["copies"] for r in mixing.mix_sizes(df, seed=seed).collect()} == got
+    for i, r in rate.items():
+        assert abs(times[i] / seeds - r) <= 4 * math.sqrt(r % 1 * (1 - r % 1) / seeds) + 1e-9
+    # What the long document gets decides nothing for any short one, though of all together the fraction has a copy, up to one.
+    assert max(abs(statistics.correlation(drawn[0], drawn[k])) for k in range(1, 101)) < 0.25
+    assert max(abs(sum(c) - 101 * rate[0]) for c in zip(*drawn.values())) < 1 + 1e-9
+
+
+@pytest.mark.parametrize("listed", [4096, 10])
+def test_large_plans_are_joined_by_a_shuffle(spark, monkeypatch, listed):
+    monkeypatch.setattr(mixing, "LISTED", listed)
+    rows = [(k, "w " * (k * 37 % 90), ["a", "b", None, ""][k % 4], 0, "") for k in range(400)]
     df = mixed(spark, rows)
-    times = Counter()
-    for seed in range(60):
-        out = mixing.mix_sizes(df, seed=seed).collect()
-        rate = {r["doc_id"]: r["target"] / r["source_size"] for r in out}
-        times.update({r["doc_id"]: r["copies"] for r in out})
-    a = [times[k] / 60 - rate[k] for k in range(14)]
-    assert abs(sum(a) / len(a)) < 0.05 and max(map(abs, a)) < 0.3
+    one = sorted((r["doc_id"], r["copies"]) for r in mixing.mix_sizes(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert one == sorted((r["doc_id"], r["copies"]) for r in mixing.mix_sizes(df).collect())
+    emitted = Counter(r["doc_id"] for r in mixing.mix(df).collect())
+    assert emitted == Counter({i: n for i, n in one if n})
 
 
 def test_clashing_names_and_no_row_lost(spark):

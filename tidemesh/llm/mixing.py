@@ -13,10 +13,10 @@ WEIGHTS = (5, 2, 1)
 #: A mix repeats no document more often than this.
 CAP = 3
 SEED = 42
-#: Draws of a source and size class are counted in this many equal cells.
-CELLS = 1024
-#: A table of more sources than this isn't broadcast but joined by a shuffle; the rows that come out are the same.
-BROADCAST_SOURCES = 50_000
+#: Documents of a source and size class are told apart by their draws; more than LISTED are counted in CELLS equal cells of these.
+LISTED, CELLS = 4096, 1024
+#: A plan of more cells than this isn't broadcast but joined by a shuffle; the rows that come out are the same.
+BROADCAST_CELLS = 500_000
 #: Repeated rows are numbered in runs of this many.
 RUN = 4096
 #: More repeated keys than this aren't broadcast; the rows that come out are the same.
@@ -81,67 +81,80 @@ def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -
     )
 
 
-def chances(rows: DataFrame) -> DataFrame:
-    """Per source, its size classes from the largest: (_x, _classes: array of (bits, words, cells: array of (cell, words)))."""
-    some = rows.filter("_size > 0").groupBy("_source", size_class(F.col("_size")).alias("_bits"), F.floor(F.col("_u") / (2**32 // CELLS)).cast("int").alias("_cell")).agg(F.sum("_size").alias("_w"))
-    classes = some.groupBy("_source", "_bits").agg(F.sum("_w").alias("_words"), F.sort_array(F.collect_list(F.struct(F.col("_cell").alias("cell"), F.col("_w").alias("w")))).alias("_cells"))
-    listed = F.sort_array(F.collect_list(F.struct(F.col("_bits").alias("bits"), F.col("_words").alias("words"), F.col("_cells").alias("cells"))), asc=False)
-    return classes.groupBy(F.col("_source").alias("_x")).agg(listed.alias("_classes"))
+def cell_of(u: Column, many: Column) -> Column:
+    """The cell of a draw: in a class of many documents one of CELLS equal ones, else the draw itself."""
+    return F.when(many, F.floor(u / (2**32 // CELLS))).otherwise(u).cast("long")
 
 
-def _fractions(need: Column, size: Column, classes: Column) -> Column:
-    """A map from size class to the trial's probability, by a fold over the classes from the largest.
+def places(rows: DataFrame) -> DataFrame:
+    """Per source and size class, where its documents stand: (_x, _bits, _many, _cells: cell of draws -> (documents before, documents in it)).
 
-    The first class has the fraction need / size. After each class the words
-    that its draws take (exactly by whole cells of draws, in proportion within
-    the cell of the threshold) are deducted, and the next class has the
-    fraction of what is then left.
+    A source's documents stand in order of falling size class, within a class
+    by their draws; those without words don't count. A class has at most LISTED
+    cells here, so a source's running count is bounded work.
     """
+    keyed = rows.select("_source", size_class(F.col("_size")).alias("_b"), "_u", (F.col("_size") > 0).cast("long").alias("_one"))
+    classes = checkpointed(keyed.groupBy(F.col("_source").alias("_x"), F.col("_b").alias("_bits")).agg((F.count(F.lit(1)) > LISTED).alias("_many")))
+    held = F.broadcast(classes) if classes.count() <= BROADCAST_CELLS else classes
+    some = keyed.join(held, keyed["_source"].eqNullSafe(held["_x"]) & (keyed["_b"] == held["_bits"])).groupBy("_x", "_bits", "_many", cell_of(F.col("_u"), F.col("_many")).alias("_cell")).agg(F.sum("_one").alias("_n"))
+    ahead = Window.partitionBy("_x").orderBy(F.desc("_bits"), "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).cast("long"))
+    entry = F.struct(F.col("_cell"), F.struct(F.col("_before").alias("before"), F.col("_n").alias("n")))
+    return some.groupBy("_x", "_bits", "_many").agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
 
-    def step(acc: Column, c: Column) -> Column:
-        f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["need"] / acc["left"].cast("double")))
-        place = f * F.lit(float(CELLS))
-        cell = F.floor(place).cast("int")
-        whole = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] < cell, x["w"]).otherwise(F.lit(0).cast("long")))
-        at = F.aggregate(c["cells"], F.lit(0).cast("long"), lambda n, x: n + F.when(x["cell"] == cell, x["w"]).otherwise(F.lit(0).cast("long")))
-        got = whole.cast("double") + (place - cell.cast("double")) * at.cast("double")
-        return F.struct((acc["need"] - got).alias("need"), (acc["left"] - c["words"]).alias("left"), F.concat(acc["out"], F.array(F.struct(c["bits"].alias("bits"), f.alias("f")))).alias("out"))
 
-    zero = F.struct(need.alias("need"), size.alias("left"), F.expr("cast(array() as array<struct<bits: int, f: double>>)").alias("out"))
-    return F.map_from_entries(F.aggregate(classes, zero, step, lambda acc: acc["out"]))
+def start(source: Column, seed: int) -> Column:
+    """A source's hash-seeded start, uniform on [0, 1)."""
+    key = F.concat(F.lit(f"{seed}:start:"), F.coalesce(source.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
-def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per source: its size, target, whole copies _base, and _chance, the extra copy's probability by size class.
+def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """One row per source and size class: the source's size, target, whole copies _base, the extra copy's probability _fraction, its _start, and the class's _cells.
 
     rate = target / size; every document has floor(rate) copies, and one more
-    if its own draw lies below its class's probability: a Bernoulli trial per
-    document that no other document's draw decides. The first class's
-    probability is the rate's fraction. That of a later class is corrected for
-    the luck of the larger ones, so a source's words end near its target
-    although one document may hold much of them; over seeds its mean is still
-    the fraction, as long as the correction stays between 0 and 1.
+    with probability rate - floor(rate), whatever its size.
     """
     sources = targets(rows, weights, cap)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    sources = sources.withColumn("_base", F.floor(rate)).withColumn("_need", F.col("_target") - F.col("_base") * F.col("_source_size"))
-    classes = chances(rows)
-    out = sources.join(classes, sources["_source"].eqNullSafe(classes["_x"]), "left")
-    return checkpointed(out.select("_source", "_source_size", "_target", "_base", _fractions(F.col("_need"), F.col("_source_size"), F.col("_classes")).alias("_chance")))
+    sources = sources.withColumn("_base", F.floor(rate)).withColumn("_fraction", rate - F.floor(rate)).withColumn("_start", start(F.col("_source"), seed))
+    classes = places(rows)
+    return checkpointed(sources.join(classes, sources["_source"].eqNullSafe(classes["_x"])).drop("_x"))
 
 
 def copies() -> Column:
-    """Copies of a row (_size, _u) that carries the plan's columns."""
-    f = F.coalesce(F.element_at("_chance", size_class(F.col("_size"))), F.lit(0.0))
-    return (F.col("_base") + F.when((F.col("_size") > 0) & (F.col("_u") < f * F.lit(2.0**32)), 1).otherwise(0)).cast("int")
+    """Copies of a row (_size, _u) that carries the plan's columns.
+
+    A document's trial is u = frac(place * fraction + start), place being its
+    number in its source. The start is uniform, so u is: it lies below the
+    fraction with just that probability. And as places step by one, of any run
+    of a source's documents the fraction has a copy, up to one document. In a
+    class of many a document's place is drawn within its cell, and the trials
+    there spread as independent ones do.
+    """
+    width = 2**32 // CELLS
+    at = F.element_at("_cells", cell_of(F.col("_u"), F.col("_many")))
+    place = at["before"] + F.when(F.col("_many"), F.pmod(F.col("_u"), F.lit(width)) / F.lit(float(width)) * at["n"]).otherwise(0.0)
+    turn = place * F.col("_fraction") + F.col("_start")
+    return (F.col("_base") + F.when((F.col("_size") > 0) & (turn - F.floor(turn) < F.col("_fraction")), 1).otherwise(0)).cast("int")
 
 
 def with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with their source's columns; ``sources`` is checkpointed and broadcast if it is counted to be small."""
+    """Rows with the columns of their source and size class; ``sources`` is checkpointed and broadcast if it is counted to be small.
+
+    Beyond that rows are dealt by source, class and cell, so a hot source is many keys.
+    """
+    keyed = rows.withColumn("_b", size_class(F.col("_size")))
     joined = sources.withColumnRenamed("_source", "_s")
-    if sources.count() <= BROADCAST_SOURCES:
+    if (sources.agg(F.sum(F.size("_cells"))).first()[0] or 0) <= BROADCAST_CELLS:
         joined = F.broadcast(joined)
-    return rows.join(joined, rows["_source"].eqNullSafe(joined["_s"])).drop("_s")
+        return keyed.join(joined, keyed["_source"].eqNullSafe(joined["_s"]) & (keyed["_b"] == joined["_bits"])).drop("_s", "_b", "_bits")
+    joined = joined.select("*", F.explode(F.map_keys("_cells")).alias("_cell")).withColumn("_cells", F.create_map("_cell", F.element_at("_cells", F.col("_cell"))))
+    # A row doesn't know yet how many its class has: it meets the class's cell of either kind.
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), cell_of(F.col("_u"), F.lit(m)).alias("c")) for m in (True, False)]))
+    keyed = keyed.withColumn("_at", cells)
+    same = keyed["_source"].eqNullSafe(joined["_s"]) & (keyed["_b"] == joined["_bits"]) & (keyed["_at.m"] == joined["_many"]) & (keyed["_at.c"] == joined["_cell"])
+    return keyed.join(joined, same).drop("_s", "_b", "_bits", "_at", "_cell")
 
 
 def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
@@ -150,7 +163,7 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     Sizes are words. Sources by code point, null last, take the weights in
     turn and share 100 % of all words; a target stops at ``cap`` times its
     source's words and the excess goes to the others by weight. A document is
-    emitted floor(rate) times and once more if its draw passes.
+    emitted floor(rate) times and once more with probability rate - floor(rate).
 
     Defined cases: null or empty text has size 0; a null source is a source; a
     draw comes from id and text, so rows that share an id have draws of their
@@ -158,7 +171,7 @@ def mix_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     table gives no rows; other columns are ignored.
     """
     rows = checkpointed(drawn(counted(df, id_col, text_col, source_col), seed))
-    out = with_plan(rows, plan(rows, weights, cap)).withColumn("_copies", copies())
+    out = with_plan(rows, plan(rows, weights, cap, seed)).withColumn("_copies", copies())
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
@@ -174,7 +187,8 @@ def _numbered(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
 
     They are numbered within their key and input partition, and these runs are
     put one behind the other, so one key with a third of all rows isn't one
-    task's work.
+    task's work. Repeated rows are written once, as a second reading of the
+    input needn't deal them to the same partitions.
     """
     keys = ["_key", "_digest"]
     few = repeats.count()
@@ -182,7 +196,7 @@ def _numbered(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
         return keyed.withColumn("_n", F.lit(0).cast("long"))
     repeats = F.broadcast(repeats) if few <= BROADCAST_REPEATS else repeats
     placed = keyed.withColumn("_part", F.spark_partition_id())
-    many = placed.join(repeats, keys, "left_semi")
+    many = checkpointed(placed.join(repeats, keys, "left_semi"))
     runs = many.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
@@ -199,7 +213,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     and text is drawn under which number follows the order of the input files.
     """
     groups = checkpointed(counted(df, id_col, text_col, source_col))
-    sources = plan(drawn(groups, seed), weights, cap)
+    sources = plan(drawn(groups, seed), weights, cap, seed)
     key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), F.coalesce(F.col("_source").cast("string"), F.lit("\0")))
     repeats = groups.filter("_m > 1").select(key.alias("_key"), "_digest").distinct()
     packed, unpacked = row_struct(df)

@@ -75,7 +75,7 @@ def queries() -> dict:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS n FROM d),
 u AS (SELECT *, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || n), 1, 8) AS BIGINT) AS u, length(bin(size)) * 4 + ((size * 4) >> (length(bin(size)) - 1)) - 4 AS bits FROM e),
@@ -86,21 +86,16 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (o ROWS BETWE
              / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW o AS (ORDER BY lim / weight, source NULLS LAST)),
 t AS (SELECT source, source_size, least(lim, max(level) OVER () * weight) AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
-h AS (SELECT source, bits, u // 4194304 AS cell, CAST(sum(size) AS BIGINT) AS w FROM u WHERE size > 0 GROUP BY 1, 2, 3),
-c AS (SELECT source, bits, sum(w) AS words, list({'cell': cell, 'w': w}) AS cells FROM h GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bits DESC) AS j, CAST(sum(words) OVER (PARTITION BY source ORDER BY bits) AS DOUBLE) AS rest FROM c),
-f AS (
-  SELECT k.source, k.j, k.bits, k.cells, r.target - r.base * r.source_size AS need, greatest(0.0, least(1.0, (r.target - r.base * r.source_size) / k.rest)) AS f
-  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source WHERE k.j = 1
-  UNION ALL
-  SELECT source, j, bits, cells, need, greatest(0.0, least(1.0, need / rest)) FROM (
-    SELECT k.source, k.j, k.bits, k.cells, k.rest,
-           p.need - (CAST(coalesce(list_sum([x.w for x in p.cells if x.cell < floor(p.f * 1024)]), 0) AS DOUBLE)
-                     + (p.f * 1024 - floor(p.f * 1024)) * CAST(coalesce(list_sum([x.w for x in p.cells if x.cell = floor(p.f * 1024)]), 0) AS DOUBLE)) AS need
-    FROM f p JOIN k ON k.source IS NOT DISTINCT FROM p.source AND k.j = p.j + 1))
-SELECT u.doc_id, u.size, r.source_size, r.target, CAST(u.size * (r.base + CASE WHEN u.size > 0 AND u.u < f.f * 4294967296.0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source LEFT JOIN f ON u.source IS NOT DISTINCT FROM f.source AND u.bits = f.bits
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+             CAST('0x' || substr(md5('42:start:' || coalesce(source, '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS start FROM t),
+g AS (SELECT *, count(*) OVER (PARTITION BY source, bits) > 4096 AS many FROM u),
+v AS (SELECT *, CASE WHEN many THEN u // 4194304 ELSE u END AS cell FROM g),
+h AS (SELECT source, bits, cell, CAST(count(*) FILTER (WHERE size > 0) AS BIGINT) AS n FROM v GROUP BY 1, 2, 3),
+p AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY bits DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM h),
+x AS (SELECT v.doc_id, v.size, r.source_size, r.target, floor(r.rate) AS base, r.rate - floor(r.rate) AS f,
+             (p.ahead + CASE WHEN v.many THEN CAST(v.u % 4194304 AS DOUBLE) / CAST(4194304 AS DOUBLE) * p.n ELSE 0.0 END) * (r.rate - floor(r.rate)) + r.start AS turn
+      FROM v JOIN r ON v.source IS NOT DISTINCT FROM r.source JOIN p ON v.source IS NOT DISTINCT FROM p.source AND v.bits = p.bits AND v.cell = p.cell)
+SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN size > 0 AND turn - floor(turn) < f THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
 
 OP6_SQL = r"""
