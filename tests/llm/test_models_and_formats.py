@@ -349,9 +349,45 @@ def test_counts_cover_all_labelled_texts(spark):
     words = [kn_toxicity.words_of(t) for _, label, t in want if label]
     pairs = Counter(" ".join(p) for w in words for p in zip(w, w[1:]))
     assert {r["gram"]: r["n01"] + r["n11"] for r in counts.filter(F.col("gram").rlike(". .")).collect()} == pairs
-    assert kn_toxicity.bounded(grams, 10**6).count() == grams.count()
-    few = kn_toxicity.bounded(grams, 20).collect()
-    assert 0 < len(few) <= 20 and kn_toxicity.bounded(grams.limit(0), 20).count() == 0
+    top = [top_of([t for _, label, t in want if label == y]) for y in (0, 1)]
+    whole, core = kn_toxicity.Model(dict(enumerate(top))), kn_toxicity.core_of(grams)
+    for part in ("ol", "^", "um"):
+        some = kn_toxicity.Model({y: {g: n for g, n in top[y].items() if g[-3:-1] == part} for y in (0, 1)}, core=core)
+        for g in {g for w in ("old", "dump", "lake", "zold", "qum") for g in kn_toxicity.grams(w) if g[-3:-1] == part}:
+            assert some.letter(g) == pytest.approx(whole.letter(g))
+
+
+def test_parts_say_what_one_model_says(spark, monkeypatch):
+    """With parts of few n-grams and pairs every text scores as with one model of all: nothing is cut."""
+    rng = np.random.default_rng(5)
+    common = ["the", "old", "lake", "house", "été", "jump", "in", "water", "x1", "go"]
+    texts = [(k, " ".join([*rng.choice(common, size=rng.integers(0, 40)), *(["you", "utter", "fool"] if k % 3 == 0 else ["you", "dear"]) * int(rng.integers(1, 3))])) for k in range(240)]
+    docs = spark.createDataFrame([*texts, (None, None), (1000, "")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in texts], "doc_id bigint, toxic int")
+
+    def scores():
+        model = kn_toxicity.fit(docs, labels)
+        rows = kn_toxicity.classify(docs, model).collect()
+        return model, {r["doc_id"]: (r["score"], r["toxic_loglik"], r["ordinary_loglik"]) for r in rows}
+
+    one, want = scores()
+    assert isinstance(one.model, kn_toxicity.Model) and one.model.behind
+    monkeypatch.setattr(kn_toxicity, "MODEL_GRAMS", 25)
+    monkeypatch.setattr(kn_toxicity, "MODEL_PAIRS", 1)
+    monkeypatch.setattr(kn_toxicity, "FILL", 2000)
+    monkeypatch.setattr(kn_toxicity, "REMEMBERED", 15)
+    many, got = scores()
+    assert len(many.model.models) > 2 and len(many.model.pairs) > 1
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-7)
+
+
+def test_texts_that_tell_nothing_are_ordinary(spark):
+    docs = spark.createDataFrame([(k, "..") for k in range(30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, toxic int")
+    out = kn_toxicity.classify(docs, kn_toxicity.fit(docs, labels)).collect()
+    assert len(out) == 30 and {(r["score"], r["predicted"]) for r in out} == {(0.0, 0)}
 
 
 def test_expressions_of_several_words():

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import exp, log, log1p
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,13 @@ from .common import bounded_batches, checkpointed, id_remainder, text_or_empty
 
 #: The map from likelihoods to scores is fitted on at most this many labelled documents of each class, the first by a hash of their ids.
 SAMPLE_PER_CLASS = 4000
-#: What a model holds at most, as it is broadcast: n-grams and word pairs. Counts are taken over all labelled documents before (``bounded``).
+#: What one broadcast part of the models holds: n-grams and word pairs. More of them make more parts (``Parts``), none is left out.
 MODEL_GRAMS = 400_000
 MODEL_PAIRS = 100_000
+#: N-grams are dealt to parts by this many hash buckets of the two letters before their last one.
+BUCKETS = 4096
+#: Letters of text for which a worker takes the parts through once.
+FILL = 16_000_000
 #: The bitmap of labelled ids: rows of 4 KB.
 BITMAP_ROWS, _BITS = 2048, 32768
 #: Letters of context in the class-conditional models.
@@ -73,19 +78,26 @@ class Model:
     so scores by its own counts, whatever its words do alone.
     """
 
-    def __init__(self, top: dict[int, dict[str, int]], pairs: Pairs | None = None, heads: Heads | None = None, order: int = ORDER, discount: float = DISCOUNT):
-        """``top``: of each class, 0 and 1, the counts of its words' n-grams; ``heads``: how often the first words of ``pairs`` have a word behind them."""
+    def __init__(self, top: dict[int, dict[str, int]], pairs: Pairs | None = None, heads: Heads | None = None, order: int = ORDER, discount: float = DISCOUNT, core: dict[str, int] | None = None):
+        """``top``: of each class, 0 and 1, the counts of its words' n-grams; ``heads``: how often the first words of ``pairs`` have a word behind them.
+
+        ``core``: if ``top`` holds only some n-grams, all of those that agree in
+        the two letters before the last, the shared counts of all sequences of
+        one and two letters (``core_of``). What is said of these n-grams is then
+        the same as by a model of all.
+        """
         self.order, self.discount = order, discount
         # Shared continuation counts, from the longest sequences down.
         shared: Counter = Counter()
         kept: dict[int, set] = defaultdict(set)
         for g in top[0].keys() | top[1].keys():
             kept[len(g)].add(g)
-        for length in range(order, 1, -1):
+        for length in range(order, 1 if core is None else 3, -1):
             for g in kept[length]:
                 shared[g[1:]] += 1
                 kept[length - 1].add(g[1:])
             del kept[length]
+        shared.update(core or {})
         total, kinds = defaultdict(float), defaultdict(int)
         for g, n in shared.items():
             total[g[:-1]] += n
@@ -118,15 +130,7 @@ class Model:
             ctx, low = g[:-1], self.backoff(g[1:])
             p = [(max(top[c].get(g, 0) - discount, 0.0) / sums[c][ctx] if ctx in sums[c] else 0.0) + spread(c, ctx) * low for c in (0, 1)]
             self.plain[g], self.ratio[g] = log(p[0]), log(p[1] / p[0])
-        self._behind(pairs or {}, heads or {})
-
-    def _behind(self, pairs: Pairs, heads: Heads) -> None:
-        self.behind: dict[str, tuple[float, float, dict[str, tuple[float, float]]]] = {}
-        by_head: dict[str, dict[str, tuple[float, float]]] = defaultdict(dict)
-        for (v, w), n in pairs.items():
-            by_head[v][w] = tuple(max(n[c] - self.discount, 0.0) / heads[v][c] if heads[v][c] else 0.0 for c in (0, 1))
-        for v, tails in by_head.items():
-            self.behind[v] = (1.0 - sum(p[0] for p in tails.values()), 1.0 - sum(p[1] for p in tails.values()), tails)
+        self.behind = behind(pairs or {}, heads or {}, discount)
 
     def backoff(self, g: str) -> float:
         """The shared probability of a sequence's last letter behind the others."""
@@ -145,30 +149,93 @@ class Model:
         """ln P(word | ordinary), and what the toxic model has above it."""
         plain = total = 0.0
         for g in grams(word, self.order):
-            r = self.ratio.get(g)
-            if r is None:
-                ctx = g[:-1] + "\0"
-                total += self.ratio.get(ctx, 0.0)
-                plain += self.plain.get(ctx, 0.0) + log(self.backoff(g[1:]))
-            else:
-                total += r
-                plain += self.plain[g]
+            p, r = self.letter(g)
+            plain += p
+            total += r
         return plain, total
 
+    def letter(self, g: str) -> tuple[float, float]:
+        """The same of an n-gram's last letter behind the others."""
+        r = self.ratio.get(g)
+        if r is not None:
+            return self.plain[g], r
+        ctx = g[:-1] + "\0"
+        return self.plain.get(ctx, 0.0) + log(self.backoff(g[1:])), self.ratio.get(ctx, 0.0)
+
     def after(self, head: str, word: str, plain: float, ratio: float) -> tuple[float, float]:
         """What ``word`` gives, behind a first word of pairs that were kept."""
-        a, b, tails = self.behind[head]
-        x, y = tails.get(word, (0.0, 0.0))
-        p = max(exp(plain), 1e-300)
-        p0 = max(x + a * p, 1e-300)
-        return log(p0), log(max(y + b * p * exp(min(ratio, 30.0)), 1e-300) / p0)
+        return after(self.behind[head], word, plain, ratio)
+
+
+#: Of a first word of pairs: what the pairs leave of 1 in each class, and each second word's own share.
+Behind = tuple[float, float, dict[str, tuple[float, float]]]
+
+
+def behind(pairs: Pairs, heads: Heads, discount: float = DISCOUNT) -> dict[str, Behind]:
+    by_head: dict[str, dict[str, tuple[float, float]]] = defaultdict(dict)
+    for (v, w), n in pairs.items():
+        by_head[v][w] = tuple(max(n[c] - discount, 0.0) / heads[v][c] if heads[v][c] else 0.0 for c in (0, 1))
+    return {v: (1.0 - sum(p[0] for p in tails.values()), 1.0 - sum(p[1] for p in tails.values()), tails) for v, tails in by_head.items()}
+
+
+def after(held: Behind, word: str, plain: float, ratio: float) -> tuple[float, float]:
+    a, b, tails = held
+    x, y = tails.get(word, (0.0, 0.0))
+    p = max(exp(plain), 1e-300)
+    p0 = max(x + a * p, 1e-300)
+    return log(p0), log(max(y + b * p * exp(min(ratio, 30.0)), 1e-300) / p0)
+
+
+class Parts:
+    """The models in parts that are broadcast one by one, each of bounded size, for more n-grams or pairs than one holds.
+
+    All n-grams that agree in the two letters before the last lie in one part,
+    and with them all that their probabilities are made of but the shared
+    counts of one and two letters, which each part has. Pairs lie with their
+    first word. A worker has one part in memory at a time.
+    """
+
+    def __init__(self, part_of: list[int], models: list[Broadcast], pairs: list[Broadcast]):
+        self.part_of, self.models, self.pairs = part_of, models, pairs
+        self.known: dict[str, int] = {}
+
+    @staticmethod
+    def each(parts: list[Broadcast]) -> Iterator:
+        for part in parts:
+            yield part.value
+            # This process's copy goes; the part's file stays.
+            part.__dict__.pop("_value", None)
+
+    def part(self, context: str) -> int:
+        k = self.known.get(context)
+        if k is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            k = self.known[context] = self.part_of[crc32(context.encode()) % BUCKETS]
+        return k
+
+    def of_words(self, words: list[str]) -> list[tuple[float, float]]:
+        """``Model.both`` of each word, the letters of a part at a time."""
+        plain, ratio = [0.0] * len(words), [0.0] * len(words)
+        for k, model in enumerate(self.each(self.models)):
+            for n, word in enumerate(words):
+                for g in grams(word):
+                    if self.part(g[-3:-1]) == k:
+                        p, r = model.letter(g)
+                        plain[n] += p
+                        ratio[n] += r
+        return list(zip(plain, ratio, strict=True))
+
+    def destroy(self) -> None:
+        for part in self.models + self.pairs:
+            part.destroy()
 
 
 @dataclass
 class Classifier:
     """The models and the map from a document's likelihoods to a score."""
 
-    model: Model
+    model: Model | Parts
     threshold: float = 0.0
     slope: float = 1.0
     scale: float = 1.0
@@ -204,6 +271,41 @@ class Classifier:
         n = max(len(words), 1)
         return plain / n, (plain + total) / n
 
+    def of_batches(self, batches: Iterable[pd.Series]) -> Iterator[np.ndarray]:
+        """``likelihoods`` of each text of each batch, as rows."""
+        if isinstance(self.model, Model):
+            for texts in batches:
+                yield np.array([self.likelihoods(t) for t in texts], dtype=float).reshape(-1, 2)
+            return
+        held, letters = [], 0
+        for texts in batches:
+            held.append([words_of(t) for t in texts])
+            letters += sum(map(len, texts))
+            if letters >= FILL:
+                yield from self._by_parts(held)
+                held, letters = [], 0
+        yield from self._by_parts(held)
+
+    def _by_parts(self, batches: list[list[list[str]]]) -> list[np.ndarray]:
+        memo, wanted = self.memo, {w for texts in batches for words in texts for w in words}
+        if len(memo) + len(wanted) > REMEMBERED:
+            memo.clear()
+        new = [w for w in wanted if w not in memo]
+        if new:
+            memo.update((w, (p, r, mixed(r))) for w, (p, r) in zip(new, self.model.of_words(new), strict=True))
+        out = [np.array([[sum(memo[w][0] for w in words), sum(memo[w][2] for w in words)] for words in texts], dtype=float).reshape(-1, 2) for texts in batches]
+        for pairs in self.model.each(self.model.pairs):
+            for sums, texts in zip(out, batches, strict=True):
+                for n, words in enumerate(texts):
+                    for head, w in zip(words, words[1:]):
+                        if head in pairs:
+                            p, r = after(pairs[head], w, *memo[w][:2])
+                            sums[n] += p - memo[w][0], mixed(r) - memo[w][2]
+        for sums, texts in zip(out, batches, strict=True):
+            sums[:, 1] += sums[:, 0]
+            sums /= np.array([[max(len(words), 1)] for words in texts]).reshape(-1, 1)
+        return out
+
     def ratio(self, text: str) -> float:
         """By how much the toxic likelihood is the larger one, per word."""
         ordinary, toxic = self.likelihoods(text)
@@ -286,45 +388,59 @@ def _of_class(y: int) -> Column:
     return F.col(f"n0{y}") + F.col(f"n1{y}")
 
 
-def bounded(counts: DataFrame, rows: int) -> DataFrame:
-    """The counts that a model holds: all of them, or, if there are more than ``rows``, those of at least a least count.
+def buckets(grams_: DataFrame) -> list[int]:
+    """The part of each bucket: buckets in order, as many to a part as hold at most MODEL_GRAMS n-grams together. The driver gets one row a bucket."""
+    sizes = {r[0]: r[1] for r in grams_.groupBy(_bucket().alias("b")).count().collect()}
+    part, room, out = 0, MODEL_GRAMS, []
+    for k in range(BUCKETS):
+        n = sizes.get(k, 0)
+        if n > room and room < MODEL_GRAMS:
+            part, room = part + 1, MODEL_GRAMS
+        room -= n
+        out.append(part)
+    return out
+
+
+def _bucket() -> Column:
+    """``gram[-3:-1]``'s bucket."""
+    return F.expr(f"pmod(crc32(cast(substring(gram, greatest(length(gram) - 2, 1), least(length(gram) - 1, 2)) as binary)), {BUCKETS})").cast("int")
 
-    The least count is the smallest power of two that leaves at most ``rows``;
-    a class counts in proportion to its size, so expressions of the smaller one
-    aren't lost first. As in any Kneser-Ney model with count cutoffs, what is
-    left out scores by its backoff. The driver gets one row per power of two.
-    """
-    total = counts.agg(F.sum(_of_class(0)).alias("a"), F.sum(_of_class(1)).alias("b")).first()
-    up = max(total["a"] or 0, 1) / max(total["b"] or 0, 1)
-    weight = F.greatest(_of_class(0).cast("double"), _of_class(1) * F.lit(up)) if up >= 1 else F.greatest(_of_class(0) / F.lit(up), _of_class(1).cast("double"))
-    level = F.floor(F.log2(F.greatest(weight, F.lit(1.0)))).cast("int")
-    by_level = {r[0]: r[1] for r in counts.groupBy(level.alias("l")).count().collect()}
-    least = min(by_level, default=0)
-    while sum(n for v, n in by_level.items() if v >= least) > rows:
-        least += 1
-    return counts.filter(level >= least)
+
+def core_of(grams_: DataFrame) -> dict[str, int]:
+    """The shared counts of sequences of one and two letters: their different longer ones. At most as many as pairs of letters."""
+    out = {}
+    for n in (2, 1):
+        longer = grams_.filter(F.length("gram") > n).select(F.expr(f"right(gram, {n + 1})").alias("g")).distinct()
+        out |= {r[0]: r[1] for r in longer.groupBy(F.expr(f"right(g, {n})")).count().collect()}
+    return out
 
 
 #: Of counted names, the toxic class's word pairs that it has often enough.
 _FREQUENT = f"gram rlike '. .' and n01 + n11 >= {PAIR_COUNT}"
 
 
-def telling_pairs(labelled: DataFrame, counts: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """The word pairs that the models keep, and their first words.
+def telling_pairs(labelled: DataFrame, counts: DataFrame) -> list[tuple[pa.Table, pa.Table]]:
+    """The word pairs that the models keep, and their first words; one or more parts by first word.
 
     A pair is kept if the toxic class has it PAIR_COUNT times and, by its
     number of pairs, PAIR_RATE times as often as the ordinary class; the others' mass
     goes to the words alone. The toxic class's pairs that are frequent enough
-    are broadcast, at most MODEL_PAIRS of them (``bounded``), and only those
-    are counted in all texts, so ordinary pairs are never shuffled.
+    are broadcast, about MODEL_PAIRS at a time, and only those are counted in
+    all texts, so ordinary pairs are never shuffled.
     """
     head, n0, n1 = F.col("gram").endswith(" "), _of_class(0), _of_class(1)
     all_ = counts.filter("gram = ' '").agg(F.sum(n0), F.sum(n1)).first()
-    frequent = bounded(counts.filter(_FREQUENT), MODEL_PAIRS)
-    wanted = labelled.sparkSession.sparkContext.broadcast({r[0] for r in frequent.select("gram").collect()})
-    found = _summed(labelled.select("fold", "_label", "_text").mapInArrow(lambda batches: _count_pairs(batches, wanted), _COUNTS))
-    found = checkpointed(found.filter(head | (n1 * F.lit(all_[0] or 0) >= (n0 + 1) * F.lit(PAIR_RATE * (all_[1] or 0)))))
-    return found.filter(~head).toArrow(), found.filter(head).toArrow()
+    frequent = counts.filter(_FREQUENT)
+    parts = max(1, -(-frequent.count() // MODEL_PAIRS))
+    part = F.pmod(F.xxhash64(F.substring_index("gram", " ", 1)), F.lit(parts))
+    out = []
+    for k in range(parts):
+        wanted = labelled.sparkSession.sparkContext.broadcast({r[0] for r in frequent.filter(part == k).select("gram").collect()})
+        found = _summed(labelled.select("fold", "_label", "_text").mapInArrow(lambda batches, w=wanted: _count_pairs(batches, w), _COUNTS))
+        found = checkpointed(found.filter(head | (n1 * F.lit(all_[0] or 0) >= (n0 + 1) * F.lit(PAIR_RATE * (all_[1] or 0)))))
+        out.append((found.filter(~head).toArrow(), found.filter(head).toArrow()))
+        wanted.destroy()
+    return out
 
 
 def _bit_of(id_: Column) -> tuple[Column, Column]:
@@ -352,12 +468,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
-    """A classifier, or, if a class has no example, the constant score: 0 without labels, else the one label.
+    """A classifier, or the constant score: 0 without labels or where no labelled text differs from another, the one label if a class has no example.
 
     Words and word pairs are counted over all labelled documents that may be
     learnt from, n-grams over the words found, so the counts grow with the
-    input; the driver gets at most MODEL_GRAMS n-grams and MODEL_PAIRS word
-    pairs of them (``bounded``). Only the map to scores is fitted on a sample,
+    input. All of them enter the models: up to MODEL_GRAMS n-grams and
+    MODEL_PAIRS word pairs in one broadcast model, more in ``Parts`` that pass
+    the driver one by one. Only the map to scores is fitted on a sample,
     of at most ``per_class`` documents a class (``labelled_sample``).
     """
     bounded_batches(docs.sparkSession)
@@ -369,39 +486,65 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return float(next(iter(kinds), 0))
     labelled = checkpointed(labelled_texts(docs, labels, label_col, allowed, id_col, text_col).select(fold, "_label", "_text"))
     counts = checkpointed(counted(labelled).filter(f"not gram rlike '. .' or {_FREQUENT}"))
-    rows = bounded(checkpointed(letter_grams(counts)), MODEL_GRAMS).toArrow()
-    names = rows["gram"].to_pylist()
-    pairs, heads = telling_pairs(labelled, counts)
-
-    def of_folds(folds: tuple[int, ...]) -> Model:
-        def counts(table: pa.Table, y: int) -> np.ndarray:
-            return sum(table[f"n{f}{y}"].to_numpy() for f in folds)
-
-        top = {}
-        for y in (0, 1):
-            top[y] = {g: n for g, n in zip(names, counts(rows, y).tolist(), strict=True) if n}
-        two = [dict(zip(t["gram"].to_pylist(), zip(counts(t, 0).tolist(), counts(t, 1).tolist(), strict=True), strict=True)) for t in (pairs, heads)]
-        return Model(top, {tuple(g.split(" ")): n for g, n in two[0].items()}, {g[:-1]: n for g, n in two[1].items()})
+    all_grams = checkpointed(letter_grams(counts))
+    part_of, pairs = buckets(all_grams), telling_pairs(labelled, counts)
+    one = part_of[-1] == 0 and len(pairs) == 1
+    whole = all_grams.toArrow() if one else None
+
+    def of_folds(folds: tuple[int, ...]) -> Model | Parts:
+        def counts(table: pa.Table, y: int) -> list[int]:
+            return sum(table[f"n{f}{y}"].to_numpy() for f in folds).tolist()
+
+        def top(rows: pa.Table) -> dict[int, dict[str, int]]:
+            names = rows["gram"].to_pylist()
+            return {y: {g: n for g, n in zip(names, counts(rows, y), strict=True) if n} for y in (0, 1)}
+
+        def two(part: tuple[pa.Table, pa.Table]) -> tuple[Pairs, Heads]:
+            kept, heads = (dict(zip(t["gram"].to_pylist(), zip(counts(t, 0), counts(t, 1), strict=True), strict=True)) for t in part)
+            return {tuple(g.split(" ")): n for g, n in kept.items()}, {g[:-1]: n for g, n in heads.items()}
+
+        if one:
+            return Model(top(whole), *two(pairs[0]))
+        send = docs.sparkSession.sparkContext.broadcast
+        core = core_of(all_grams.filter(" + ".join(f"n{f}{y}" for f in folds for y in (0, 1)) + " > 0"))
+        models = []
+        for k in range(part_of[-1] + 1):
+            held = [b for b, part in enumerate(part_of) if part == k]
+            models.append(send(Model(top(all_grams.filter(_bucket().between(held[0], held[-1])).toArrow()), core=core)))
+        return Parts(part_of, models, [send(behind(*two(part))) for part in pairs])
 
     tune = Classifier(of_folds((0,)))
     tuned = sample.filter("fold = 1").select("_label", _ratio(tune, F.col("_text")).alias("x")).toPandas().sort_values(["_label", "x"])
+    if not one:
+        tune.model.destroy()
     del tune
     out = Classifier(of_folds((0, 1)))
     if tuned["_label"].nunique() < 2:
         tuned = sample.select("_label", _ratio(out, F.col("_text")).alias("x")).toPandas().sort_values(["_label", "x"])
     x, y = tuned["x"].to_numpy(), tuned["_label"].to_numpy()
+    if not np.ptp(x):
+        return 0.0
     out.scale = float(x.std()) + 1e-9
     threshold, out.slope = calibrate(x / out.scale, y)
     out.threshold = threshold * out.scale
     return out
 
 
+def _sent(model: Classifier, spark: SparkSession) -> Callable[[], Classifier]:
+    """How tasks get a classifier: by broadcast, or, if its parts are broadcast already, with the function."""
+    if isinstance(model.model, Parts):
+        return lambda: model
+    shared = spark.sparkContext.broadcast(model)
+    return lambda: shared.value
+
+
 def _ratio(model: Classifier, text: Column) -> Column:
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    shared = _sent(model, SparkSession.active())
 
     @pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.ratio(t) for t in texts], dtype=float)
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for both in shared().of_batches(texts):
+            yield pd.Series(both[:, 1] - both[:, 0])
 
     return of(text)
 
@@ -418,12 +561,12 @@ def classify(df: DataFrame, model: Classifier | float, id_col: str = "doc_id", t
     if isinstance(model, float):
         out = rows.select(id_col, "held_out", F.lit(model).alias("score"), F.lit(0.0).alias("toxic_loglik"), F.lit(0.0).alias("ordinary_loglik"))
     else:
-        shared = df.sparkSession.sparkContext.broadcast(model)
+        shared = _sent(model, df.sparkSession)
 
         @pandas_udf("score double, toxic_loglik double, ordinary_loglik double")
-        def of(texts: pd.Series) -> pd.DataFrame:
-            both = np.array([shared.value.likelihoods(t) for t in texts], dtype=float).reshape(-1, 2)
-            return pd.DataFrame({"score": shared.value.scores(both[:, 1] - both[:, 0]), "toxic_loglik": both[:, 1], "ordinary_loglik": both[:, 0]})
+        def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for both in shared().of_batches(texts):
+                yield pd.DataFrame({"score": shared().scores(both[:, 1] - both[:, 0]), "toxic_loglik": both[:, 1], "ordinary_loglik": both[:, 0]})
 
         out = rows.select(id_col, "held_out", of("_t").alias("_r")).select(id_col, "held_out", "_r.score", "_r.toxic_loglik", "_r.ordinary_loglik")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).select(id_col, "held_out", "score", "predicted", "toxic_loglik", "ordinary_loglik")
