@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -48,11 +48,26 @@ def simhash(text: bytes, width: int = SHINGLE, seed: int = 42) -> int:
     for k in range(0, n, _CHUNK):
         part = words[k : k + _CHUNK + width - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(width))))
-        hashes = np.fromiter(map(digest, grams), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(np.fromiter(map(digest, grams), np.uint64))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles hashed before, 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        ones += _ones(hashes[k : k + _CHUNK])
+    return _majority(ones, len(hashes))
+
+
 def fingerprint(text: Column, width: int = SHINGLE) -> Column:
     """The fingerprint as a signed long, for use in any projection."""
 
@@ -131,6 +146,103 @@ class BKTree:
         return list(found.values())
 
 
+class CheckedTree:
+    """A BK-tree over the fingerprints of items 0, 1, ..., whose links a check confirms.
+
+    Leaves hold up to LEAF items and are compared at once; items of one
+    fingerprint share a leaf. ``component`` names what is linked. As in
+    ``BKTree`` a subtree that is known to be in the item's component is skipped.
+    """
+
+    LEAF = 1024
+
+    def __init__(self, words: np.ndarray, component: np.ndarray, radius: int):
+        self.words, self.component, self.radius = words, component, radius
+        self.items: list[np.ndarray] = [np.empty(self.LEAF, np.int64)]
+        self.count = [0]
+        #: Of an inner node the fingerprint that its children are dealt by, by their distance from it.
+        self.pivot: list[int | None] = [None]
+        self.children: list[dict[int, int]] = [{}]
+        #: Whether all items below were in one component when the last one came, and one of them.
+        self.uniform, self.one = [True], [-1]
+
+    def add(self, me: int, check: Callable[[np.ndarray, int], np.ndarray]) -> list[tuple[int, int]]:
+        """Insert the next item; the links, as pairs of items, that joined components. ``check`` tells which of several items link with one."""
+        component, found, word = self.component, [], self.words[me]
+        todo = [0] if self.one[0] >= 0 else []
+        while todo:
+            k = todo.pop()
+            if self.uniform[k] and component[self.one[k]] == component[me]:
+                continue
+            if self.pivot[k] is not None:
+                d = (self.pivot[k] ^ int(word)).bit_count()
+                # Nearest child last, so that it is followed first.
+                todo += [c for e, c in sorted(self.children[k].items(), key=lambda x: -abs(x[0] - d)) if abs(e - d) <= self.radius]
+                continue
+            items = self.items[k][: self.count[k]]
+            far = np.bitwise_count(self.words[items] ^ word)
+            near = np.flatnonzero((far <= self.radius) & (component[items] != component[me]))
+            rest, step = items[near[np.argsort(far[near], kind="stable")]], 1
+            while len(rest):
+                part, rest = rest[:step], rest[step:]
+                before = len(found)
+                for a in part[check(part, me)].tolist():
+                    if component[a] != component[me]:
+                        component[component == component[a]] = component[me]
+                        found.append((a, me))
+                if len(found) > before:
+                    rest = rest[component[rest] != component[me]]
+                step *= 4
+        self._insert(me)
+        return found
+
+    def _insert(self, me: int) -> None:
+        k, word = 0, int(self.words[me])
+        while True:
+            if self.one[k] < 0:
+                self.one[k] = me
+            elif self.uniform[k] and self.component[self.one[k]] != self.component[me]:
+                self.uniform[k] = False
+            if self.pivot[k] is None:
+                n = self.count[k]
+                if n and n % self.LEAF == 0:
+                    items = self.items[k]
+                    if (self.words[items[:n]] != word).any():
+                        self._split(k)
+                        continue
+                    if n == len(items):
+                        self.items[k] = np.r_[items, np.empty(n, np.int64)]
+                self.items[k][n] = me
+                self.count[k] = n + 1
+                return
+            d = (self.pivot[k] ^ word).bit_count()
+            if d not in self.children[k]:
+                self.children[k][d] = self._leaf()
+            k = self.children[k][d]
+
+    def _leaf(self) -> int:
+        self.items.append(np.empty(self.LEAF, np.int64))
+        self.count.append(0)
+        self.pivot.append(None)
+        self.children.append({})
+        self.uniform.append(True)
+        self.one.append(-1)
+        return len(self.items) - 1
+
+    def _split(self, k: int) -> None:
+        """Make a full leaf of several fingerprints an inner node."""
+        items = self.items[k][: self.count[k]]
+        pivot = self.words[items[0]]
+        far = np.bitwise_count(self.words[items] ^ pivot)
+        self.pivot[k], self.items[k], self.count[k] = int(pivot), items[:0], 0
+        for d in np.unique(far).tolist():
+            c = self.children[k][d] = self._leaf()
+            part = items[far == d]
+            self.items[c] = np.r_[part, np.empty(-len(part) % self.LEAF, np.int64)]
+            self.count[c], self.one[c] = len(part), int(part[0])
+            self.uniform[c] = bool((self.component[part] == self.component[part[0]]).all())
+
+
 def shard_links(words: list[int], nodes: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Links of one shard that connect all its pairs within the radius: no more than its words."""
     if len(words) == 2:
