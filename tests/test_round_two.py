@@ -237,3 +237,20 @@ def test_files_and_logs(spark, tmp_path):
     r = sinks.log_summary(spark.read.parquet(str(tmp_path / "log"))).first()
     assert (r["fetches"], r["failed"], r["total_rows"], r["last_day"]) == (2, 1, 3, dt.date(2000, 2, 1))
     assert scratch.folder(spark) != scratch.folder(spark)
+
+
+def test_archives_are_packed_line_by_line(spark):
+    """No task holds an archive's lines: they are sorted by Spark and written as they come."""
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+    from tidemesh.plans.panel_queries import _zipped
+
+    rows = spark.range(25000).select((F.col("id") % 3).cast("int").alias("year"), F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).alias("month"), F.concat(F.lit("ção "), "id").alias("value"))
+    made = _zipped(rows, ["year", "month"], "A.TXT")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    found = {(r["year"], r["month"]): zipfile.ZipFile(io.BytesIO(r["content"])).read("A.TXT").decode("latin-1").split("\n") for r in made.collect()}
+    want = {(y, m): sorted(f"ção {k}" for k in range(25000) if k % 3 == y and (k % 2 == 0) == (m is None)) for y in range(3) for m in (None, 7)}
+    assert found == want

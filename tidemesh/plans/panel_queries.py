@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import io
 import zipfile
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,16 +159,40 @@ def s19_s20_restartable_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zipped(rows: DataFrame, keys: list[str], member: str, value: str = "value") -> DataFrame:
-    """One ZIP archive (keys, content) for the lines of each key, in Latin-1: what a publisher's folder holds, made from the given tables."""
+    """One ZIP archive (keys, content) for the lines of each key, in Latin-1: what a publisher's folder holds, made from the given tables.
 
-    def pack(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(member, "\n".join(sorted(lines[value])).encode("latin-1"))
-        return pd.DataFrame([[*key, out.getvalue()]], columns=[*keys, "content"])
+    Spark sorts the lines, and each goes into its archive as it comes, so a
+    task holds a batch of lines and what an archive has compressed so far.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, archive, file = None, None, None, None
+
+        def closed() -> pa.RecordBatch:
+            file.close()
+            archive.close()
+            return pa.RecordBatch.from_pylist([dict(zip(keys, now, strict=True), content=out.getvalue())], schema)
+
+        for batch in batches:
+            schema = pa.schema([*[batch.schema.field(k) for k in keys], ("content", pa.binary())])
+            lines = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for key, part in groupby(lines, lambda x: x[:-1]):
+                text = "\n".join(x[-1] for x in part).encode("latin-1")
+                if key == now:
+                    file.write(b"\n" + text)
+                    continue
+                if now is not None:
+                    yield closed()
+                now, out = key, io.BytesIO()
+                archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                file = archive.open(member, "w", force_zip64=True)
+                file.write(text)
+        if now is not None:
+            yield closed()
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(pack, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "content binary"]))
+    lines = rows.select(*keys, value).repartition(*keys).sortWithinPartitions(*keys, value)
+    return lines.mapInArrow(pack, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "content binary"]))
 
 
 @query(f"""WITH {QUOTES} SELECT obs_date, ticker, company, round(open, 2) AS open, round(close, 2) AS close, round(volume, 2) AS volume FROM quotes WHERE close IS NOT NULL AND obs_date BETWEEN DATE '1996-03-05' AND DATE '1998-09-20'""")

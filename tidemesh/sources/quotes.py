@@ -106,7 +106,7 @@ def unpack_delimited(archives: DataFrame, member: str, columns: list[str], sep:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in [n for n in z.namelist() if member in n]:
                         with z.open(name) as f:
-                            for part in pd.read_csv(f, sep=sep, encoding=encoding, dtype=str, keep_default_na=False, chunksize=100_000):
+                            for part in pd.read_csv(f, sep=sep, encoding=encoding, dtype=str, keep_default_na=False, chunksize=10_000):
                                 yield pd.DataFrame({c: part[c] if c in part else None for c in columns})
 
     return archives.select("content").mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
