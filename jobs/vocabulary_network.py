@@ -9,6 +9,7 @@ correlations become distances, each source keeps its nearest neighbours, and
 edges and nodes get their metrics. Under the output folder:
 
 - ``nodes/lang=``: documents, words, vocabulary, degree, mean distance, mean curvature by source
+- ``words/lang=``: uses and logarithm of the share by source and word; made once, the other tables are made of it
 - ``edges/lang=``: shared words, correlation, distance, curvature by pair of neighbours
 """
 
@@ -18,7 +19,7 @@ import argparse
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh.operators import correlation, graphs
@@ -34,9 +35,9 @@ def word_shares(documents: DataFrame, least_count: int) -> DataFrame:
     """
     words = documents.select(F.col("lang").alias("window_id"), F.col("source").alias("asset"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
     counts = words.groupBy("window_id", "asset", "word").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("window_id", "asset").agg(F.sum("n").alias("_words"))
-    shares = counts.filter(F.col("n") >= least_count).join(total, ["window_id", "asset"])
-    return shares.withColumn("log_share", F.ln(1e6 * F.col("n") / F.col("_words"))).drop("_words")
+    # A sum beside the rows: a join with the totals would count the words of all texts a second time.
+    total = counts.withColumn("_words", F.sum("n").over(Window.partitionBy("window_id", "asset")))
+    return total.filter(F.col("n") >= least_count).withColumn("log_share", F.ln(1e6 * F.col("n") / F.col("_words"))).drop("_words")
 
 
 def network(shares: DataFrame, neighbours: int) -> DataFrame:
@@ -56,26 +57,28 @@ def node_metrics(documents: DataFrame, shares: DataFrame, edges: DataFrame) -> D
     return size.join(own, ["window_id", "node"], "left").join(near, ["window_id", "node"], "left").fillna(0, ["vocabulary", "words", "degree"])
 
 
-def write(df: DataFrame, path: str) -> None:
-    """One table, partitioned by language; it replaces what is there."""
-    df.withColumnRenamed("window_id", "lang").repartition("lang").write.mode("overwrite").partitionBy("lang").parquet(path)
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """One table, partitioned by language, in a file for each (of the columns ``by``); it replaces what is there."""
+    df.withColumnRenamed("window_id", "lang").repartition("lang", *by).write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
+WORDS = "asset string, word string, n long, log_share double, lang string"
 EDGES = "u string, v string, ricci double, shared_words long, rho double, distance double, lang string"
 NODES = "node string, documents long, vocabulary long, words long, degree long, mean_distance double, mean_curvature double, lang string"
 
 
 def run(spark: SparkSession, documents: str, output: str, neighbours: int = 3, least_count: int = 2) -> DataFrame:
-    """Write both tables and return them read back, a row for each source and neighbour (null where it has none).
+    """Write all tables and return nodes and edges read back, a row for each source and neighbour (null where it has none).
 
     Documents without language or source are left out, and counted in the
-    log; a null text has no words. A rerun replaces both tables with the same.
+    log; a null text has no words. A rerun replaces all tables with the same.
     """
     texts = spark.read.parquet(documents).select("lang", "source", "text")
     placed = F.col("lang").isNotNull() & F.col("source").isNotNull()
     logger.info("reading %d documents, %d of them without language or source", *texts.agg(F.count(F.lit(1)), F.count(F.when(~placed, 1))).first())
     texts = texts.filter(placed)
-    shares = word_shares(texts, least_count)
+    write(word_shares(texts, least_count), f"{output}/words", "asset")
+    shares = spark.read.schema(WORDS).parquet(f"{output}/words").withColumnRenamed("lang", "window_id")
     write(network(shares, neighbours), f"{output}/edges")
     edges = spark.read.schema(EDGES).parquet(f"{output}/edges")
     write(node_metrics(texts, shares, edges.withColumnRenamed("lang", "window_id")), f"{output}/nodes")

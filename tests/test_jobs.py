@@ -154,3 +154,16 @@ def test_command_lines(tmp_path, job):
     done = subprocess.run([sys.executable, "-m", f"jobs.{job}", *inputs[job], "--output", f"{tmp_path}/out"], cwd=ROOT, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
     assert {"rolling_correlations": "the table has", "vocabulary_network": "wrote 80 sources"}[job] in done.stderr
+
+
+def test_words_are_counted_once(spark, tmp_path):
+    """The words of the texts are written, and the network is made of what was written; one plan reads the texts once."""
+    from jobs import vocabulary_network
+
+    rows = [("en", s, t) for s, t in (("a", "x x y y y z z"), ("b", "x x x y y z z z q"), ("c", None))] + [("it", "a", "u u")]
+    spark.createDataFrame(rows, "lang string, source string, text string").write.parquet(f"{tmp_path}/in")
+    plan = vocabulary_network.word_shares(spark.read.parquet(f"{tmp_path}/in"), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    vocabulary_network.run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    words = spark.read.schema(vocabulary_network.WORDS).parquet(f"{tmp_path}/out/words").collect()
+    assert sorted((r["lang"], r["asset"], r["word"], r["n"]) for r in words) == [("en", "a", "x", 2), ("en", "a", "y", 3), ("en", "a", "z", 2), ("en", "b", "x", 3), ("en", "b", "y", 2), ("en", "b", "z", 3), ("it", "a", "u", 2)]
