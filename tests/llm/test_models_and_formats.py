@@ -383,6 +383,70 @@ def test_parts_say_what_one_model_says(spark, monkeypatch):
         assert got[k] == pytest.approx(v, abs=1e-7)
 
 
+def test_letters_in_arrays_say_what_the_model_says():
+    """Seen and unseen n-grams, words and pairs, of letters of one to four bytes: many at once as one by one."""
+    top = {0: top_of(["the cat sat", "on the mat", "été 東京都 𐐨𐐩𐐪"]), 1: top_of(["the bad idiot", "idiots sat 東京"])}
+    for model in (kn_toxicity.Model(top, {("the", "bad"): (0, 4), ("bad", "idiot"): (1, 5)}, {"the": (9, 9), "bad": (2, 6)}), kn_toxicity.Model({0: {}, 1: {}})):
+        words = ["the", "idiot", "idiotic", "mats", "qzx", "a", "été", "東京都", "東", "𐐨𐐩", "𐐪𐐪𐐪𐐪𐐪𐐪𐐪𐐪"]
+        packed, _, word = kn_toxicity.packed_grams(words)
+        split = [g for w in words for g in kn_toxicity.grams(w)]
+        assert len(split) == len(word) and packed[2].tolist() == [len(g) for g in split]
+        for got, want in zip(zip(*kn_toxicity.Letters(model)(*packed)), map(model.letter, split), strict=True):
+            assert got == pytest.approx(want, abs=1e-12)
+        ids = kn_toxicity.Ids()
+        texts = [t.split() for t in ("the bad idiot sat", "", "bad", "the", "bad idiot the bad the")]
+        flat, sizes = ids.of(texts)
+        plain, ratio = np.array([model.both(w) for w in ids]).T
+        at, p, r = (tails := kn_toxicity.Tails(model.behind))(tails.known(ids), flat, (np.cumsum(sizes) - sizes)[sizes > 0], plain, ratio)
+        want, place = {}, 0
+        for t in texts:
+            for n, w in enumerate(t):
+                if n and t[n - 1] in model.behind:
+                    want[place] = model.after(t[n - 1], w, *model.both(w))
+                place += 1
+        assert dict(zip(at.tolist(), zip(p.tolist(), r.tolist()))) == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_labels_reach_texts_by_bitmaps(spark, monkeypatch):
+    """Where ids share bits, as with bitmaps of 16 bits, the labels decide; else no text is shuffled."""
+    docs = spark.createDataFrame([*((k, f"text {k}") for k in range(90)), (7, "again"), (None, "no id")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([*((k, k % 2) for k in range(0, 120, 3)), (6, 1), (None, 1)], "doc_id bigint, toxic int")
+    want = sorted((k, k % 2, f"text {k}") for k in range(0, 90, 3))
+    for bits in (8, 32768):
+        monkeypatch.setattr(kn_toxicity, "BITMAP_ROWS", 2)
+        monkeypatch.setattr(kn_toxicity, "_BITS", bits)
+        rows = kn_toxicity.labelled_texts(docs, labels, "toxic", F.lit(True), "doc_id", "text")
+        assert sorted(map(tuple, rows.select("_id", "_label", "_text").collect())) == want
+    sure = rows._jdf.queryExecution().optimizedPlan().children().head().toString()
+    joins = [line for line in sure.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "_row" in joins[0] and "broadcast" in joins[0]
+
+
+def test_pairs_are_counted_in_a_fixed_number_of_readings(spark, monkeypatch):
+    """Against plain counting; however many pairs are frequent, the texts are read ROUNDS times."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k % 3 == 0), int(y), " ".join(rng.choice([f"w{n}" for n in range(12)] + ["you", "fool"] * int(1 + 4 * y), size=30))) for k in range(120) for y in [k % 4 == 0]]
+    labelled = spark.createDataFrame(rows, "fold int, _label int, _text string").repartition(3)
+    counts = kn_toxicity.counted(labelled).localCheckpoint()
+    readings, summed = [], kn_toxicity._summed
+    monkeypatch.setattr(kn_toxicity, "_summed", lambda r: readings.append(1) or summed(r))
+    monkeypatch.setattr(kn_toxicity, "MODEL_PAIRS", 1)
+    found = kn_toxicity.telling_pairs(labelled, counts)
+    assert len(readings) <= kn_toxicity.ROUNDS and len(found) > 1
+    pairs, heads, total = Counter(), Counter(), Counter()
+    for fold, y, text in rows:
+        words = text.split()
+        pairs.update((p, fold, y) for p in map(" ".join, zip(words, words[1:])))
+        heads.update((w + " ", fold, y) for w in words[:-1])
+        total[y] += len(words) - 1
+    of = lambda c, g, y: c[g, 0, y] + c[g, 1, y]
+    kept = {p for p, _, _ in pairs if of(pairs, p, 1) >= kn_toxicity.PAIR_COUNT and of(pairs, p, 1) * total[0] >= (of(pairs, p, 0) + 1) * kn_toxicity.PAIR_RATE * total[1]}
+    assert kept
+    for n, (c, names) in enumerate([(pairs, kept), (heads, {p.split(" ")[0] + " " for p in kept})]):
+        got = [r for part in found for r in part[n].to_pylist()]
+        assert {r.pop("gram"): r for r in got} == {g: {f"n{f}{y}": c[g, f, y] for f in (0, 1) for y in (0, 1)} for g in names} and len(got) == len(names)
+
+
 def test_texts_that_tell_nothing_are_ordinary(spark):
     docs = spark.createDataFrame([(k, "..") for k in range(30)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, toxic int")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
-from math import exp, log, log1p
+from dataclasses import dataclass, replace
+from itertools import islice
+from math import exp, log
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -27,9 +28,11 @@ MODEL_GRAMS = 400_000
 MODEL_PAIRS = 100_000
 #: N-grams are dealt to parts by this many hash buckets of the two letters before their last one.
 BUCKETS = 4096
-#: Letters of text for which a worker takes the parts through once.
-FILL = 16_000_000
-#: The bitmap of labelled ids: rows of 4 KB.
+#: Letters of text for which a worker takes the parts through once, and letters of new words that it looks up at a time.
+FILL, LETTERS = 16_000_000, 400_000
+#: Names that a task counts before it hands them on. It bounds memory, not results.
+NAMES = 100_000
+#: Bitmaps of hashes: rows of 4 KB.
 BITMAP_ROWS, _BITS = 2048, 32768
 #: Letters of context in the class-conditional models.
 ORDER = 6
@@ -40,9 +43,11 @@ CUT = 0.5
 FOLDS, HELD_OUT = 5, 0
 #: Word pairs are kept that the toxic class has so often, and so many times as often, pair for pair, as the ordinary one.
 PAIR_COUNT, PAIR_RATE = 3, 4
+#: The ordinary texts are searched for pairs in so many rounds, each for the pairs that the rounds before leave possible.
+ROUNDS = 4
 #: One fitted document in so many is left out of the counts at first, to set the map to scores.
 TUNE = 3
-#: Words a Python worker remembers the score of; beyond it starts anew. It bounds memory, not results.
+#: Words a task remembers the score of; beyond it starts anew. It bounds memory, not results.
 REMEMBERED = 600_000
 _WORD = re.compile(r"\w+")
 
@@ -186,6 +191,125 @@ def after(held: Behind, word: str, plain: float, ratio: float) -> tuple[float, f
     return log(p0), log(max(y + b * p * exp(min(ratio, 30.0)), 1e-300) / p0)
 
 
+#: Up to six letters are two integers of three code points each; letters that are not there are zeros at the end.
+_LETTER, _TWO = (1 << 21) - 1, (1 << 42) - 1
+Packed = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def packed(letters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c, d, e, f = letters
+    return a << 42 | b << 21 | c, d << 42 | e << 21 | f
+
+
+def without_last(high: np.ndarray, low: np.ndarray, length: np.ndarray) -> Packed:
+    others = ~(_LETTER << 21 * (2 - (length - 1) % 3))
+    return np.where(length > 3, high, high & others), np.where(length > 3, low & others, low), length - 1
+
+
+def without_first(high: np.ndarray, low: np.ndarray, length: np.ndarray) -> Packed:
+    return (high & _TWO) << 21 | low >> 42, (low & _TWO) << 21, length - 1
+
+
+def packed_grams(words: list[str]) -> tuple[Packed, np.ndarray, np.ndarray]:
+    """``grams`` of all the words in turn, with the two letters before each one's last and the number of its word."""
+    s = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    word, last = np.repeat(np.arange(len(words)), sizes - 1), np.delete(np.arange(len(s)), starts)
+    first = np.maximum(starts[word], last - ORDER + 1)
+    length = last - first + 1
+    high, low = packed([np.where(length > j, s[np.minimum(first + j, len(s) - 1)], 0) for j in range(6)])
+    return (high, low, length), np.where(length > 2, s[last - 2], 0) << 21 | s[last - 1], word
+
+
+class Table:
+    """Numbers by letter sequence in sorted arrays, exact: they load fast, and many are looked up at once."""
+
+    def __init__(self, sequences: list[str], default: float, *numbers: dict[str, float], end: str = ""):
+        """``numbers``: by sequence with ``end`` behind it."""
+        letters = np.array(sequences, dtype="U6").view(np.uint32).reshape(-1, 6).astype(np.int64)
+        high, low = packed(list(letters.T))
+        (self.high, a), (self.low, b) = np.unique(high, return_inverse=True), np.unique(low, return_inverse=True)
+        key = a.astype(np.int64) << 32 | b
+        order = np.argsort(key)
+        #: What isn't there is found at -1, where the defaults are.
+        self.key, self.columns = key[order], np.array([np.append(np.fromiter((of[g + end] for g in sequences), float, len(sequences))[order], default) for of in numbers])
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(high), -1)
+        a, b = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1), np.minimum(np.searchsorted(self.low, low), len(self.low) - 1)
+        key = a << 32 | b
+        n = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.high[a] == high) & (self.low[b] == low) & (self.key[n] == key), n, -1)
+
+
+class Letters:
+    """What ``Model.letter`` says, of many n-grams at once."""
+
+    def __init__(self, model: Model):
+        self.grams = Table([g for g in model.ratio if g[-1] != "\0"], 0.0, model.plain, model.ratio)
+        self.contexts = Table([g[:-1] for g in model.ratio if g[-1] == "\0"], 0.0, model.plain, model.ratio, end="\0")
+        self.low = Table([g for g in model.low if g], 1.0, model.low)
+        self.left = Table(list(model.left), 1.0, model.left)
+        self.unseen = model.low[""] * model.left.get("", 1.0)
+
+    def __call__(self, high: np.ndarray, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.grams.find(high, low)
+        plain, ratio = self.grams.columns[:, n]
+        rest = np.flatnonzero(n < 0)
+        g = high[rest], low[rest], length[rest]
+        a, ratio[rest] = self.contexts.columns[:, self.contexts.find(*without_last(*g)[:2])]
+        plain[rest] = a + np.log(self.backoff(*without_first(*g)))
+        return plain, ratio
+
+    def backoff(self, high: np.ndarray, low: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out, rest = np.ones(len(high)), np.arange(len(high))
+        while len(rest):
+            n = self.low.find(high, low)
+            out[rest] *= np.where((n < 0) & (length < 2), self.unseen, self.low.columns[0, n])
+            on = (n < 0) & (length > 1)
+            rest, high, low, length = rest[on], high[on], low[on], length[on]
+            out[rest] *= self.left.columns[0, self.left.find(*without_last(high, low, length)[:2])]
+            high, low, length = without_first(high, low, length)
+        return out
+
+
+class Tails:
+    """What ``after`` says, of many words at once."""
+
+    def __init__(self, held: dict[str, Behind]):
+        self.heads, self.left = list(held), np.array([h[:2] for h in held.values()], dtype=float).reshape(-1, 2)
+        rows = [(n, w, *own) for n, (_, _, tails) in enumerate(held.values()) for w, own in tails.items()]
+        self.head, self.words, self.own = np.array([r[0] for r in rows], dtype=np.int64), [r[1] for r in rows], np.array([r[2:] for r in rows], dtype=float).reshape(-1, 2)
+
+    def known(self, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words by ``ids``: each as first word, and the pairs and their shares, sorted."""
+        head_of, word = np.full(len(ids), -1), np.array([ids.get(w, -1) for w in self.words], dtype=np.int64)
+        for n, v in enumerate(self.heads):
+            if v in ids:
+                head_of[ids[v]] = n
+        found = np.flatnonzero(word >= 0)
+        keys = self.head[found] << 32 | word[found]
+        order = np.argsort(keys)
+        return head_of, np.append(keys[order], -1), np.vstack([self.own[found][order], [(0.0, 0.0)]])
+
+    def __call__(self, known: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, starts: np.ndarray, plain: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``words``, those behind a first word of pairs: their places, and ``after`` of each. None is at ``starts``, where a text begins."""
+        head_of, keys, own = known
+        head = np.append(-1, head_of[words[:-1]])[: len(words)]
+        head[starts] = -1
+        at = np.flatnonzero(head >= 0)
+        head, word = head[at], words[at]
+        key = head << 32 | word
+        n = np.searchsorted(keys[:-1], key)
+        x, y = own[np.where(keys[n] == key, n, -1)].T
+        a, b = self.left[head].T
+        p = np.maximum(np.exp(plain[word]), 1e-300)
+        p0 = np.maximum(x + a * p, 1e-300)
+        return at, np.log(p0), np.log(np.maximum(y + b * p * np.exp(np.minimum(ratio[word], 30.0)), 1e-300) / p0)
+
+
 class Parts:
     """The models in parts that are broadcast one by one, each of bounded size, for more n-grams or pairs than one holds.
 
@@ -197,7 +321,11 @@ class Parts:
 
     def __init__(self, part_of: list[int], models: list[Broadcast], pairs: list[Broadcast]):
         self.part_of, self.models, self.pairs = part_of, models, pairs
-        self.known: dict[str, int] = {}
+
+    @classmethod
+    def of(cls, model: Model, sc: SparkContext) -> Parts:
+        """One model as the only part."""
+        return cls([0] * BUCKETS, [sc.broadcast(Letters(model))], [sc.broadcast(Tails(model.behind))])
 
     @staticmethod
     def each(parts: list[Broadcast]) -> Iterator:
@@ -206,31 +334,47 @@ class Parts:
             # This process's copy goes; the part's file stays.
             part.__dict__.pop("_value", None)
 
-    def part(self, context: str) -> int:
-        k = self.known.get(context)
-        if k is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            k = self.known[context] = self.part_of[crc32(context.encode()) % BUCKETS]
-        return k
+    def part(self, before: np.ndarray) -> np.ndarray:
+        """The parts of n-grams by the two letters before their last ones."""
+        kinds, of = np.unique(before, return_inverse=True)
+        names = ["".join(chr(c) for c in (k >> 21, k & _LETTER) if c) for k in kinds.tolist()]
+        return np.array([self.part_of[crc32(n.encode()) % BUCKETS] for n in names], dtype=np.int64)[of]
 
-    def of_words(self, words: list[str]) -> list[tuple[float, float]]:
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``Model.both`` of each word, the letters of a part at a time."""
-        plain, ratio = [0.0] * len(words), [0.0] * len(words)
-        for k, model in enumerate(self.each(self.models)):
-            for n, word in enumerate(words):
-                for g in grams(word):
-                    if self.part(g[-3:-1]) == k:
-                        p, r = model.letter(g)
-                        plain[n] += p
-                        ratio[n] += r
-        return list(zip(plain, ratio, strict=True))
+        plain, ratio = np.zeros(len(words)), np.zeros(len(words))
+        piece = np.cumsum([len(w) + 2 for w in words], dtype=np.int64) // LETTERS
+        begins = [*np.flatnonzero(np.diff(piece, prepend=-1)), len(words)]
+        for begin, end in zip(begins, begins[1:]):
+            (high, low, length), before, word = packed_grams(words[begin:end])
+            part = self.part(before)
+            order = np.argsort(part, kind="stable")
+            until = np.searchsorted(part[order], np.arange(len(self.models) + 1))
+            for k, model in enumerate(self.each(self.models)):
+                at = order[until[k] : until[k + 1]]
+                p, r = model(high[at], low[at], length[at])
+                plain[begin:end] += np.bincount(word[at], p, end - begin)
+                ratio[begin:end] += np.bincount(word[at], r, end - begin)
+        return plain, ratio
 
     def destroy(self) -> None:
         for part in self.models + self.pairs:
             part.destroy()
 
 
+class Ids(dict):
+    """A number for each word, from 0 in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of the texts in turn, and how many each text has."""
+        found = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in texts]
+        return np.concatenate([np.zeros(0, dtype=np.int32), *found]), np.array([len(f) for f in found], dtype=np.int64)
+
+
 @dataclass
 class Classifier:
     """The models and the map from a document's likelihoods to a score."""
@@ -272,39 +416,32 @@ class Classifier:
         return plain / n, (plain + total) / n
 
     def of_batches(self, batches: Iterable[pd.Series]) -> Iterator[np.ndarray]:
-        """``likelihoods`` of each text of each batch, as rows."""
-        if isinstance(self.model, Model):
-            for texts in batches:
-                yield np.array([self.likelihoods(t) for t in texts], dtype=float).reshape(-1, 2)
-            return
+        """``likelihoods`` of each text of each batch, as rows; of ``Parts``, FILL letters of text at a time."""
+        ids, known = Ids(), np.zeros((2, 0))
         held, letters = [], 0
         for texts in batches:
-            held.append([words_of(t) for t in texts])
+            held.append(ids.of(words_of(t) for t in texts))
             letters += sum(map(len, texts))
             if letters >= FILL:
-                yield from self._by_parts(held)
+                known = np.hstack([known, self.model.of_words(list(islice(ids, known.shape[1], None)))])
+                yield from self._by_parts(held, ids, *known)
                 held, letters = [], 0
-        yield from self._by_parts(held)
-
-    def _by_parts(self, batches: list[list[list[str]]]) -> list[np.ndarray]:
-        memo, wanted = self.memo, {w for texts in batches for words in texts for w in words}
-        if len(memo) + len(wanted) > REMEMBERED:
-            memo.clear()
-        new = [w for w in wanted if w not in memo]
-        if new:
-            memo.update((w, (p, r, mixed(r))) for w, (p, r) in zip(new, self.model.of_words(new), strict=True))
-        out = [np.array([[sum(memo[w][0] for w in words), sum(memo[w][2] for w in words)] for words in texts], dtype=float).reshape(-1, 2) for texts in batches]
-        for pairs in self.model.each(self.model.pairs):
-            for sums, texts in zip(out, batches, strict=True):
-                for n, words in enumerate(texts):
-                    for head, w in zip(words, words[1:]):
-                        if head in pairs:
-                            p, r = after(pairs[head], w, *memo[w][:2])
-                            sums[n] += p - memo[w][0], mixed(r) - memo[w][2]
-        for sums, texts in zip(out, batches, strict=True):
-            sums[:, 1] += sums[:, 0]
-            sums /= np.array([[max(len(words), 1)] for words in texts]).reshape(-1, 1)
-        return out
+                if len(ids) > REMEMBERED:
+                    ids, known = Ids(), np.zeros((2, 0))
+        known = np.hstack([known, self.model.of_words(list(islice(ids, known.shape[1], None)))])
+        yield from self._by_parts(held, ids, *known)
+
+    def _by_parts(self, batches: list[tuple[np.ndarray, np.ndarray]], ids: Ids, plain: np.ndarray, ratio: np.ndarray) -> list[np.ndarray]:
+        """Of batches of words by ``ids`` and sizes of texts: by text, the sums of what its words give, over their number."""
+        gain = mixed(ratio)
+        texts = [np.repeat(np.arange(len(sizes), dtype=np.int32), sizes) for _, sizes in batches]
+        out = [np.array([np.bincount(text, x[words], len(sizes)) for x in (plain, gain)]) for text, (words, sizes) in zip(texts, batches, strict=True)]
+        for tails in self.model.each(self.model.pairs):
+            known = tails.known(ids)
+            for sums, text, (words, sizes) in zip(out, texts, batches, strict=True):
+                at, p, r = tails(known, words, (np.cumsum(sizes) - sizes)[sizes > 0], plain, ratio)
+                sums += [np.bincount(text[at], x, len(sizes)) for x in (p - plain[words[at]], mixed(r) - gain[words[at]])]
+        return [(sums + [[0.0], [1.0]] * sums[0]).T / np.maximum(sizes, 1).reshape(-1, 1) for sums, (_, sizes) in zip(out, batches, strict=True)]
 
     def ratio(self, text: str) -> float:
         """By how much the toxic likelihood is the larger one, per word."""
@@ -315,9 +452,9 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * (ratios - self.threshold) / self.scale, -50, 50)))
 
 
-def mixed(ratio: float) -> float:
+def mixed(ratio: float | np.ndarray) -> float | np.ndarray:
     """ln of a word's probability in a toxic text over that in an ordinary one."""
-    return log1p(SHARE * (exp(min(ratio, 30.0)) - 1.0))
+    return np.log1p(SHARE * (np.exp(np.minimum(ratio, 30.0)) - 1.0))
 
 
 #: Fold and label of each count that a row of counts has.
@@ -331,43 +468,79 @@ def _table(counts: dict[tuple[int, int], Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([counts[k][g] for g in names], pa.int64()) for k in _COLUMNS]], names=["gram", *_NAMES])
 
 
+def _full(counts: dict[tuple[int, int], Counter]) -> bool:
+    return sum(map(len, counts.values())) >= NAMES
+
+
 def _count_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (fold, label, text) to counts of their words ("w"), of all their word pairs (" "), and of the toxic class's word pairs ("v w"); one row per name and batch."""
+    """Texts (fold, label, text) to counts of their words ("w"), of their last words (" w"), of all their word pairs (" "), and of the toxic class's word pairs ("v w"); one row per name and NAMES of them."""
+    found = {k: Counter() for k in _COLUMNS}
     for batch in batches:
-        found = {k: Counter() for k in _COLUMNS}
         for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = words_of(text)
             found[fold, label].update(words)
             found[fold, label][" "] += max(len(words) - 1, 0)
+            if words:
+                found[fold, label][" " + words[-1]] += 1
             if label:
                 found[fold, label].update(map(" ".join, zip(words, words[1:])))
-        yield _table(found)
+        if _full(found):
+            yield _table(found)
+            found = {k: Counter() for k in _COLUMNS}
+    yield _table(found)
+
+
+def _slot(head: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The bit that stands for a pair of words, by their CRC-32; ``_slot_of`` is the same of a name."""
+    return (head * 1_000_003 + word) % (BITMAP_ROWS * _BITS)
+
+
+def _slot_of(pair: Column) -> Column:
+    head, word = (F.crc32(F.substring_index(pair, " ", n).cast("binary")) for n in (1, -1))
+    return F.pmod(head * F.lit(1_000_003) + word, F.lit(BITMAP_ROWS * _BITS))
 
 
 def _count_pairs(batches: Iterable[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Texts (fold, label, text) to counts of the word pairs wanted ("v w") and of their first words where one follows ("v "); one row per name and batch."""
-    pairs = wanted.value
-    heads = {p.split(" ")[0]: p.split(" ")[0] + " " for p in pairs}
+    """Texts (fold, label, text) to counts of the word pairs ("v w") whose bit is set; one row per name and NAMES of them."""
+    bits = wanted.value
+    ids, crcs, found = Ids(), np.zeros(0, dtype=np.int64), {k: Counter() for k in _COLUMNS}
+
+    def named() -> pa.RecordBatch:
+        names = list(ids)
+        return _table({k: Counter({f"{names[p >> 32]} {names[p & 0xFFFFFFFF]}": n for p, n in c.items()}) for k, c in found.items()})
+
     for batch in batches:
-        found = {k: Counter() for k in _COLUMNS}
-        for fold, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
-            found[fold, label].update(heads[w] for w in words[:-1] if w in heads)
-            found[fold, label].update(p for p in map(" ".join, zip(words, words[1:])) if p in pairs)
-        yield _table(found)
+        fold, label, texts = (c.to_pylist() for c in batch.columns)
+        words, sizes = ids.of(words_of(t) for t in texts)
+        crcs = np.append(crcs, np.array([crc32(w.encode()) for w in islice(ids, len(crcs), None)], dtype=np.int64))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        slot = _slot(crcs[words[:-1]], crcs[words[1:]])
+        at = np.flatnonzero((text[:-1] == text[1:]) & (bits[slot >> 3] >> (slot & 7) & 1 == 1))
+        pairs, kind = words[at].astype(np.int64) << 32 | words[at + 1], (np.array(fold, dtype=np.int64) * 2 + np.array(label, dtype=np.int64))[text[at]]
+        for n, k in enumerate(_COLUMNS):
+            names, counts = np.unique(pairs[kind == n], return_counts=True)
+            for p, c in zip(names.tolist(), counts.tolist(), strict=True):
+                found[k][p] += c
+        if _full(found) or len(ids) >= NAMES:
+            yield named()
+            ids, crcs, found = Ids(), crcs[:0], {k: Counter() for k in _COLUMNS}
+    yield named()
 
 
 def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words to counts of their n-grams; one row per n-gram and batch."""
+    """Counts of words to counts of their n-grams; one row per n-gram and NAMES of them."""
+    found = {k: Counter() for k in _COLUMNS}
     for batch in batches:
-        found = {k: Counter() for k in _COLUMNS}
         words, *columns = [c.to_pylist() for c in batch.columns]
-        for k, column in zip(_COLUMNS, columns, strict=True):
-            for word, n in zip(words, column, strict=True):
-                if n:
-                    for g in grams(word):
-                        found[k][g] += n
-        yield _table(found)
+        for word, *counts in zip(words, *columns, strict=True):
+            split, columns_ = list(grams(word)), [(found[k], n) for k, n in zip(_COLUMNS, counts, strict=True) if n]
+            for of, n in columns_:
+                for g in split:
+                    of[g] += n
+        if _full(found):
+            yield _table(found)
+            found = {k: Counter() for k in _COLUMNS}
+    yield _table(found)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -375,7 +548,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """Counts of words, of all pairs and of the toxic class's word pairs, made where the texts are: gram and a column per fold and label."""
+    """Counts of words, of last words, of all pairs and of the toxic class's word pairs, made where the texts are: gram and a column per fold and label."""
     return _summed(labelled.select("fold", "_label", "_text").mapInArrow(_count_texts, _COUNTS))
 
 
@@ -424,47 +597,76 @@ def telling_pairs(labelled: DataFrame, counts: DataFrame) -> list[tuple[pa.Table
 
     A pair is kept if the toxic class has it PAIR_COUNT times and, by its
     number of pairs, PAIR_RATE times as often as the ordinary class; the others' mass
-    goes to the words alone. The toxic class's pairs that are frequent enough
-    are broadcast, about MODEL_PAIRS at a time, and only those are counted in
-    all texts, so ordinary pairs are never shuffled.
+    goes to the words alone. The toxic class's counts are there; the ordinary
+    texts are gone through in ROUNDS, a share of them each, and a pair that is
+    already too frequent in some of them is sought no further, so few ordinary
+    pairs are shuffled and all that are kept have been counted everywhere. A
+    bitmap of 8 MB stands for the pairs sought, whatever their number. A
+    first word is counted where a word follows: all it has but what ends a
+    text. The driver gets about MODEL_PAIRS pairs at a time.
     """
-    head, n0, n1 = F.col("gram").endswith(" "), _of_class(0), _of_class(1)
+    n0, n1 = _of_class(0), _of_class(1)
     all_ = counts.filter("gram = ' '").agg(F.sum(n0), F.sum(n1)).first()
-    frequent = counts.filter(_FREQUENT)
-    parts = max(1, -(-frequent.count() // MODEL_PAIRS))
-    part = F.pmod(F.xxhash64(F.substring_index("gram", " ", 1)), F.lit(parts))
+    ordinary = labelled.filter("_label = 0").select("fold", "_label", "_text")
+    kept = counts.filter(_FREQUENT).select("gram", *[F.when(F.lit(n[-1] == "1"), F.col(n)).otherwise(0).alias(n) for n in _NAMES])
+    for k in range(ROUNDS):
+        bits = np.zeros((BITMAP_ROWS, _BITS // 8), dtype=np.uint8)
+        for r in _bitmaps(kept.select(*_placed(_slot_of(F.col("gram")))), _bits="true").collect():
+            bits[r["_row"]] = np.frombuffer(r["_bits"], np.uint8)
+        wanted = labelled.sparkSession.sparkContext.broadcast(bits.ravel())
+        share = ordinary.filter(F.pmod(F.xxhash64("_text"), F.lit(ROUNDS)) == k)
+        found = _summed(share.mapInArrow(lambda batches, w=wanted: _count_pairs(batches, w), _COUNTS)).select("gram", *[F.col(n).alias(f"_{n}") for n in _NAMES])
+        # The join leaves out pairs that only share a bit with one that is sought.
+        both = kept.join(found, "gram", "left").select("gram", *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in _NAMES])
+        kept = checkpointed(both.filter(n1 * F.lit(all_[0] or 0) >= (n0 + 1) * F.lit(PAIR_RATE * (all_[1] or 0))))
+        wanted.destroy()
+    parts = max(1, -(-kept.count() // MODEL_PAIRS))
+    head = F.substring_index("gram", " ", 1)
     out = []
     for k in range(parts):
-        wanted = labelled.sparkSession.sparkContext.broadcast({r[0] for r in frequent.filter(part == k).select("gram").collect()})
-        found = _summed(labelled.select("fold", "_label", "_text").mapInArrow(lambda batches, w=wanted: _count_pairs(batches, w), _COUNTS))
-        found = checkpointed(found.filter(head | (n1 * F.lit(all_[0] or 0) >= (n0 + 1) * F.lit(PAIR_RATE * (all_[1] or 0)))))
-        out.append((found.filter(~head).toArrow(), found.filter(head).toArrow()))
-        wanted.destroy()
+        part = kept.filter(F.pmod(F.xxhash64(head), F.lit(parts)) == k)
+        words = counts.filter("gram != ' ' and not gram rlike '. .'").withColumn("_head", F.ltrim("gram")).join(F.broadcast(part.select(head.alias("_head")).distinct()), "_head")
+        heads = words.groupBy(F.concat("_head", F.lit(" ")).alias("gram")).agg(*[F.sum(F.when(F.col("gram").startswith(" "), -F.col(n)).otherwise(F.col(n))).alias(n) for n in _NAMES])
+        out.append((part.toArrow(), heads.toArrow()))
     return out
 
 
-def _bit_of(id_: Column) -> tuple[Column, Column]:
-    """The row of the bitmap and the bit in it that stand for an id."""
-    h = F.pmod(F.xxhash64(id_.cast("string")), F.lit(BITMAP_ROWS * _BITS))
-    return F.floor(h / _BITS).cast("int"), (h % _BITS).cast("int")
+def _placed(slot: Column) -> tuple[Column, Column]:
+    """A bit's row in a bitmap and place in the row."""
+    return F.floor(slot / _BITS).cast("int").alias("_row"), (slot % _BITS).cast("int").alias("_bit")
+
+
+def _bitmaps(bits: DataFrame, **kinds: str) -> DataFrame:
+    """Of bits (_row, _bit), a bitmap of each kind by row: BITMAP_ROWS rows whatever the number of bits. They are dealt by row, so a row is made once."""
+    return bits.repartition("_row").groupBy("_row").agg(*[F.expr(f"bitmap_construct_agg(_bit) filter (where {kind})").alias(name) for name, kind in kinds.items()])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, id_col: str, text_col: str) -> DataFrame:
     """Every labelled document that may be learnt from: (_id, _label, _text). An id's label is its least one; rows that share an id count each.
 
-    Labels may be as many as documents, so the two are joined by a shuffle. A
-    bitmap of the labelled ids' hashes, of 8 MB whatever their number, keeps
-    texts without a label from it; more ids than it parts well only make it
-    keep more of them. A hot id is left to the skew join.
+    Labels may be as many as documents, so the two are joined by a shuffle, of
+    the documents' ids alone. What comes of it goes to the texts as bitmaps of
+    the ids' hashes, 24 MB whatever their number: one of the ids of each label
+    and one of those without. Where one bitmap alone has an id's bit, that says
+    its label; the few texts whose ids share a bit with others are joined with
+    the labels themselves.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
     known = checkpointed(known.filter(allowed).groupBy("_id").agg(F.min("_label").alias("_label")))
-    row, bit = _bit_of(F.col("_id"))
-    bitmap = known.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    slot = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(BITMAP_ROWS * _BITS))
+    row, bit = _placed(slot)
+    ids = docs.select(F.col(id_col).alias("_id")).filter(F.col("_id").isNotNull())
+    bitmaps = checkpointed(_bitmaps(ids.join(known, "_id", "left").select("_label", row, bit), _0="_label = 0", _1="_label = 1", _none="_label is null"))
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).filter(F.col("_id").isNotNull())
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = texts.withColumn("_row", row).join(F.broadcast(bitmap), "_row").filter(F.getbit(byte, bit % 8) == 1)
-    return marked.select("_id", "_text").join(known, "_id")
+
+    def has(name: str) -> Column:
+        byte = F.conv(F.hex(F.substring(name, F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, F.col("_bit") % 8), F.lit(0))
+
+    marked = texts.select("_id", "_text", row, bit).join(F.broadcast(bitmaps), "_row").select("_id", "_text", has("_0").alias("_0"), has("_1").alias("_1"), has("_none").alias("_none"))
+    sure = marked.filter("_0 + _1 = 1 and _none = 0").select("_id", F.col("_1").cast("int").alias("_label"), "_text")
+    unsure = marked.filter("_0 + _1 + _none > 1").select("_id", "_text").join(known, "_id").select("_id", "_label", "_text")
+    return sure.union(unsure)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
@@ -484,7 +686,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kinds = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     if len(kinds) < 2:
         return float(next(iter(kinds), 0))
-    labelled = checkpointed(labelled_texts(docs, labels, label_col, allowed, id_col, text_col).select(fold, "_label", "_text"))
+    labelled = labelled_texts(docs, labels, label_col, allowed, id_col, text_col).select(fold, "_label", "_text")
     counts = checkpointed(counted(labelled).filter(f"not gram rlike '. .' or {_FREQUENT}"))
     all_grams = checkpointed(letter_grams(counts))
     part_of, pairs = buckets(all_grams), telling_pairs(labelled, counts)
@@ -510,8 +712,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         models = []
         for k in range(part_of[-1] + 1):
             held = [b for b, part in enumerate(part_of) if part == k]
-            models.append(send(Model(top(all_grams.filter(_bucket().between(held[0], held[-1])).toArrow()), core=core)))
-        return Parts(part_of, models, [send(behind(*two(part))) for part in pairs])
+            models.append(send(Letters(Model(top(all_grams.filter(_bucket().between(held[0], held[-1])).toArrow()), core=core))))
+        return Parts(part_of, models, [send(Tails(behind(*two(part)))) for part in pairs])
 
     tune = Classifier(of_folds((0,)))
     tuned = sample.filter("fold = 1").select("_label", _ratio(tune, F.col("_text")).alias("x")).toPandas().sort_values(["_label", "x"])
@@ -530,20 +732,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return out
 
 
-def _sent(model: Classifier, spark: SparkSession) -> Callable[[], Classifier]:
-    """How tasks get a classifier: by broadcast, or, if its parts are broadcast already, with the function."""
-    if isinstance(model.model, Parts):
-        return lambda: model
-    shared = spark.sparkContext.broadcast(model)
-    return lambda: shared.value
+def _sent(model: Classifier, spark: SparkSession) -> Classifier:
+    """A classifier as tasks get it: in parts that are broadcast."""
+    return replace(model, model=Parts.of(model.model, spark.sparkContext)) if isinstance(model.model, Model) else model
 
 
 def _ratio(model: Classifier, text: Column) -> Column:
-    shared = _sent(model, SparkSession.active())
+    sent = _sent(model, SparkSession.active())
 
     @pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for both in shared().of_batches(texts):
+        for both in sent.of_batches(texts):
             yield pd.Series(both[:, 1] - both[:, 0])
 
     return of(text)
@@ -561,12 +760,12 @@ def classify(df: DataFrame, model: Classifier | float, id_col: str = "doc_id", t
     if isinstance(model, float):
         out = rows.select(id_col, "held_out", F.lit(model).alias("score"), F.lit(0.0).alias("toxic_loglik"), F.lit(0.0).alias("ordinary_loglik"))
     else:
-        shared = _sent(model, df.sparkSession)
+        sent = _sent(model, df.sparkSession)
 
         @pandas_udf("score double, toxic_loglik double, ordinary_loglik double")
         def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for both in shared().of_batches(texts):
-                yield pd.DataFrame({"score": shared().scores(both[:, 1] - both[:, 0]), "toxic_loglik": both[:, 1], "ordinary_loglik": both[:, 0]})
+            for both in sent.of_batches(texts):
+                yield pd.DataFrame({"score": sent.scores(both[:, 1] - both[:, 0]), "toxic_loglik": both[:, 1], "ordinary_loglik": both[:, 0]})
 
         out = rows.select(id_col, "held_out", of("_t").alias("_r")).select(id_col, "held_out", "_r.score", "_r.toxic_loglik", "_r.ordinary_loglik")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int")).select(id_col, "held_out", "score", "predicted", "toxic_loglik", "ordinary_loglik")
